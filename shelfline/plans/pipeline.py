@@ -1,0 +1,98 @@
+"""The batch pipeline over catalog tables: bronze to silver to gold."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+
+from shelfline.operators import gold as views
+from shelfline.operators.dimensions import dim_customers, dim_products
+from shelfline.operators.features import customer_features, product_features
+from shelfline.operators.silver import quarantined_sales, silver_sales
+from shelfline.schemas import BRONZE, conform
+from shelfline.sources.catalog import clustered_by_date, overwrite_table
+
+
+def load_bronze(spark: SparkSession, database: str = "bronze", **tables: DataFrame) -> dict[str, int]:
+    """Overwrite bronze tables with `tables`, each conformed to its schema.
+
+    Sales lines may name their warehouse; the column is kept if they do.
+    """
+    extra = {"raw_transactions": ("warehouse_id",)}
+    return {
+        name: overwrite_table(conform(df, BRONZE[name], extra.get(name, ())), f"{database}.{name}")
+        for name, df in tables.items()
+    }
+
+
+def run_all(
+    spark: SparkSession,
+    bronze: str = "bronze",
+    silver: str = "silver",
+    gold: str = "gold",
+    state_codes: DataFrame | None = None,
+    compat_quarter: bool = False,
+) -> DataFrame:
+    """Build the sales fact, the dimensions and both feature tables.
+
+    Each step reads the tables written before it; the first failure stops the
+    run. Returns a row (table_name, row_count) per table written.
+    """
+    counts: dict[str, int] = {}
+
+    def publish(table: str, df: DataFrame) -> DataFrame:
+        counts[table] = overwrite_table(df, table)
+        return spark.table(table)
+
+    raw = spark.table(f"{bronze}.raw_transactions")
+    sales = silver_sales(raw, spark.table(f"{bronze}.raw_warehouses"), state_codes, compat_quarter)
+    fact = publish(f"{silver}.fact_sales", clustered_by_date(sales))
+    publish(f"{silver}.quarantined_sales", quarantined_sales(raw))
+    products = publish(f"{silver}.dim_products", dim_products(spark.table(f"{bronze}.raw_products")))
+    customers = publish(f"{silver}.dim_customers", dim_customers(spark.table(f"{bronze}.raw_customers"), fact))
+    publish(f"{gold}.customer_features", customer_features(fact, customers))
+    publish(f"{gold}.product_features", product_features(fact, products))
+    return spark.createDataFrame(list(counts.items()), "table_name string, row_count long")
+
+
+def gold_views(
+    fact: DataFrame, customers: DataFrame, products: DataFrame, warehouses: DataFrame
+) -> dict[str, Callable[[], DataFrame]]:
+    """The six gold views by name, each planned when called."""
+    return {
+        "daily_sales_summary": lambda: views.daily_sales_summary(fact, products),
+        "product_performance": lambda: views.product_performance(fact, products),
+        "warehouse_monthly_performance": lambda: views.warehouse_monthly_performance(fact, warehouses),
+        "regional_sales": lambda: views.regional_sales(fact),
+        "customer_analytics": lambda: views.customer_analytics(fact, customers, products),
+        "kpi_summary": lambda: views.kpi_summary(fact),
+    }
+
+
+def register_views(
+    fact: DataFrame,
+    customers: DataFrame,
+    products: DataFrame,
+    warehouses: DataFrame,
+    names: Sequence[str] | None = None,
+) -> list[str]:
+    """The gold views, or those in `names`, as temporary views for SQL strings."""
+    known = gold_views(fact, customers, products, warehouses)
+    chosen = list(known) if names is None else list(names)
+    for name in chosen:
+        known[name]().createOrReplaceTempView(name)
+    return chosen
+
+
+def publish_gold(
+    spark: SparkSession, bronze: str = "bronze", silver: str = "silver", gold: str = "gold"
+) -> dict[str, int]:
+    """The gold views stored as tables, for readers that name them by database."""
+    stored = gold_views(
+        spark.table(f"{silver}.fact_sales"),
+        spark.table(f"{silver}.dim_customers"),
+        spark.table(f"{silver}.dim_products"),
+        spark.table(f"{bronze}.raw_warehouses"),
+    )
+    return {name: overwrite_table(view(), f"{gold}.{name}") for name, view in stored.items()}
