@@ -1,0 +1,18 @@
+"""Join sides that may be broadcast once their size is known."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows of a few short columns: some tens of megabytes on each executor.
+SMALL_SIDE_ROWS = 200_000
+
+
+def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
+    """`df` marked for broadcast if it has at most `max_rows` rows.
+
+    The count stops one row past the limit. A larger side is left as it is: it
+    joins by shuffle, and AQE splits the hot keys of the other side.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -75,13 +75,14 @@ def with_tiles(
     if _one_task(row_bound):
         return df.withColumn(name, F.ntile(tiles).over(Window.orderBy(*order)))
     counted = with_running_total(df.withColumn("_one", F.lit(1)), order, "_one")
-    size = F.expr(f"_total div {tiles}")
-    rest = F.expr(f"_total % {tiles}")
-    large_rows = rest * (size + 1)
-    tile = F.when(
-        F.col("_ahead") < large_rows, F.floor(F.col("_ahead") / (size + 1)) + 1
-    ).otherwise(rest + F.floor((F.col("_ahead") - large_rows) / F.greatest(size, F.lit(1))) + 1)
-    return counted.withColumn(name, tile.cast("int")).drop("_one", "_ahead", "_total")
+    placed = counted.withColumns(
+        {"_size": F.expr(f"_total div {tiles}"), "_rest": F.expr(f"_total % {tiles}")}
+    ).withColumn("_in_large", F.expr("_rest * (_size + 1)"))  # rows in tiles of one more
+    tile = F.expr(
+        "CASE WHEN _ahead < _in_large THEN _ahead div (_size + 1) + 1 "
+        "ELSE _rest + (_ahead - _in_large) div greatest(_size, 1) + 1 END"
+    )
+    return placed.select(*df.columns, tile.cast("int").alias(name))
 
 
 def with_rank(

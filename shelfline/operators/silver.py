@@ -6,15 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.functions.dates import parsed_date, quarter_number
+from shelfline.operators.lookups import small_side
 from shelfline.schemas import FACT_SALES, MONEY, PRICE, RATE, conform
 
 BUSINESS_COLUMNS = [name for name in FACT_SALES.names if name not in ("sale_id", "_processed_at")]
 
 
-def _money(value: Column) -> Column:
-    return F.round(value, 4).try_cast(MONEY)
-
-
 def silver_sales(
     transactions: DataFrame,
     warehouses: DataFrame | None = None,
@@ -23,11 +20,10 @@ def silver_sales(
 ) -> DataFrame:
     """Typed, enriched sales lines with the declared fact columns.
 
-    Narrow but for the two lookups, whose sides are grouped per state or
-    region; Spark broadcasts them by their size and AQE splits a hot state
-    otherwise. Lines without a readable sale date are left to
-    `quarantined_sales`. `sale_id` is unique within one written table and
-    carries no meaning.
+    Narrow but for the lookups, which hold a row per state or region and are
+    broadcast once their size is checked. A cast to money rounds half up at its
+    scale. Lines without a readable sale date are left to `quarantined_sales`.
+    `sale_id` is unique within one written table and carries no meaning.
     """
     typed = transactions.select(
         "order_id",
@@ -46,8 +42,8 @@ def silver_sales(
     ).where(F.col("sale_date").isNotNull())
 
     priced = (
-        typed.withColumn("gross_revenue", _money(F.col("quantity") * F.col("raw_price")))
-        .withColumn("discount_amount", _money(F.col("gross_revenue") * F.col("discount_pct")))
+        typed.withColumn("gross_revenue", (F.col("quantity") * F.col("raw_price")).try_cast(MONEY))
+        .withColumn("discount_amount", (F.col("gross_revenue") * F.col("discount_pct")).try_cast(MONEY))
         .withColumns(
             {
                 "net_revenue": (F.col("gross_revenue") - F.col("discount_amount")).try_cast(MONEY),
@@ -83,8 +79,8 @@ def _with_warehouse(sales: DataFrame, warehouses: DataFrame | None) -> DataFrame
     by_state = warehouses.groupBy("state").agg(lowest.alias("state_warehouse"))
     by_region = warehouses.groupBy("region").agg(lowest.alias("region_warehouse"))
     return (
-        sales.join(by_state, "state", "left")
-        .join(by_region, "region", "left")
+        sales.join(small_side(by_state), "state", "left")
+        .join(small_side(by_region), "region", "left")
         .withColumn("warehouse_id", F.coalesce("warehouse_id", "state_warehouse", "region_warehouse"))
     )
 
@@ -94,4 +90,4 @@ def _with_state_code(sales: DataFrame, state_codes: DataFrame | None) -> DataFra
     if state_codes is None:
         return named.withColumn("state_code", F.lit(None).cast("string"))
     one_each = state_codes.groupBy("state_name").agg(F.min("state_code").alias("state_code"))
-    return named.join(one_each, "state_name", "left")
+    return named.join(small_side(one_each), "state_name", "left")

@@ -1,4 +1,4 @@
-"""Silver tables of one source, written once and read back by every query."""
+"""The tables of one source, written once and read back by every query."""
 
 from __future__ import annotations
 
@@ -22,15 +22,19 @@ class Layers:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
-        self._written: dict[str, str] = {}
+        self._written: dict[str, DataFrame] = {}
         self.bronze = OrderTables(spark, folder)
 
     def _stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._written:
             path = fresh_path(self.spark, name)
             build().write.parquet(path)
-            self._written[name] = path
-        return self.spark.read.parquet(self._written[name])
+            self._written[name] = self.spark.read.parquet(path)
+        return self._written[name]
+
+    @property
+    def transactions(self) -> DataFrame:
+        return self._stored("raw_transactions", self.bronze.transactions)
 
     @property
     def fact(self) -> DataFrame:

@@ -263,7 +263,7 @@ def ltv_distribution(at: Layers) -> DataFrame:
 
 @_query
 def dq_report(at: Layers) -> DataFrame:
-    bronze = at.bronze.transactions()
+    bronze = at.transactions
     whole = quality.sales_quality(
         bronze,
         at.fact,

@@ -1,0 +1,82 @@
+"""Small frames in the shapes the operators take."""
+
+from __future__ import annotations
+
+import datetime as dt
+from decimal import Decimal
+
+from pyspark.sql.types import StringType, StructField, StructType
+
+from shelfline.schemas import DIM_CUSTOMERS, DIM_PRODUCTS, FACT_SALES, RAW_TRANSACTIONS, RAW_WAREHOUSES
+
+_SALE = {
+    "sale_id": 0,
+    "order_id": "o1",
+    "sale_date": dt.date(2024, 1, 1),
+    "customer_id": "c1",
+    "product_id": "p1",
+    "warehouse_id": "w1",
+    "region": "North",
+    "state_code": "N1",
+    "state_name": "State 1",
+    "quantity": 1,
+    "unit_price": 1,
+    "discount_pct": 0,
+    "gross_revenue": 1,
+    "discount_amount": 0,
+    "net_revenue": 1,
+    "profit": 0,
+}
+_DECIMALS = ("unit_price", "discount_pct", "gross_revenue", "discount_amount", "net_revenue", "profit")
+
+
+def _frame(spark, schema, records):
+    loose = StructType([StructField(f.name, f.dataType, True) for f in schema.fields])
+    return spark.createDataFrame([tuple(r.get(f.name) for f in schema.fields) for r in records], loose)
+
+
+def sales(spark, *records):
+    """Fact lines: one unit at 1.00 on 2024-01-01 unless a record says otherwise."""
+    full = []
+    for record in records:
+        line = {**_SALE, **record}
+        for name in _DECIMALS:
+            if line[name] is not None:
+                line[name] = Decimal(str(line[name]))
+        line["sale_year"], line["sale_month"] = line["sale_date"].year, line["sale_date"].month
+        line["sale_quarter"] = (line["sale_date"].month + 2) // 3
+        full.append(line)
+    return _frame(spark, FACT_SALES, full)
+
+
+def products(spark, *records):
+    base = {"product_category": "Toys", "product_subcategory": "Games"}
+    return _frame(spark, DIM_PRODUCTS, [{**base, "product_name": f"Name {r['product_id']}", **r} for r in records])
+
+
+def customers(spark, *records):
+    base = {"segment": "Home", "region": "North", "loyalty_tier": "Gold"}
+    return _frame(spark, DIM_CUSTOMERS, [{**base, "customer_name": f"Name {r['customer_id']}", **r} for r in records])
+
+
+def warehouses(spark, *records):
+    base = {"region": "North", "state": "State 1"}
+    return _frame(spark, RAW_WAREHOUSES, [{**base, "warehouse_name": f"Depot {r['warehouse_id']}", **r} for r in records])
+
+
+def transactions(spark, *records, warehouse=False):
+    """Bronze lines: two units at 10.00 on 2024-01-01 unless a record says otherwise."""
+    base = {
+        "order_id": "o1",
+        "order_date": "2024-01-01",
+        "ship_date": "2024-01-03",
+        "customer_id": "c1",
+        "product_id": "p1",
+        "region": "North",
+        "state": "State 1",
+        "quantity": 2,
+        "unit_price": 10.0,
+        "profit": 1.5,
+    }
+    schema = StructType(RAW_TRANSACTIONS.fields + ([StructField("warehouse_id", StringType())] if warehouse else []))
+    return _frame(spark, schema, [{**base, **r} for r in records])
