@@ -13,6 +13,9 @@ from shelfline.functions.money import exact_sum, mean_of_averages
 
 Day = dt.date | str
 
+# The date range shown before one is chosen.
+DEFAULT_START, DEFAULT_END = "2024-01-01", "2024-12-31"
+
 
 def query(spark: SparkSession, text: str, **named: object) -> DataFrame:
     """A SQL string with `:name` parameters bound by Spark, never pasted in."""
@@ -52,7 +55,11 @@ def _cards(daily: DataFrame) -> DataFrame:
 
 
 def dashboard_kpis(
-    daily: DataFrame, regions: Sequence[str], categories: Sequence[str], start: Day, end: Day
+    daily: DataFrame,
+    regions: Sequence[str],
+    categories: Sequence[str],
+    start: Day = DEFAULT_START,
+    end: Day = DEFAULT_END,
 ) -> DataFrame:
     """Card totals of the selection, from `daily_sales` or its summary.
 
@@ -62,16 +69,22 @@ def dashboard_kpis(
     return _cards(daily.where(_chosen(regions, start, end, categories)))
 
 
-def kpis_last_month(daily: DataFrame, as_of: Day) -> DataFrame:
-    """Revenue, orders, mean order value and active days since a month before `as_of`."""
-    since = F.add_months(F.lit(as_of).cast("date"), -1)
+def kpis_last_month(daily: DataFrame, as_of: Day | None = None) -> DataFrame:
+    """Revenue, orders, mean order value and active days since a month before
+    `as_of`, which is today unless given."""
+    today = F.current_date() if as_of is None else F.lit(as_of).cast("date")
+    since = F.add_months(today, -1)
     return _cards(daily.where(F.col("sale_date") >= since)).select(
         "total_revenue", "total_orders", "avg_aov", "active_days"
     )
 
 
 def revenue_trend(
-    summary: DataFrame, regions: Sequence[str], categories: Sequence[str], start: Day, end: Day
+    summary: DataFrame,
+    regions: Sequence[str],
+    categories: Sequence[str],
+    start: Day = DEFAULT_START,
+    end: Day = DEFAULT_END,
 ) -> DataFrame:
     """Revenue and rolling revenue per day and region of the selection.
 
@@ -86,7 +99,9 @@ def revenue_trend(
     )
 
 
-def revenue_trend_full_grain(summary: DataFrame, regions: Sequence[str], start: Day, end: Day) -> DataFrame:
+def revenue_trend_full_grain(
+    summary: DataFrame, regions: Sequence[str], start: Day = DEFAULT_START, end: Day = DEFAULT_END
+) -> DataFrame:
     """The trend with a row per day, region and category."""
     return (
         summary.where(_chosen(regions, start, end))

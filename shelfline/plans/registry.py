@@ -14,7 +14,7 @@ from shelfline.functions.money import as_report
 from shelfline.operators import dimensions, features, gold, quality, silver
 from shelfline.plans import dashboard, trends
 from shelfline.plans.layers import Layers, layers
-from shelfline.plans.pipeline import load_bronze, register_views, run_all
+from shelfline.plans.batch import load_bronze, register_views, run_all
 from shelfline.schemas import DIM_CUSTOMERS, DIM_PRODUCTS, FACT_SALES, RAW_CUSTOMERS, RAW_PRODUCTS
 from shelfline.session import fresh_path
 from shelfline.sources import catalog

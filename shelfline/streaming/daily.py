@@ -68,3 +68,13 @@ def latest(spark: SparkSession, target: str, keys: Sequence[str]) -> DataFrame:
     values = [name for name in written.columns if name not in (*identity, BATCH)]
     newest = F.max_by(F.struct(*values), F.col(BATCH)).alias("_newest")
     return written.groupBy(*identity).agg(newest).select(*identity, "_newest.*")
+
+
+def compact(spark: SparkSession, target: str, into: str, keys: Sequence[str]) -> None:
+    """Write the current rows of `target` to `into` under the newest batch id.
+
+    Between two runs of the stream: later batches then go to `into`, over the
+    same checkpoint, and take precedence as before.
+    """
+    newest = spark.read.parquet(target).agg(F.max(BATCH)).first()[0]
+    latest(spark, target, keys).write.mode("overwrite").parquet(f"{into}/{BATCH}={newest}")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfline.functions.dates import MONTHS
 from shelfline.operators import gold
 from shelfline.plans import dashboard
-from shelfline.plans.pipeline import register_views
+from shelfline.plans.batch import register_views
 
 JAN, DEC = "2024-01-01", "2024-12-31"
 

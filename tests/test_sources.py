@@ -4,7 +4,7 @@ import builders as b
 import pytest
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from shelfline.plans.pipeline import load_bronze, publish_gold, run_all
+from shelfline.plans.batch import load_bronze, publish_gold, run_all
 from shelfline.schemas import BRONZE, FACT_SALES, RAW_PRODUCTS, SILVER
 from shelfline.sources.catalog import (
     append_table,

@@ -5,7 +5,7 @@ from decimal import Decimal
 
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from shelfline.streaming.daily import incremental_daily_aggregate, latest, upsert_available
+from shelfline.streaming.daily import compact, incremental_daily_aggregate, latest, upsert_available
 from shelfline.streaming.ingest import append_available, stream_csv
 
 SCHEMA = StructType(
@@ -67,3 +67,20 @@ def test_rows_past_the_lateness_do_not_reopen_a_day(spark, rows, tmp_path):
         upsert_available(daily, target, state).awaitTermination()
     first_day = latest(spark, target, ["kind"]).where("day = '2024-01-01'")
     assert rows(first_day, "total_value") == [(Decimal("1.0000"),)]
+
+
+def test_a_compacted_log_goes_on(spark, rows, tmp_path):
+    inbox, first, second, state = (str(tmp_path / name) for name in ("inbox", "first", "second", "state"))
+
+    def run(wave, target):
+        spark.createDataFrame(wave, EVENTS).write.mode("append").parquet(inbox)
+        daily = incremental_daily_aggregate(spark.readStream.schema(EVENTS).parquet(inbox), "ts", "value", ["kind"])
+        upsert_available(daily, target, state).awaitTermination()
+
+    run([(at(1), "v", 1.0, 1), (at(2), "v", 4.0, 1)], first)
+    run([(at(1), "v", 2.0, 1)], first)
+    compact(spark, first, second, ["kind"])
+    before = rows(latest(spark, first, ["kind"]), "day", "total_value")
+    assert rows(latest(spark, second, ["kind"]), "day", "total_value") == before
+    run([(at(2), "v", 5.0, 1)], second)
+    assert rows(latest(spark, second, ["kind"]), "total_value") == [(Decimal("3.0000"),), (Decimal("9.0000"),)]
