@@ -81,12 +81,10 @@ def rolling_7d_calendar(fact: DataFrame) -> DataFrame:
     )
 
 
-def product_performance(
-    fact: DataFrame, products: DataFrame, row_bound: int | None = None, approx: bool = False
-) -> DataFrame:
-    """Sales and margin per product name, ranked by revenue in the category."""
+def product_sales(fact: DataFrame, products: DataFrame, approx: bool = False) -> DataFrame:
+    """Sales and margin per product name; products of one name are one row."""
     named = products.select("product_id", "product_category", "product_subcategory", "product_name")
-    per_product = (
+    return (
         fact.join(named, "product_id")
         .groupBy("product_category", "product_subcategory", "product_name")
         .agg(
@@ -99,8 +97,24 @@ def product_performance(
         )
         .withColumn("profit_margin_pct", percent(F.col("profit"), F.col("revenue")))
     )
+
+
+def product_performance(
+    fact: DataFrame, products: DataFrame, row_bound: int | None = None, approx: bool = False
+) -> DataFrame:
+    """`product_sales` ranked by revenue within the category.
+
+    There are no more product names than products, which bounds the rows a
+    category can have.
+    """
     bound = products.count() if row_bound is None else row_bound
-    return with_rank(per_product, ["product_category"], "revenue", "category_revenue_rank", row_bound=bound)
+    return with_rank(
+        product_sales(fact, products, approx),
+        ["product_category"],
+        "revenue",
+        "category_revenue_rank",
+        row_bound=bound,
+    )
 
 
 def warehouse_monthly_performance(fact: DataFrame, warehouses: DataFrame, approx: bool = False) -> DataFrame:

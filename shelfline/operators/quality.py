@@ -7,10 +7,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from shelfline.functions.dates import parsed_date
-from shelfline.schemas import required_columns
+from shelfline.schemas import TEXT_LIMITS, required_columns
 
 RuleSet = Mapping[str, Column]
 
@@ -41,10 +41,20 @@ def not_null_rules(schema: StructType) -> dict[str, Column]:
     return {f"not_null:{name}": F.col(name).isNull() for name in required_columns(schema)}
 
 
+def length_rules(schema: StructType) -> dict[str, Column]:
+    """Text longer than its column is declared to hold."""
+    return {
+        f"length:{field.name}": F.char_length(F.col(field.name)) > TEXT_LIMITS[field.name]
+        for field in schema.fields
+        if isinstance(field.dataType, StringType) and field.name in TEXT_LIMITS
+    }
+
+
 def fact_rules(schema: StructType) -> dict[str, Column]:
-    """Required columns, value ranges and date order of the sales fact."""
+    """Required columns, text lengths, value ranges and date order of the fact."""
     return {
         **not_null_rules(schema),
+        **length_rules(schema),
         "range:quantity": ~(F.col("quantity") > 0),
         "range:discount_pct": ~F.col("discount_pct").between(0, 1),
         "range:net_revenue": F.col("net_revenue").isNull()

@@ -111,6 +111,7 @@ def revenue_trend_full_grain(
 
 
 def category_hierarchy_revenue(performance: DataFrame) -> DataFrame:
+    """Revenue per category and subcategory, from `product_sales` or its ranked form."""
     return performance.groupBy("product_category", "product_subcategory").agg(
         exact_sum("revenue").alias("total_revenue")
     )

@@ -184,12 +184,12 @@ def revenue_trend_full_grain(at: Layers) -> DataFrame:
 
 @_query
 def category_hierarchy_revenue(at: Layers) -> DataFrame:
-    return dashboard.category_hierarchy_revenue(gold.product_performance(at.fact, at.products))
+    return dashboard.category_hierarchy_revenue(gold.product_sales(at.fact, at.products))
 
 
 @_query
 def top_products(at: Layers) -> DataFrame:
-    return dashboard.top_products(gold.product_performance(at.fact, at.products), 15)
+    return dashboard.top_products(gold.product_sales(at.fact, at.products), 15)
 
 
 @_query

@@ -120,6 +120,37 @@ SILVER = {
     "dim_products": DIM_PRODUCTS,
 }
 
+# The longest text a column is declared to hold, in any table.
+TEXT_LIMITS = {
+    "order_id": 50,
+    "order_date": 50,
+    "ship_date": 50,
+    "ship_mode": 50,
+    "customer_id": 50,
+    "customer_name": 200,
+    "customer_segment": 50,
+    "segment": 50,
+    "signup_date": 50,
+    "loyalty_tier": 50,
+    "product_id": 50,
+    "product_name": 300,
+    "product_category": 100,
+    "product_subcategory": 100,
+    "category": 100,
+    "sub_category": 100,
+    "brand": 100,
+    "supplier": 200,
+    "warehouse_id": 20,
+    "warehouse_name": 100,
+    "manager_name": 200,
+    "region": 50,
+    "state": 100,
+    "state_code": 10,
+    "state_name": 100,
+    "city": 100,
+    "_source_file": 500,
+}
+
 _FILLED_WHEN_ABSENT = {
     "_loaded_at": lambda: F.current_timestamp(),
     "_processed_at": lambda: F.current_timestamp(),

@@ -76,3 +76,10 @@ def test_early_shipping_is_reported_once_per_line(spark):
     fact = b.sales(spark, {"ship_date": dt.date(2023, 12, 31)}, {"ship_date": None}, {"ship_date": dt.date(2024, 1, 1)})
     found = by_rule(quality.row_rules(fact, "f", quality.fact_rules(FACT_SALES)))
     assert found[("f", "order:ship_date")] == (1, 3, False)
+
+
+def test_overlong_text_is_reported(spark):
+    fact = b.sales(spark, {"state_code": "x" * 10}, {"state_code": "x" * 11}, {"state_code": None})
+    found = by_rule(quality.row_rules(fact, "f", quality.length_rules(FACT_SALES)))
+    assert {rule for (_, rule), value in found.items() if not value[2]} == {"length:state_code"}
+    assert found[("f", "length:state_code")] == (1, 3, False)

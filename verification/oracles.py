@@ -576,10 +576,24 @@ def _orphans(key: str, parent: str, source: str) -> str:
 
 
 _FACT_NOT_NULL = ("order_id", "sale_date", "customer_id", "product_id", "quantity", "unit_price")
+_FACT_LENGTHS = {
+    "order_id": 50,
+    "customer_id": 50,
+    "product_id": 50,
+    "warehouse_id": 20,
+    "region": 50,
+    "state_code": 10,
+    "state_name": 100,
+    "ship_mode": 50,
+}
 _DQ_RULES = [
     _rule("date:order_date", "raw_transactions", "count(*) FILTER (sale_date IS NULL)", "lines"),
     _rule("date:ship_date", "raw_transactions", "count(*) FILTER (ship_date IS NULL)", "lines"),
     *[_rule(f"not_null:{c}", "fact_sales", f"count(*) FILTER ({c} IS NULL)", "fact") for c in _FACT_NOT_NULL],
+    *[
+        _rule(f"length:{column}", "fact_sales", f"count(*) FILTER (length({column}) > {limit})", "fact")
+        for column, limit in _FACT_LENGTHS.items()
+    ],
     _rule("range:quantity", "fact_sales", "count(*) FILTER (quantity <= 0)", "fact"),
     _rule("range:discount_pct", "fact_sales", "count(*) FILTER (discount_pct < 0 OR discount_pct > 1)", "fact"),
     _rule("range:net_revenue", "fact_sales", "count(*) FILTER (net_revenue IS NULL)", "fact"),
