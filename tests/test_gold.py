@@ -5,6 +5,7 @@ from decimal import Decimal
 
 import builders as b
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfline.operators import gold
@@ -41,6 +42,32 @@ def test_rolling_rows_differ_from_rolling_days(spark, row_bound):
     assert [int(row.rolling_7d_calendar) for row in calendar] == [2, 4, 6, 8]
 
 
+@pytest.mark.parametrize("row_bound", [None, ANY_SIZE])
+def test_rolling_measures_equal_window_frames(spark, rows, row_bound):
+    """Rows with no revenue at all included: a frame of those alone has no sum."""
+    goods = b.products(spark, {"product_id": "a", "product_category": "A"}, {"product_id": "b", "product_category": "B"})
+    fact = b.sales(
+        spark,
+        *[
+            {"sale_date": day(n), "product_id": p, "net_revenue": None if n % 20 < 9 else n * 1.25}
+            for n in range(60)
+            for p in "ab"
+        ],
+    )
+    window = Window.partitionBy("region").orderBy("sale_date", "product_category")
+    month = window.rowsBetween(-29, 0)
+    plain = gold.daily_sales(fact, goods).select(
+        "sale_date",
+        "product_category",
+        F.sum("total_revenue").over(window.rowsBetween(-6, 0)).cast("double").alias("week"),
+        (F.sum("total_revenue").over(month).cast("double") / F.nullif(F.count("total_revenue").over(month), F.lit(0))).alias("month"),
+    )
+    found = gold.daily_sales_summary(fact, goods, row_bound).select(
+        "sale_date", "product_category", F.col("rolling_7d_revenue").cast("double"), "rolling_30d_avg"
+    )
+    assert rows(found) == rows(plain)
+
+
 def test_calendar_window_leaves_gaps_out(spark):
     fact = b.sales(spark, {"sale_date": day(0)}, {"sale_date": day(6)}, {"sale_date": day(13)})
     found = gold.rolling_7d_calendar(fact).orderBy("sale_date").collect()
