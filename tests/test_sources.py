@@ -14,7 +14,7 @@ from shelfline.sources.catalog import (
     overwrite_table,
     table_inventory,
 )
-from shelfline.sources.csv_files import read_csv
+from shelfline.sources.csv_files import file_columns, read_csv
 
 SMALL = StructType([StructField("id", LongType()), StructField("name", StringType()), StructField("amount", DoubleType())])
 
@@ -91,6 +91,31 @@ def test_pipeline_end_to_end(spark, databases, rows):
     assert ("silver", "fact_sales", 2) in listed and len(listed) == 16
 
 
+def test_csv_landing_to_gold(spark, databases, tmp_path):
+    landing = {
+        "raw_transactions": "o1,2024-01-05,c1,Ann,Home,North,State 1,City,p1,Lamp,Light,Desk,2,10.0,0.25,15.0,3.0,Air,2024-01-07\n"
+        "o2,2024-01-06,c1,Ann,Home,North,State 1,City,p1,Lamp,Light,Desk,1,10.0,NULL,10.0,2.0,Air,2024-01-16\n",
+        "raw_products": "p1,Lamp,Light,Desk,Brand,Supplier,4.0,10.0,1.5\n",
+        "raw_warehouses": "w1,Depot,North,State 1,City,100,Bo\n",
+        "raw_customers": "c1,Ann,Home,North,State 1,City,2023-12-01,Gold\n",
+    }
+    create_tables(spark)
+    frames = {}
+    for name, lines in landing.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part.csv").write_text(",".join(file_columns(BRONZE[name])) + "\n" + lines)
+        frames[name] = read_csv(spark, str(tmp_path / name), BRONZE[name])
+    assert load_bronze(spark, **frames) == {name: len(lines.splitlines()) for name, lines in landing.items()}
+    run_all(spark)
+    publish_gold(spark)
+    card = spark.table("gold.kpi_summary").first()
+    assert (card.total_orders, card.total_revenue, card.overall_margin_pct) == (2, 25, 20.0)
+    depot = spark.table("gold.warehouse_monthly_performance").first()
+    assert (depot.warehouse_name, depot.fulfillment_rate, depot.avg_days_to_ship) == ("Depot", 50.0, 6.0)
+    assert spark.table("gold.customer_features").first().loyalty_tier == "Gold"
+    assert spark.table("gold.product_features").first().avg_discount_rate == 0.125
+
+
 def test_run_stops_at_the_first_failure(spark, databases):
     with pytest.raises(Exception, match="raw_transactions"):
         run_all(spark)
