@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from shelfline.session import settled
 
-# Rows one task may sort by itself.
+# Rows one task may sort by itself, and a bound for rows nothing is known about.
 ONE_TASK_ROWS = 2_000_000
+ANY_SIZE = 10**18
 
 
 def _one_task(row_bound: int | None) -> bool:

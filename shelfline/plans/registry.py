@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from shelfline.functions.money import as_report
 from shelfline.operators import dimensions, features, gold, quality, silver
+from shelfline.operators.ordered import ANY_SIZE
 from shelfline.plans import dashboard, trends
 from shelfline.plans.layers import Layers, layers
 from shelfline.plans.batch import load_bronze, register_views, run_all
@@ -71,6 +72,13 @@ def silver_sales_assigned_warehouse(at: Layers) -> DataFrame:
     return assigned.groupBy("state_name", "warehouse_id").agg(F.count(F.lit(1)).alias("sales_lines"))
 
 
+@_query
+def compat_quarters(at: Layers) -> DataFrame:
+    """Sales lines per month and rounded-form quarter."""
+    lines = silver.silver_sales(at.bronze.transactions(), compat_quarter=True)
+    return lines.groupBy("sale_month", "sale_quarter").agg(F.count(F.lit(1)).alias("sales_lines"))
+
+
 @_query
 def dim_customers(at: Layers) -> DataFrame:
     return _without_stamp(dimensions.dim_customers(at.bronze.customers(), at.fact))
@@ -131,6 +139,24 @@ def kpi_summary(at: Layers) -> DataFrame:
     return gold.kpi_summary(at.fact)
 
 
+# The same three views laid out over the cluster, as past a task's size.
+
+
+@_query
+def daily_sales_summary_any_size(at: Layers) -> DataFrame:
+    return gold.daily_sales_summary(at.fact, at.products, row_bound=ANY_SIZE)
+
+
+@_query
+def product_performance_any_size(at: Layers) -> DataFrame:
+    return gold.product_performance(at.fact, at.products, row_bound=ANY_SIZE)
+
+
+@_query
+def customer_analytics_any_size(at: Layers) -> DataFrame:
+    return gold.customer_analytics(at.fact, at.customers, at.products, row_bound=ANY_SIZE)
+
+
 # --- feature tables -------------------------------------------------------
 
 

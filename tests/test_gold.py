@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from shelfline.operators import gold
 from shelfline.operators.features import customer_features, customer_features_extended, product_features
+from shelfline.operators.ordered import ANY_SIZE
 
-ANY_SIZE = 10**12
 JAN = dt.date(2024, 1, 1)
 
 

@@ -9,9 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfline.operators.lookups import small_side
-from shelfline.operators.ordered import over_last_rows, with_rank, with_running_total, with_tiles
-
-ANY_SIZE = 10**12
+from shelfline.operators.ordered import ANY_SIZE, over_last_rows, with_rank, with_running_total, with_tiles
 
 
 def frame(spark, n, seed=7):

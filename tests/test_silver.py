@@ -6,6 +6,7 @@ from decimal import Decimal
 import builders as b
 
 from shelfline.operators.dimensions import dim_customers, dim_products
+from shelfline.operators.ordered import ANY_SIZE
 from shelfline.operators.silver import quarantined_sales, silver_sales
 from shelfline.schemas import FACT_SALES, RAW_PRODUCTS, conform
 
@@ -116,6 +117,6 @@ def test_customer_segments_follow_value(spark, rows):
         ("c5", "Low", dt.date(2024, 1, 5)),
         ("idle", "Inactive", None),
     ]
-    for bound in (None, 10**12):
+    for bound in (None, ANY_SIZE):
         found = dim_customers(raw, fact, row_bound=bound)
         assert rows(found, "customer_id", "customer_segment", "signup_date") == expected

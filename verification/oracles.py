@@ -221,6 +221,14 @@ FROM fact f LEFT JOIN by_state s ON f.state_name = s.state LEFT JOIN by_region r
 GROUP BY 1, 2""",
 )
 
+ORACLES["compat_quarters"] = _with(
+    _LINES,
+    select="""
+SELECT sale_month, CAST(round(CAST(sale_month - 1 AS DOUBLE) / 3 + 1, 0) AS INT) AS sale_quarter,
+       count(*) AS sales_lines
+FROM fact GROUP BY 1, 2""",
+)
+
 ORACLES["dim_customers"] = _with(_LINES, _CUSTOMERS, select="SELECT * FROM customers")
 
 ORACLES["dim_products"] = _with(
@@ -309,6 +317,9 @@ SELECT count(DISTINCT order_id) AS total_orders, CAST(sum(net_revenue) AS DOUBLE
 FROM fact""",
 )
 
+for _view in ("daily_sales_summary", "product_performance", "customer_analytics"):
+    ORACLES[f"{_view}_any_size"] = ORACLES[_view]
+
 # --- feature tables -------------------------------------------------------
 
 ORACLES["customer_features"] = _with(
