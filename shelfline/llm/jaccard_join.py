@@ -13,8 +13,9 @@ member. Only groups whose bound reaches the threshold are opened.
    share stand in the first `n - ceil(t n) + l` of both, so a document with
    fewer than `l` such tokens in other groups can link to none of them.
 4. For the rest, the matrix of (token, group) is joined to the documents'
-   tokens: a group is opened when the overlap with its union is at least
-   `t` times the document's size. Opened groups are verified in blocks.
+   rarest tokens, one of which a group must have; the document then meets the
+   group's union, and the group is opened when their overlap is at least `t`
+   times the document's size.
 
 No pair of documents is ever a row: blocks emit a spanning set of links.
 """
@@ -48,7 +49,10 @@ from shelfline.llm.text import (
 SHINGLE_WORDS = 5
 BANDS = 2
 BLOCK_DOCS = 48
-QUERIES_PER_BLOCK = 1024
+BROADCAST_ROWS = 200_000
+GROUP_DOCS = 192
+GROUP_TOKENS = 200_000
+QUERIES_PER_GROUP = 1024
 
 
 def shingles(text: bytes | None, cache: WordHashes, size: int = SHINGLE_WORDS) -> np.ndarray:
@@ -151,7 +155,11 @@ def _links_in_blocks(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _texts_of(rows: DataFrame, documents: DataFrame) -> DataFrame:
-    return _with_tokens(rows.join(documents, "doc_id"))
+    """Tokens of the documents in `rows`, a stored table whose size is looked
+    at: while it is small the texts stay where they are."""
+    if rows.count() <= BROADCAST_ROWS:
+        rows = F.broadcast(rows)
+    return _with_tokens(documents.join(rows, "doc_id"))
 
 
 def _first_links(classes: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
@@ -170,7 +178,7 @@ def _first_links(classes: DataFrame, documents: DataFrame, percent: int) -> Data
         (-F.col("hub.minus_id")).alias("doc_id"), "hub.set_id", block, F.lit(True).alias("hub")
     )
     places = spread.union(hubs).groupBy("doc_id", "set_id").agg(F.collect_set(F.struct("block", "hub")).alias("places"))
-    placed = _texts_of(places, documents).select("doc_id", "tokens", F.explode("places").alias("at"))
+    placed = _texts_of(stored(places, "places"), documents).select("doc_id", "tokens", F.explode("places").alias("at"))
     return _links_in_blocks(placed.select("at.block", "at.hub", "doc_id", "tokens"), percent)
 
 
@@ -214,46 +222,116 @@ def _shared_prefix_tokens(documents: DataFrame, percent: int) -> DataFrame:
 def _undecided(classes: DataFrame, members: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     """Documents that may link into another group than their own."""
     shared = _shared_prefix_tokens(documents, percent)
-    placed = shared.join(members.select("doc_id", "rep", "home"), "doc_id").select("token", "rep", "home").distinct()
+    placed = shared.join(members, "doc_id").select("token", "rep", "home")
     across = placed.groupBy("token").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low <> high")
-    counted = placed.join(across.select("token"), "token").groupBy("rep", "home").agg(F.count(F.lit(1)).alias("foreign"))
+    counted = placed.join(across.select("token"), "token").groupBy("rep", "home").agg(F.count_distinct("token").alias("foreign"))
     least = F.greatest(F.lit(1), F.floor(F.col("n_shingles") * percent / 1000))
     return (
-        counted.join(classes.select(F.col("doc_id").alias("rep"), "set_id", "n_shingles"), "rep")
+        counted.join(classes.select(F.col("doc_id").alias("rep"), "set_id", "n_shingles", "bands"), "rep")
         .where(F.col("foreign") >= least)
-        .select(F.col("rep").alias("doc_id"), "home", "set_id")
+        .select(F.col("rep").alias("doc_id"), "home", "set_id", F.col("n_shingles").alias("size"), F.col("bands")[0].alias("value"))
     )
 
 
-def _exploded(rows: DataFrame) -> DataFrame:
-    """One row per document and token."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _grouped(rows: DataFrame) -> DataFrame:
+    """Undecided documents dealt into groups of similar ones: a group holds
+    members of one component (`single` false), or documents linked to nothing
+    so far that share a min-hash."""
+    alone = rows.groupBy("home").agg((F.count(F.lit(1)) == 1).alias("single"))
+    keyed = rows.join(alone, "home").withColumn("key", F.when(F.col("single"), F.col("value")).otherwise(F.col("home")))
+    fitting = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_DOCS), F.ceil(F.sum("size") / GROUP_TOKENS))
+    parts = keyed.groupBy("single", "key").agg(fitting.alias("parts"))
+    part = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
+    dealt = keyed.join(parts, ["single", "key"]).withColumn("group", F.xxhash64("single", "key", part))
+    return dealt.select("doc_id", "home", "single", "group", "set_id")
+
+
+def _matrix(rows: DataFrame) -> DataFrame:
+    """The token-group matrix, read by document: doc_id, home, single, group,
+    size, token, and `groups`, how many groups have the token. Tokens that only
+    one component has are left out."""
+    kinds = {"token": np.uint64, "doc": np.int64, "home": np.int64, "group": np.int64, "single": np.int8, "size": np.int32}
+    buckets = 4 * shuffle_width(rows.sparkSession)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = Packed(list(kinds), buckets)
         for batch in batches:
             for row in batch.to_pylist():
-                tokens = np.frombuffer(row["tokens"], np.int64)
-                fixed = [pa.array(np.full(len(tokens), row[name], np.int64)) for name in ("doc_id", "home")]
-                size = pa.array(np.full(len(tokens), len(tokens), np.int64))
-                yield pa.RecordBatch.from_arrays([*fixed, size, pa.array(tokens)], ["doc_id", "home", "size", "token"])
+                tokens = np.frombuffer(row["tokens"], np.uint64)
+                values = (row["doc_id"], row["home"], row["group"], row["single"], len(tokens))
+                packed.add(tokens, *(np.full(len(tokens), v, kind) for v, kind in zip(values, list(kinds.values())[1:])))
+                if packed.full:
+                    yield from packed.rows()
+        yield from packed.rows()
 
-    return rows.mapInArrow(run, "doc_id long, home long, size long, token long")
+    def cells(table: pa.Table) -> pa.Table:
+        arrays = unpacked(table, **kinds)
+        order = np.lexsort((arrays[3], arrays[2], arrays[0]))
+        token, doc, home, group, single, size = (a[order] for a in arrays)
+        first = np.ones(len(token), bool)
+        first[1:] = token[1:] != token[:-1]
+        run = np.cumsum(first) - 1
+        starts = np.flatnonzero(first)
+        groups = _distinct_per_run(run, group)
+        homes = np.maximum.reduceat(home, starts) != np.minimum.reduceat(home, starts) if len(starts) else np.empty(0, bool)
+        keep = homes[run]
+        columns = {"doc_id": doc, "home": home, "single": single.astype(bool), "group": group, "size": size.astype(np.int64), "token": token.view(np.int64), "groups": groups[run]}
+        return pa.table({name: values[keep] for name, values in columns.items()})
+
+    packed = rows.mapInArrow(spread, packed_schema(list(kinds))).groupBy("bucket")
+    return packed.applyInArrow(cells, "doc_id long, home long, single boolean, group long, size long, token long, groups long")
+
+
+def _distinct_per_run(run: np.ndarray, values: np.ndarray) -> np.ndarray:
+    order = np.lexsort((values, run))
+    run, values = run[order], values[order]
+    new = np.ones(len(run), bool)
+    new[1:] = (run[1:] != run[:-1]) | (values[1:] != values[:-1])
+    return np.bincount(run[new]).astype(np.int64)
+
+
+class _Group:
+    """Members of one group and the union of their tokens."""
+
+    def __init__(self, members: list[tuple[int, np.ndarray]]):
+        self.docs = [doc for doc, _ in members]
+        self.sizes = np.array([len(tokens) for _, tokens in members], np.int64)
+        self.union = np.unique(np.concatenate([tokens for _, tokens in members]))
+        self.has = np.zeros((len(members), len(self.union)), bool)
+        for row, (_, tokens) in zip(self.has, members):
+            row[np.searchsorted(self.union, tokens)] = True
+
+    def link(self, tokens: np.ndarray, percent: int) -> int | None:
+        """A member that `tokens` links to; the group is opened only when the
+        overlap with its union allows one."""
+        found = np.searchsorted(self.union, tokens)
+        found[found == len(self.union)] = 0
+        found = found[self.union[found] == tokens]
+        if len(found) < needed(len(tokens), percent):
+            return None
+        shared = self.has[:, found].sum(axis=1)
+        fit = np.flatnonzero(100 * shared >= percent * (self.sizes + len(tokens) - shared))
+        return self.docs[fit[0]] if len(fit) else None
 
 
 def _links_of_opened(open_rows: DataFrame, percent: int) -> DataFrame:
-    """One link per query and block; members stand first in their block."""
+    """At most one link per query and group; members stand first in a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, members = None, []
+        block, members, group = None, [], None
         for batch in batches:
             found = []
             for row in batch.to_pylist():
                 if row["block"] != block:
-                    block, members = row["block"], []
+                    block, members, group = row["block"], [], None
                 tokens = np.frombuffer(row["tokens"], np.uint64)
                 if row["hub"]:
                     members.append((row["doc_id"], tokens))
                     continue
-                found += next(([(row["doc_id"], doc)] for doc, held in members if doc != row["doc_id"] and linked(tokens, held, percent)), [])
+                group = group or _Group(members)
+                other = group.link(tokens, percent)
+                if other is not None:
+                    found.append((row["doc_id"], other))
             if found:
                 a, b = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -263,40 +341,28 @@ def _links_of_opened(open_rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _group_links(rows: DataFrame, percent: int) -> DataFrame:
-    """Links between groups; `rows`: doc_id, home, tokens of the undecided."""
+    """Links between documents of different components; `rows`: doc_id, home,
+    single, group, tokens of the undecided."""
     least = F.ceil(F.col("size") * percent / 100)
-    entries = _exploded(rows)
-    matrix = entries.select("token", "home").distinct()
-    spread = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    foreign = entries.join(spread, "token")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("groups", "token"))
-    all_foreign = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
-    ranked = stored(
-        foreign.withColumn("held", all_foreign).where(F.col("held") >= least).withColumn("rank", rank), "foreign-tokens"
-    )
-    union = stored(matrix.join(spread, "token").select("token", F.col("home").alias("group")), "token-groups")
-    rare = ranked.where(F.col("rank") <= F.col("held") - least + 1)
-    candidates = rare.join(union, "token").where("home <> group").select("doc_id", "group").distinct()
-    overlap = ranked.join(candidates, "doc_id").join(union, ["token", "group"]).groupBy("doc_id", "group", "size").agg(F.count(F.lit(1)).alias("bound"))
-    opened = stored(overlap.where(F.col("bound") >= least).select("doc_id", "group"), "opened-groups")
-    sizes = rows.groupBy(F.col("home").alias("group")).agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("parts"))
-    asked = opened.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_BLOCK).cast("int").alias("salts"))
-    plan = asked.join(sizes, "group")
-    block = F.xxhash64("group", "part", "salt").alias("block")
-    queries = (
-        opened.join(plan, "group")
-        .withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("doc_id", block, F.lit(False).alias("hub"))
-    )
-    held = (
-        rows.select("doc_id", F.col("home").alias("group"))
-        .join(plan, "group")
-        .withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        .select("doc_id", block, F.lit(True).alias("hub"))
+    of_doc = Window.partitionBy("doc_id")
+    cells = stored(_matrix(rows).withColumn("held", F.count(F.lit(1)).over(of_doc)).where(F.col("held") >= least), "token-groups")
+    # What a document asks: single ones ask all groups; of two components the later asks.
+    asks = cells.withColumn("rank", F.row_number().over(of_doc.orderBy("groups", "token")))
+    union = cells.select("token", "group", F.col("home").alias("group_home"), F.col("single").alias("group_single"))
+    union = union.withColumn("group_home", F.when(F.col("group_single"), 0).otherwise(F.col("group_home"))).distinct()
+    allowed = (F.col("asking") != F.col("group")) & (
+        F.when(F.col("group_single"), F.col("single")).otherwise((F.col("home") > F.col("group_home")) | (F.col("single") & (F.col("home") != F.col("group_home"))))
     )
-    return _links_of_opened(queries.union(held).join(rows.select("doc_id", "tokens"), "doc_id"), percent)
+    rare = asks.where(F.col("rank") <= F.col("held") - least + 1).withColumnRenamed("group", "asking")
+    asked = stored(rare.join(union, "token").where(allowed).select("doc_id", "group").distinct(), "asked-groups")
+    salts = asked.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_GROUP).cast("int").alias("salts"))
+    block = F.xxhash64("group", "salt").alias("block")
+    queries = asked.join(salts, "group").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
+    held = rows.select("doc_id", "group").join(salts, "group").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    places = queries.select("doc_id", block, F.lit(False).alias("hub")).union(held.select("doc_id", block, F.lit(True).alias("hub")))
+    within = rows.where("single").select(F.col("group").alias("block"), F.lit(False).alias("hub"), "doc_id", "tokens")
+    across = places.join(rows.select("doc_id", "tokens"), "doc_id")
+    return _links_of_opened(across, percent).union(_links_in_blocks(within, percent))
 
 
 def _with_home(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -330,7 +396,8 @@ def jaccard_components(documents: DataFrame, percent: int = 80) -> DataFrame:
     homes = stored(_with_home(classes, first).select("set_id", F.col("doc_id").alias("rep"), "home"), "first-groups")
     members = largest.join(homes, "set_id").select("doc_id", "rep", "home")
     undecided = _undecided(classes, members, chosen, percent)
-    rows = stored(_texts_of(undecided, chosen).dropDuplicates(["doc_id"]), "undecided")
+    groups = stored(_grouped(stored(undecided, "undecided")), "groups")
+    rows = stored(_texts_of(groups, chosen).dropDuplicates(["doc_id"]), "group-tokens")
     links = stored(first.union(_group_links(rows, percent)), "all-links")
     final = _with_home(classes, links).select("set_id", "home")
     named = largest.join(final, "set_id").select("doc_id", "home")
