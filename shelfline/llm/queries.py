@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfline.llm import jaccard_join, quality_rules
+from shelfline.llm import jaccard_join, quality_rules, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,6 +26,12 @@ def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, folder, "documents"))
 
 
+@_query
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substring_dedup.digested(substring_dedup.without_repeats(_table(spark, folder, "documents")))
+    return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @_query
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     ruled = quality_rules.judged(_table(spark, folder, "documents"))
