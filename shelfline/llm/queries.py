@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfline.llm import jaccard_join, quality_rules, substring_dedup
+from shelfline.llm import jaccard_join, license_scan, quality_classifier, quality_rules, substring_dedup, token_files
+from shelfline.session import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,13 +28,31 @@ def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, folder, "documents"))
 
 
+@_query
+def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    files = fresh_path(spark, "token-files")
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    token_files.write_token_files(_table(spark, folder, "documents"), files, tokenizer, end_id=2)
+    return token_files.read_documents(spark, files)
+
+
 @_query
 def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = substring_dedup.digested(substring_dedup.without_repeats(_table(spark, folder, "documents")))
     return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@_query
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_classifier.quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 @_query
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     ruled = quality_rules.judged(_table(spark, folder, "documents"))
     return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+
+
+@_query
+def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.license_scan(_table(spark, folder, "documents"))
