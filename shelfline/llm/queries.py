@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfline.llm import jaccard_join, license_scan, quality_classifier, quality_rules, substring_dedup, token_files
+from shelfline.llm import jaccard_join, license_scan, packing, quality_classifier, quality_rules, substring_dedup, token_files
 from shelfline.session import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,11 @@ def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_documents(spark, files)
 
 
+@_query
+def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 @_query
 def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = substring_dedup.digested(substring_dedup.without_repeats(_table(spark, folder, "documents")))
