@@ -23,12 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.llm.text import texts
-
-# Lower-cases A-Z and turns every other ASCII character outside a-z, 0-9 into a space.
-TO_WORDS = bytes(
-    c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256)
-)
+from shelfline.llm.text import TO_WORDS, texts
 
 # Phrases and the labels they stand for.
 PHRASES = {

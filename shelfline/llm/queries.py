@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfline.llm import jaccard_join, license_scan, packing, quality_classifier, quality_rules, substring_dedup, token_files
+from shelfline.llm import decontamination, jaccard_join, license_scan, packing, quality_classifier, quality_rules, substring_dedup, token_files
 from shelfline.session import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,11 @@ def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+@_query
+def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 @_query
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     ruled = quality_rules.judged(_table(spark, folder, "documents"))
