@@ -224,19 +224,21 @@ def _undecided(classes: DataFrame, members: DataFrame, documents: DataFrame, per
     shared = _shared_prefix_tokens(documents, percent)
     placed = shared.join(members, "doc_id").select("token", "rep", "home")
     across = placed.groupBy("token").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low <> high")
-    counted = placed.join(across.select("token"), "token").groupBy("rep", "home").agg(F.count_distinct("token").alias("foreign"))
+    counted = placed.join(across.select("token"), "token").groupBy("rep", "home").agg(
+        F.count_distinct("token").alias("foreign"), F.min("token").alias("value")
+    )
     least = F.greatest(F.lit(1), F.floor(F.col("n_shingles") * percent / 1000))
     return (
-        counted.join(classes.select(F.col("doc_id").alias("rep"), "set_id", "n_shingles", "bands"), "rep")
+        counted.join(classes.select(F.col("doc_id").alias("rep"), "set_id", "n_shingles"), "rep")
         .where(F.col("foreign") >= least)
-        .select(F.col("rep").alias("doc_id"), "home", "set_id", F.col("n_shingles").alias("size"), F.col("bands")[0].alias("value"))
+        .select(F.col("rep").alias("doc_id"), "home", "set_id", F.col("n_shingles").alias("size"), "value")
     )
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
     """Undecided documents dealt into groups of similar ones: a group holds
     members of one component (`single` false), or documents linked to nothing
-    so far that share a min-hash."""
+    so far with the same least token among those that other components have."""
     alone = rows.groupBy("home").agg((F.count(F.lit(1)) == 1).alias("single"))
     keyed = rows.join(alone, "home").withColumn("key", F.when(F.col("single"), F.col("value")).otherwise(F.col("home")))
     fitting = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_DOCS), F.ceil(F.sum("size") / GROUP_TOKENS))
