@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfline.llm import decontamination, jaccard_join, license_scan, packing, quality_classifier, quality_rules, substring_dedup, token_files
+from shelfline.llm import decontamination, jaccard_join, license_scan, packing, pii, quality_classifier, quality_rules, substring_dedup, token_files
 from shelfline.session import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,3 +66,8 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.license_scan(_table(spark, folder, "documents"))
+
+
+@_query
+def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(_table(spark, folder, "documents"))
