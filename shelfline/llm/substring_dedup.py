@@ -5,7 +5,7 @@ Of any `window` consecutive words, the least hash among their short runs
 the same anchor. Documents are first joined on anchors: one that stands in a
 single place cannot be part of a repeat, and most do. Around each remaining
 seed the match is then extended both ways: every window that the seed anchors
-is compared, by a 128-bit hash of its words, with the earliest window of the
+is compared, by a 96-bit hash of its words, with the earliest window of the
 same words. Windows with an earlier twin that touch or overlap make a maximal
 repeat; its words are removed.
 
@@ -82,10 +82,13 @@ class _Dealt(Packed):
     """Packed rows of which some are already decided and only pass through
     buckets of their own, chosen by task so that they spread."""
 
-    def decided(self, *arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(arrays[0]):
-            bucket = self.buckets + int(arrays[0][0] % np.uint64(self.buckets))
-            columns = [pa.array([bucket], pa.int32()), *(pa.array([a.tobytes()], pa.binary()) for a in arrays)]
+    def decided(self, **arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """One row of the arrays that still matter; the others stay empty."""
+        docs = arrays["doc"]
+        if len(docs):
+            bucket = self.buckets + int(docs[0] * 31 + len(docs)) % self.buckets
+            packed = [arrays[name].tobytes() if name in arrays else b"" for name in self.names]
+            columns = [pa.array([bucket], pa.int32()), *(pa.array([a], pa.binary()) for a in packed)]
             yield pa.RecordBatch.from_arrays(columns, ["bucket", *self.names])
 
 
@@ -102,24 +105,24 @@ def _seeds(documents: DataFrame, buckets: int, window: int, gram: int) -> DataFr
         several = count[group] > 1
         # One entry of each anchor goes on; one seen twice here speaks for all.
         yield from packed.rows([anchors[new], np.minimum(count, 2).astype(np.uint8), docs[new], hashes[new]])
-        twice = np.full(int(several.sum()), 2, np.uint8)
-        yield from packed.decided(anchors[several], twice, docs[several], hashes[several])
+        yield from packed.decided(anchor=anchors[several], doc=docs[several], hash=hashes[several])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, packed = WordHashes(), _Dealt(ANCHOR, buckets)
         for batch in batches:
             for doc, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch)):
-                if doc is None or not text:
+                if not text:
                     continue
-                places = window_anchors(cache.of(text.split()), window, gram)[1]
-                packed.add(places, np.full(len(places), doc, np.int64), np.full(len(places), mark, np.int64))
+                places, times = np.unique(window_anchors(cache.of(text.split()), window, gram)[1], return_counts=True)
+                places = np.concatenate((places, places[times > 1]))
+                packed.add(places, np.full(len(places), doc, np.int64), np.full(len(places), mark, np.int32))
                 if packed.full:
                     yield from flushed(packed)
         if packed.held:
             yield from flushed(packed)
 
     def repeated(key: tuple, table: pa.Table) -> pa.Table:
-        anchors, places, docs, hashes = unpacked(table, anchor=np.uint64, places=np.uint8, doc=np.int64, hash=np.int64)
+        anchors, places, docs, hashes = unpacked(table, anchor=np.uint64, places=np.uint8, doc=np.int64, hash=np.int32)
         if key[0].as_py() < buckets:
             order = np.argsort(anchors, kind="stable")
             group = np.empty(len(order), np.int64)
@@ -129,7 +132,7 @@ def _seeds(documents: DataFrame, buckets: int, window: int, gram: int) -> DataFr
         return _per_document(anchors, docs, hashes, "anchors")
 
     found = documents.mapInArrow(find, packed_schema(ANCHOR)).groupBy("bucket")
-    return found.applyInArrow(repeated, "doc_id long, text_hash long, anchors binary").groupBy(*KEYS).agg(F.collect_list("anchors").alias("seeds"))
+    return found.applyInArrow(repeated, "doc_id long, text_hash int, anchors binary").groupBy(*KEYS).agg(F.collect_list("anchors").alias("seeds"))
 
 
 def _repeats(seeded: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
@@ -144,7 +147,7 @@ def _repeats(seeded: DataFrame, buckets: int, window: int, gram: int) -> DataFra
         first = every[new][np.cumsum(new) - 1]
         later = (docs != docs[first]) | (hashes != hashes[first]) | (starts != starts[first])
         yield from packed.rows([a[new] for a in (low, high, docs, hashes, starts)])
-        yield from packed.decided(*(a[later] for a in (low, high, docs, hashes, starts)))
+        yield from packed.decided(doc=docs[later], hash=hashes[later], start=starts[later])
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, packed = WordHashes(), _Dealt(PLACE, buckets)
@@ -158,14 +161,15 @@ def _repeats(seeded: DataFrame, buckets: int, window: int, gram: int) -> DataFra
                 if not len(starts):
                     continue
                 low, high = (gram_hashes(words, window, seed)[starts] for seed in (43, 47))
-                packed.add(low, high, np.full(len(starts), doc, np.int64), np.full(len(starts), mark, np.int64), starts.astype(np.int32))
+                marks = np.full(len(starts), mark, np.int32)
+                packed.add(low, high.astype(np.uint32), np.full(len(starts), doc, np.int64), marks, starts.astype(np.int32))
                 if packed.full:
                     yield from flushed(packed)
         if packed.held:
             yield from flushed(packed)
 
     def later(key: tuple, table: pa.Table) -> pa.Table:
-        low, high, docs, hashes, starts = unpacked(table, low=np.uint64, high=np.uint64, doc=np.int64, hash=np.int64, start=np.int32)
+        low, high, docs, hashes, starts = unpacked(table, low=np.uint64, high=np.uint32, doc=np.int64, hash=np.int32, start=np.int32)
         if key[0].as_py() < buckets:
             order = np.lexsort((starts, hashes, docs, high, low))
             low, high, docs, hashes, starts = (a[order] for a in (low, high, docs, hashes, starts))
@@ -177,7 +181,7 @@ def _repeats(seeded: DataFrame, buckets: int, window: int, gram: int) -> DataFra
         return _per_document(starts, docs, hashes, "starts")
 
     found = seeded.mapInArrow(extend, packed_schema(PLACE)).groupBy("bucket")
-    return found.applyInArrow(later, "doc_id long, text_hash long, starts binary").groupBy(*KEYS).agg(F.collect_list("starts").alias("repeats"))
+    return found.applyInArrow(later, "doc_id long, text_hash int, starts binary").groupBy(*KEYS).agg(F.collect_list("starts").alias("repeats"))
 
 
 def _cut(rows: DataFrame, window: int) -> DataFrame:
@@ -211,14 +215,15 @@ def _cut(rows: DataFrame, window: int) -> DataFrame:
 def without_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed, spans of maximal repeats, kept_text."""
     buckets = 4 * shuffle_width(documents.sparkSession)
-    chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("text_hash"), "text")
     # One shuffle of the texts serves all three looks at them.
-    laid_out = chosen.repartition(shuffle_width(documents.sparkSession), *KEYS)
+    laid_out = chosen.where("doc_id IS NOT NULL").repartition(shuffle_width(documents.sparkSession), *KEYS)
     seeds = _seeds(laid_out, buckets, window, gram)
     seeded = laid_out.join(seeds.hint("shuffle_hash"), KEYS)
     repeats = _repeats(seeded.select(*KEYS, "text", "seeds"), buckets, window, gram)
     marked = laid_out.join(repeats.hint("shuffle_hash"), KEYS, "left")
-    return _cut(marked.select(*KEYS, "text", "repeats"), window)
+    nowhere = chosen.where("doc_id IS NULL").withColumn("repeats", F.lit(None).cast("array<binary>"))
+    return _cut(marked.select(*KEYS, "text", "repeats").union(nowhere.select(*KEYS, "text", "repeats")), window)
 
 
 def digested(rows: DataFrame) -> DataFrame:
