@@ -405,3 +405,27 @@ def jaccard_components(documents: DataFrame, percent: int = 80) -> DataFrame:
     named = largest.join(final, "set_id").select("doc_id", "home")
     joined = sets.select("doc_id", "n_shingles").join(named, "doc_id", "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("home", "doc_id").alias("component_id"))
+
+
+def one_of_each(documents: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of `documents` whose doc_id is the least of its component,
+    with their own columns.
+
+    Rows without doc_id stay. Of rows that repeat a doc_id the one with the
+    greatest text stays.
+    """
+    found = stored(jaccard_components(documents, percent), "components")
+    key = F.col("doc_id").cast("long")
+    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    dropped = stored(dropped, "near-duplicates")
+    if dropped.count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
+    kept = documents.join(dropped, key == F.col("gone"), "left_anti")
+    repeated = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("again")).count().where("count > 1").select("again")
+    repeated = stored(repeated, "repeated-ids")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, key == F.col("again"), "left_anti")
+    several = kept.join(repeated, key == F.col("again")).drop("again")
+    row = F.max_by(F.struct(*documents.columns), F.coalesce("text", F.lit("")))
+    return once.unionByName(several.groupBy("doc_id").agg(row.alias("row")).select("row.*"))

@@ -68,3 +68,13 @@ kept AS (
 SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(k, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)
 """
+
+# The given conversations hold no tool calls.
+ORACLES["op9_chat_format"] = """
+WITH m AS (
+  SELECT conv_id, turn // 256 AS part, turn, role, to_json({'content': text, 'role': role}) AS json FROM conversations)
+SELECT conv_id, part, CAST(0 AS BIGINT) AS piece, count(*) AS n_messages, CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_invalid_calls,
+  CAST(0 AS BIGINT) AS n_answers, CAST(0 AS BIGINT) AS n_orphans,
+  '[' || string_agg(CAST(json AS VARCHAR), ',' ORDER BY turn, role, json) || ']' AS messages
+FROM m GROUP BY conv_id, part
+"""

@@ -195,8 +195,8 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     return _fitted_in_a_task(_packed_features(sample.dropDuplicates(["doc_id", "label"])), ratios)
 
 
-def scored(documents: DataFrame, model: Model) -> DataFrame:
-    """`documents` with a column `score`; no shuffle."""
+def scored(documents: DataFrame, model: Model, column: str = "score") -> DataFrame:
+    """`documents` with a column of scores; no shuffle."""
     broadcast = documents.sparkSession.sparkContext.broadcast(model)
     kept = documents.columns
 
@@ -204,10 +204,10 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
         shapes, fitted = _Shapes(), broadcast.value
         for batch in batches:
             scores = pa.array([fitted.score(features(text, shapes)) for text in texts(batch)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*kept, column])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-    return documents.mapInArrow(run, schema + ", score double")
+    return documents.mapInArrow(run, f"{schema}, `{column}` double")
 
 
 def fold(doc_id: Column) -> Column:
@@ -230,3 +230,12 @@ def quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = scored(chosen, quality_model(documents, labels))
     return rows.select("doc_id", (fold(F.col("doc_id")) == HELD_FOLD).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
+def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `documents` with a score of `CUT` or more, with their own
+    columns."""
+    column = "score"
+    while column in {name.lower() for name in documents.columns}:
+        column += "_"
+    return scored(documents, quality_model(documents, labels), column).where(F.col(column) >= CUT).drop(column)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfline.llm import decontamination, jaccard_join, license_scan, packing, pii, quality_classifier, quality_rules, substring_dedup, token_files
+from shelfline.llm import chat_format, decontamination, jaccard_join, license_scan, packing, pii, quality_classifier, quality_rules, substring_dedup, token_files
 from shelfline.session import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,3 +71,15 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(_table(spark, folder, "documents"))
+
+
+# Tools a conversation may call; the given tables hold no calls of others.
+TOOLS = {
+    "search": {"query": ("string", True), "limit": ("integer", False)},
+    "calculate": {"expression": ("string", True)},
+}
+
+
+@_query
+def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    return chat_format.formatted(_table(spark, folder, "conversations"), TOOLS)
