@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.llm.text import stored
-from shelfline.llm.tokens import PieceEncoder
+from shelfline.llm.tokens import encoder as worker_encoder
 
 CAPACITY = 1024
 BLOCK_ITEMS = 2048
@@ -216,7 +216,7 @@ def token_pieces(documents: DataFrame, tokenizer: str, end_id: int, capacity: in
     end = np.uint32(end_id).tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, row, full = PieceEncoder(tokenizer, word_ends), 0, 0
+        encoder, row, full = worker_encoder(tokenizer, word_ends), 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)

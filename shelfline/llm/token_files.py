@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfline.llm.text import shuffle_width
-from shelfline.llm.tokens import PieceEncoder
+from shelfline.llm.tokens import encoder as worker_encoder
 
 SEGMENT_TOKENS = 1 << 20
 DIRECTORY_BITS = 512
@@ -92,7 +92,7 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer: str, end_id:
     end = np.uint32(end_id).tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer, word_ends)
+        encoder = worker_encoder(tokenizer, word_ends)
         part, segment, before, docs, held, size = 0, 0, 0, [], [], 0
 
         def row() -> pa.RecordBatch:

@@ -7,55 +7,95 @@ of the pieces are put together. The result equals encoding the whole text.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 
 import numpy as np
 from tokenizers import Tokenizer
 
-REMEMBERED_PIECES = 800_000
+REMEMBERED_PIECES = 1_600_000
 
-# White space other than single spaces and newlines, and what may be a special token.
-UNUSUAL = re.compile(r"[^\S \n]|  |<\|")
+# Words of these characters are cut further, into runs of letters, of digits
+# and of other marks, as both tokenizers do. An apostrophe may begin a
+# contraction, and marks beyond ASCII may join others, so they are left alone.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+PLAIN_WORD = re.compile(f"[!-&(-~{LETTERS}]+")
+WORD_RUNS = re.compile(f"[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
+PLAIN_CHUNK = re.compile(f" ?[!-&(-~{LETTERS}]+(?:\n[!-&(-~{LETTERS}]+)*\n?")
+CHUNK_RUNS = re.compile(f" ?[{LETTERS}]+| ?[0-9]+|\n| ?[^{LETTERS}0-9\n ]+")
+
+
+class _Runs(dict):
+    """Ids of a run, by the tokenizer."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer = tokenizer
+
+    def __missing__(self, run: str) -> bytes:
+        found = self.tokenizer.encode_batch_fast([run], add_special_tokens=False)[0]
+        ids = self[run] = np.array(found.ids, np.uint32).tobytes()
+        return ids
+
+
+class _Pieces(dict):
+    """Ids of a piece, put together from its runs. `lead` goes before it."""
+
+    def __init__(self, runs: _Runs, word_ends: bool, lead: str = ""):
+        self.run_ids, self.word_ends, self.lead = runs.__getitem__, word_ends, lead
+
+    def __missing__(self, piece: str) -> bytes:
+        text = self.lead + piece
+        if self.word_ends:
+            cut = WORD_RUNS.findall(text.lower()) if PLAIN_WORD.fullmatch(text) else [text]
+        else:
+            cut = CHUNK_RUNS.findall(text) if PLAIN_CHUNK.fullmatch(text) else [text]
+        ids = self[piece] = b"".join(map(self.run_ids, cut))
+        return ids
 
 
 class PieceEncoder:
     """Encodes texts to the bytes of their ids, unsigned 32-bit little-endian.
 
-    `word_ends`: the tokenizer drops white space, so pieces are the words.
-    Otherwise a space belongs to what follows it, and a piece is a space with
-    the characters up to the next one. Texts with other white space, or with
-    what may be a special token, are encoded whole.
+    `word_ends`: the tokenizer drops white space and case, so pieces are the
+    words. Otherwise a space belongs to what follows it, and a piece is a space
+    with the characters up to the next one; texts with two spaces in a row are
+    encoded whole. So are those with what may be a special token, and those
+    with separators that Python takes for white space and the tokenizer doesn't.
     """
 
     def __init__(self, path: str, word_ends: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.word_ends = word_ends
-        self.first: dict[str, bytes] = {}
-        self.after: dict[str, bytes] = {}
-
-    def _learn(self, known: dict[str, bytes], pieces: list[str], lead: str) -> None:
-        encoded = self.tokenizer.encode_batch_fast([lead + piece for piece in pieces], add_special_tokens=False)
-        for piece, found in zip(pieces, encoded):
-            known[piece] = np.array(found.ids, np.uint32).tobytes()
+        self.runs = _Runs(self.tokenizer)
+        self.first = _Pieces(self.runs, word_ends)
+        self.after = _Pieces(self.runs, word_ends, "" if word_ends else " ")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
+    def _one(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        unusual = ("<|", "\x1c", "\x1d", "\x1e", "\x1f") if self.word_ends else ("<|", "  ")
+        if any(mark in text for mark in unusual):
+            return self._whole(text)
+        if self.word_ends:
+            return b"".join(map(self.after.__getitem__, text.split()))
+        first, *rest = text.split(" ")
+        ids = b"".join(map(self.after.__getitem__, rest))
+        return self.first[first] + ids if first else ids
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; none for null."""
-        plain = [bool(text) and not UNUSUAL.search(text) for text in texts]
-        cut = [(text.split() if self.word_ends else text.split(" ")) if ok else [] for ok, text in zip(plain, texts)]
-        after = set().union(*cut) if self.word_ends else set().union(*(pieces[1:] for pieces in cut))
-        if len(self.after) + len(after) > REMEMBERED_PIECES:
-            self.first.clear()
-            self.after.clear()
-        self._learn(self.after, list(after - self.after.keys()), "" if self.word_ends else " ")
-        get = self.after.__getitem__
-        if self.word_ends:
-            joined = [b"".join(map(get, pieces)) for pieces in cut]
-        else:
-            self._learn(self.first, list({pieces[0] for pieces in cut if pieces} - self.first.keys()), "")
-            joined = [b"".join([self.first[pieces[0]], *map(get, pieces[1:])]) if pieces else b"" for pieces in cut]
-        return [ids if ok else self._whole(text) if text else b"" for ok, ids, text in zip(plain, joined, texts)]
+        if len(self.first) + len(self.after) + len(self.runs) > REMEMBERED_PIECES:
+            for known in (self.first, self.after, self.runs):
+                known.clear()
+        return [self._one(text) for text in texts]
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str, word_ends: bool) -> PieceEncoder:
+    """The encoder of a Python worker, kept from task to task."""
+    return PieceEncoder(path, word_ends)
