@@ -11,7 +11,8 @@ apart, and the displaced documents are put where they fit best, largest first.
 Islands are tasks of one shuffle; between epochs each gets the best solution of
 its neighbour. Of the best island's solution the full bins stay, and the
 documents of the others go on to the next round, in fewer blocks, until one
-block holds all of them. So no task's work grows with the corpus.
+block holds all of them or a round settles less than a fifth. So no task's
+work grows with the corpus.
 
 Null and empty texts have only the end id. Rows with a null or repeated doc_id
 are packed like any other. Only doc_id and text are read.
@@ -185,10 +186,13 @@ def _placed(best: DataFrame, capacity: int, last: bool) -> DataFrame:
 
 def pack_items(items: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """item_id, sequence_id, offset for `items` (item_id unique, size)."""
-    done, rounds, left = [], 0, items.select("item_id", F.col("size").cast("long").alias("size"))
+    done, rounds, before = [], 0, None
+    left = items.select("item_id", F.col("size").cast("long").alias("size"))
     while True:
         count = left.count()
         blocks = -(-count // block_items)
+        # Few that were left found a place in the last round: what remains is large.
+        last = blocks <= 1 or (before is not None and 5 * count > 4 * before)
         dealt = left.withColumn("block", F.pmod(F.xxhash64("item_id", F.lit(rounds)), F.lit(max(1, blocks))))
         islands = F.explode(F.array(*(F.lit(i) for i in range(ISLANDS)))).alias("island")
         state = _islands(dealt.select("*", islands), capacity, 0)
@@ -197,13 +201,13 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, block_items: int = BL
             migrants = state.withColumn("island", (F.col("island") + 1) % ISLANDS)
             state = _islands(state.union(migrants), capacity, epoch)
         best = state.groupBy("block").agg(F.max_by(F.struct("items", "sizes", "bins"), F.struct("fewer", "filled")).alias("s"))
-        last = blocks <= 1
         placed = stored(_placed(best.select("block", "s.*"), capacity, last), "placed")
         sequence = F.lit(rounds << 57) + F.col("block") * (1 << 20) + F.col("bin")
         done.append(placed.where("settled").select("item_id", sequence.alias("sequence_id"), "offset"))
         if last:
             break
         left, rounds = placed.where("NOT settled").select("item_id", "size"), rounds + 1
+        before = count
     result = done[0]
     for more in done[1:]:
         result = result.union(more)
