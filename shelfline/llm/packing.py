@@ -202,7 +202,7 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, block_items: int = BL
             state = _islands(state.union(migrants), capacity, epoch)
         best = state.groupBy("block").agg(F.max_by(F.struct("items", "sizes", "bins"), F.struct("fewer", "filled")).alias("s"))
         placed = stored(_placed(best.select("block", "s.*"), capacity, last), "placed")
-        sequence = F.lit(rounds << 57) + F.col("block") * (1 << 20) + F.col("bin")
+        sequence = F.lit(rounds << 55) + F.col("block") * (1 << 20) + F.col("bin")
         done.append(placed.where("settled").select("item_id", sequence.alias("sequence_id"), "offset"))
         if last:
             break

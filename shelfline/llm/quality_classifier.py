@@ -218,7 +218,9 @@ def labelled_texts(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, label of every labelled row outside the held-out fold."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
     marks = marks.where(F.col("label").isin(0, 1) & (fold(F.col("doc_id")) != HELD_FOLD))
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(marks, "doc_id")
+    chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # The texts are not sorted for this join; labels are the side that is held.
+    return chosen.join(marks.hint("shuffle_hash"), "doc_id")
 
 
 def quality_model(documents: DataFrame, labels: DataFrame) -> Model:
