@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,9 +11,18 @@ from pyspark.sql import functions as F
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
 
-def parsed_date(name: str) -> Column:
-    """Text to DATE; text that is no date gives NULL."""
-    return F.col(name).try_cast("date")
+ISO_DATE = "yyyy-MM-dd"
+
+
+def parsed_date(name: str, formats: Sequence[str] = (ISO_DATE,)) -> Column:
+    """Text to DATE by the first format that fits the whole text, else NULL."""
+
+    def read(form: str) -> Column:
+        if form == ISO_DATE:
+            return F.when(F.col(name).rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.col(name).try_cast("date"))
+        return F.try_to_timestamp(F.col(name), F.lit(form)).cast("date")
+
+    return F.coalesce(*map(read, formats))
 
 
 def month_start(name: str) -> Column:

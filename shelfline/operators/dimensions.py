@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfline.functions.dates import parsed_date
 from shelfline.functions.money import exact_sum, percent
-from shelfline.operators.gold import VALUE_TILES, value_order
-from shelfline.operators.ordered import with_tiles
+from shelfline.operators.gold import with_value_tiles
 from shelfline.schemas import DIM_CUSTOMERS, DIM_PRODUCTS, MONEY, conform
 
 # Customer segment per value quintile, then for no sales at all.
@@ -16,17 +15,16 @@ SEGMENTS = {1: "Champion", 2: "Loyal", 3: "Core", 4: "Occasional", 5: "Low"}
 NO_SALES = "Inactive"
 
 
-def customer_value(fact: DataFrame, customers: DataFrame, row_bound: int | None = None) -> DataFrame:
+def customer_value(fact: DataFrame, customers: DataFrame) -> DataFrame:
     """Lifetime value and value quintile of every listed customer with sales."""
     totals = fact.groupBy("customer_id").agg(exact_sum("net_revenue").alias("lifetime_value"))
     listed = totals.join(customers.select("customer_id"), "customer_id", "left_semi")
-    return with_tiles(listed, VALUE_TILES, value_order(), "value_quintile", row_bound=row_bound)
+    return with_value_tiles(listed)
 
 
-def dim_customers(customers: DataFrame, fact: DataFrame, row_bound: int | None = None) -> DataFrame:
+def dim_customers(customers: DataFrame, fact: DataFrame) -> DataFrame:
     """Customers with a typed signup date and a segment from their sales so far."""
-    bound = customers.count() if row_bound is None else row_bound
-    tiles = customer_value(fact, customers, bound).select("customer_id", "value_quintile")
+    tiles = customer_value(fact, customers).select("customer_id", "value_quintile")
     segment = F.lit(NO_SALES)
     for tile, label in SEGMENTS.items():
         segment = F.when(F.col("value_quintile") == tile, label).otherwise(segment)

@@ -9,9 +9,6 @@ from shelfline.functions.dates import month_label
 from shelfline.functions.money import exact_avg, exact_sum, growth_percent, percent, ratio
 from shelfline.operators.ordered import over_last_rows, with_rank, with_tiles
 
-# Distinct days one region can have: a century of them.
-CALENDAR_DAYS = 36_525
-
 # Shipped within this many days counts as fulfilled in time.
 ON_TIME_DAYS = 3
 VALUE_TILES = 5
@@ -39,21 +36,14 @@ def daily_sales(fact: DataFrame, products: DataFrame | None = None, approx: bool
 
 
 def daily_sales_summary(
-    fact: DataFrame,
-    products: DataFrame | None = None,
-    row_bound: int | None = None,
-    approx: bool = False,
+    fact: DataFrame, products: DataFrame | None = None, approx: bool = False
 ) -> DataFrame:
     """`daily_sales` with rolling, look-back and week-over-week measures.
 
     The rolling measures run over the last 7 or 30 *rows* of a region in
     (date, category) order; `rolling_7d_calendar` is the one over days.
-    `row_bound` bounds the daily rows of one region. Left out, it is taken from
-    the number of categories when there is a dimension to count them in.
     """
     daily = daily_sales(fact, products, approx)
-    if row_bound is None and products is not None:
-        row_bound = products.select("product_category").distinct().count() * CALENDAR_DAYS
 
     def rolling(window) -> dict[str, Column]:
         week, month = window.rowsBetween(-6, 0), window.rowsBetween(-29, 0)
@@ -62,9 +52,7 @@ def daily_sales_summary(
             added["rolling_30d_avg"] = exact_avg("total_revenue", lambda column: column.over(month))
         return added
 
-    rolled = over_last_rows(
-        daily, ["region"], ["sale_date", "product_category"], reach=29, columns=rolling, row_bound=row_bound
-    )
+    rolled = over_last_rows(daily, ["region"], ["sale_date", "product_category"], reach=29, columns=rolling)
     # At most one row per day in this window's groups.
     series = Window.partitionBy("region", "product_category").orderBy("sale_date")
     return rolled.withColumn("revenue_7d_ago", F.lag("total_revenue", 7).over(series)).withColumn(
@@ -99,22 +87,10 @@ def product_sales(fact: DataFrame, products: DataFrame, approx: bool = False) ->
     )
 
 
-def product_performance(
-    fact: DataFrame, products: DataFrame, row_bound: int | None = None, approx: bool = False
-) -> DataFrame:
-    """`product_sales` ranked by revenue within the category.
-
-    There are no more product names than products, which bounds the rows a
-    category can have.
-    """
-    bound = products.count() if row_bound is None else row_bound
-    return with_rank(
-        product_sales(fact, products, approx),
-        ["product_category"],
-        "revenue",
-        "category_revenue_rank",
-        row_bound=bound,
-    )
+def product_performance(fact: DataFrame, products: DataFrame, approx: bool = False) -> DataFrame:
+    """`product_sales` ranked by revenue within the category."""
+    sales = product_sales(fact, products, approx)
+    return with_rank(sales, ["product_category"], "revenue", "category_revenue_rank")
 
 
 def warehouse_monthly_performance(fact: DataFrame, warehouses: DataFrame, approx: bool = False) -> DataFrame:
@@ -154,7 +130,6 @@ def customer_analytics(
     fact: DataFrame,
     customers: DataFrame,
     products: DataFrame,
-    row_bound: int | None = None,
     approx: bool = False,
 ) -> DataFrame:
     """Value, tenure and value quintile per customer (1 = highest value).
@@ -202,13 +177,12 @@ def customer_analytics(
             "categories_purchased",
         )
     )
-    bound = customers.count() if row_bound is None else row_bound
-    return with_tiles(per_customer, VALUE_TILES, value_order(), "value_quintile", row_bound=bound)
+    return with_value_tiles(per_customer)
 
 
-def value_order() -> list[Column]:
-    """Highest lifetime value first, equal values by the customer's columns."""
-    return [F.col("lifetime_value").desc_nulls_last(), F.col("customer_id").asc_nulls_last()]
+def with_value_tiles(customers: DataFrame) -> DataFrame:
+    """Quintile of the lifetime value, 1 the highest; equal values by id."""
+    return with_tiles(customers, VALUE_TILES, "lifetime_value", "customer_id", "value_quintile")
 
 
 def kpi_summary(fact: DataFrame, approx: bool = False) -> DataFrame:

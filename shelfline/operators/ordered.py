@@ -1,9 +1,10 @@
-"""Ranks, tiles and rolling frames over groups of any size.
+"""Ranks, tiles and rolling frames over groups of any size, in one lazy plan.
 
-A window function puts each of its groups into one task. That is the plan to
-use while a known bound keeps the group small; beyond it the rows are laid out
-by range over the cluster, and what must cross from one block of rows to the
-next is carried by a table with a row per block.
+A window function puts each of its groups into one task. Here rows are first
+counted per bin of their sort value; a running sum over the bins, which are few
+whatever the rows, says how many rows stand before each bin, and a window only
+has to order the rows of one bin. Nothing runs while a plan is built, and a
+view follows its table.
 """
 
 from __future__ import annotations
@@ -13,102 +14,85 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from shelfline.session import settled
+# Bins per factor e of a value, and characters of a tie breaker that make a bin.
+BINS_PER_E = 4096
+TIE_PREFIX = 4
 
-# Rows one task may sort by itself, and a bound for rows nothing is known about.
-ONE_TASK_ROWS = 2_000_000
-ANY_SIZE = 10**18
 
+def order_bin(value: str) -> Column:
+    """A number that never falls where the numeric `value` rises: its sign and
+    logarithm, in steps of 1 / BINS_PER_E. A function of the row alone."""
+    number = F.col(value).cast("double")
+    size = (F.floor(F.log(F.abs(number)) * BINS_PER_E) + F.lit(1 << 24)).cast("long")
+    return F.when(number == 0, F.lit(0)).when(number > 0, size).otherwise(-size)
 
-def _one_task(row_bound: int | None) -> bool:
-    return row_bound is not None and row_bound <= ONE_TASK_ROWS
 
+def _before(keys: Sequence[str], *order: Column) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
-def _same(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
+
+def _joined(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Equi-join in which NULL equals NULL; `right` brings its other columns."""
+    renamed = right.withColumnsRenamed({name: f"_r_{name}" for name in names})
     condition = F.lit(True)
-    for ours, theirs in pairs:
-        condition = condition & left[ours].eqNullSafe(right[theirs])
-    return condition
+    for name in names:
+        condition = condition & left[name].eqNullSafe(renamed[f"_r_{name}"])
+    return left.join(renamed, condition).drop(*(f"_r_{name}" for name in names))
 
 
-def with_running_total(
-    df: DataFrame, order: Sequence[Column], weight: str, keys: Sequence[str] = ()
-) -> DataFrame:
-    """Add `_ahead`, the weight of the rows before this one within its key, and
-    `_total`, the weight of the key. `order` must be total within a key."""
-    keys = list(keys)
-    laid_out = df.repartitionByRange(*[F.col(key).asc() for key in keys], *order)
-    placed = settled(laid_out.withColumn("_block", F.spark_partition_id()))
-
-    before = Window.partitionBy("_block", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = placed.withColumn("_in_block", F.coalesce(F.sum(weight).over(before), F.lit(0)))
-
-    # One row per block and key met in it: at most partitions + keys in all.
-    key_names = [f"_key_{key}" for key in keys]
-    whole_key = Window.partitionBy(*key_names)
-    earlier = whole_key.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
-        placed.groupBy(F.col("_block").alias("_at"), *[F.col(key).alias(name) for key, name in zip(keys, key_names)])
-        .agg(F.sum(weight).alias("_weight"))
-        .withColumns(
-            {
-                "_blocks_ahead": F.coalesce(F.sum("_weight").over(earlier), F.lit(0)),
-                "_total": F.sum("_weight").over(whole_key),
-            }
-        )
-    )
-    if not keys:  # one row per shuffle partition
-        blocks = F.broadcast(blocks)
-    joined = rows.join(
-        blocks, (rows["_block"] == blocks["_at"]) & _same(rows, blocks, list(zip(keys, key_names)))
-    )
-    return joined.select(
-        *[rows[name] for name in df.columns],
-        (F.col("_in_block") + F.col("_blocks_ahead")).alias("_ahead"),
-        "_total",
-    )
+def _sorted(value: str, descending: bool) -> Column:
+    return F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
 
 
-def with_tiles(
-    df: DataFrame, tiles: int, order: Sequence[Column], name: str, row_bound: int | None = None
-) -> DataFrame:
-    """NTILE over all rows. `order` must be total; earlier tiles take the rest."""
-    if _one_task(row_bound):
-        return df.withColumn(name, F.ntile(tiles).over(Window.orderBy(*order)))
-    counted = with_running_total(df.withColumn("_one", F.lit(1)), order, "_one")
-    placed = counted.withColumns(
-        {"_size": F.expr(f"_total div {tiles}"), "_rest": F.expr(f"_total % {tiles}")}
-    ).withColumn("_in_large", F.expr("_rest * (_size + 1)"))  # rows in tiles of one more
-    tile = F.expr(
-        "CASE WHEN _ahead < _in_large THEN _ahead div (_size + 1) + 1 "
-        "ELSE _rest + (_ahead - _in_large) div greatest(_size, 1) + 1 END"
-    )
-    return placed.select(*df.columns, tile.cast("int").alias(name))
-
-
-def with_rank(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    name: str,
-    descending: bool = True,
-    row_bound: int | None = None,
-) -> DataFrame:
-    """RANK of `value` within `keys`, equal values sharing a rank, NULLs last."""
+def value_levels(df: DataFrame, keys: Sequence[str], value: str, descending: bool) -> DataFrame:
+    """keys, value, `_ahead` (rows with a value before this one within the
+    key) and `_total` (rows of the key), one row per distinct value."""
     keys = list(keys)
-    order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
-    if _one_task(row_bound):
-        return df.withColumn(name, F.rank().over(Window.partitionBy(*keys).orderBy(order)).cast("long"))
-    # Equal values are merged before they are laid out, so a value that many
-    # rows share is one row there; the join back is an equi-join AQE can split.
-    rows = settled(df)
-    levels = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_rows"))
-    ranked = with_running_total(levels, [order], "_rows", keys).select(
-        *[F.col(column).alias(f"_level_{column}") for column in [*keys, value]],
-        (F.col("_ahead") + 1).cast("long").alias(name),
+    levels = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_bin", order_bin(value))
+    bins = levels.groupBy(*keys, "_bin").agg(F.sum("_rows").alias("_bin_rows"))
+    bins = bins.withColumn("_bins_ahead", F.coalesce(F.sum("_bin_rows").over(_before(keys, _sorted("_bin", descending))), F.lit(0)))
+    bins = bins.withColumn("_total", F.sum("_bin_rows").over(Window.partitionBy(*keys))).drop("_bin_rows")
+    inside = F.coalesce(F.sum("_rows").over(_before([*keys, "_bin"], _sorted(value, descending))), F.lit(0))
+    placed = _joined(levels.withColumn("_inside", inside), bins, [*keys, "_bin"])
+    return placed.select(*keys, value, (F.col("_inside") + F.col("_bins_ahead")).alias("_ahead"), "_total")
+
+
+def with_rank(df: DataFrame, keys: Sequence[str], value: str, name: str, descending: bool = True) -> DataFrame:
+    """RANK of a numeric `value` within `keys`, equal values sharing a rank,
+    NULLs last. A value that many rows share is one row until the last join."""
+    levels = value_levels(df, keys, value, descending)
+    ranked = levels.select(*keys, value, (F.col("_ahead") + 1).cast("long").alias(name))
+    return _joined(df, ranked, [*keys, value]).select(*df.columns, name)
+
+
+def with_tiles(df: DataFrame, tiles: int, value: str, tie: str, name: str, descending: bool = True) -> DataFrame:
+    """NTILE over all rows by `value`, NULLs last, equal values by `tie`
+    ascending; earlier tiles take the rest. Only `value` and `tie`, which
+    identify a row, are ordered; the other columns are joined back."""
+    narrow = df.select(value, tie)
+    prefix = F.substring(F.col(tie).cast("string"), 1, TIE_PREFIX)
+    if not dict(df.dtypes)[tie].startswith("string"):
+        prefix = order_bin(tie)
+    keyed = narrow.withColumn("_prefix", prefix)
+    groups = keyed.groupBy(value, "_prefix").agg(F.count(F.lit(1)).alias("_rows"))
+    ahead = F.coalesce(F.sum("_rows").over(_before([value], F.col("_prefix").asc_nulls_last())), F.lit(0))
+    groups = groups.withColumn("_groups_ahead", ahead).drop("_rows")
+    levels = value_levels(narrow, [], value, descending)
+    group = Window.partitionBy(value, "_prefix").orderBy(F.col(tie).asc_nulls_last())
+    counted = _joined(_joined(keyed.withColumn("_number", F.row_number().over(group) - 1), groups, [value, "_prefix"]), levels, [value])
+    placed = (
+        counted.withColumn("_place", F.col("_ahead") + F.col("_groups_ahead") + F.col("_number"))
+        .withColumns({"_size": F.expr(f"_total div {tiles}"), "_rest": F.expr(f"_total % {tiles}")})
+        .withColumn("_in_large", F.expr("_rest * (_size + 1)"))  # rows in tiles of one more
+    )
+    tile = F.expr(
+        "CASE WHEN _place < _in_large THEN _place div (_size + 1) + 1 "
+        "ELSE _rest + (_place - _in_large) div greatest(_size, 1) + 1 END"
     )
-    pairs = [(column, f"_level_{column}") for column in [*keys, value]]
-    return rows.join(ranked, _same(rows, ranked, pairs)).select(*[rows[column] for column in df.columns], name)
+    # A (value, tie) that repeats gives as many tiles; their order among equals is free.
+    again = Window.partitionBy(value, tie).orderBy(F.lit(0))
+    numbered = placed.select(value, tie, tile.cast("int").alias(name), F.row_number().over(again).alias("_again"))
+    return _joined(df.withColumn("_again", F.row_number().over(again)), numbered, [value, tie, "_again"]).select(*df.columns, name)
 
 
 def over_last_rows(
@@ -117,28 +101,28 @@ def over_last_rows(
     order: Sequence[str],
     reach: int,
     columns: Callable[[WindowSpec], dict[str, Column]],
-    row_bound: int | None = None,
     chunk_rows: int = 500_000,
 ) -> DataFrame:
     """Add window columns whose frames look back at most `reach` rows.
 
-    `columns` gets the ordered window and returns the columns to add.
-    `row_bound` bounds the rows of one key. Past what a task may hold, rows are
-    numbered and cut into chunks, and each chunk also gets the last `reach` rows
-    before it, so every frame is whole.
+    `columns` gets the ordered window and returns the columns to add. The first
+    column of `order` has few values (days); rows are counted per key and day,
+    numbered within the day, and cut into chunks, and each chunk also gets the
+    last `reach` rows before it, so every frame is whole.
     """
-    keys = list(keys)
-    sequence = [F.col(column).asc_nulls_last() for column in order]
-    if _one_task(row_bound):
-        return df.withColumns(columns(Window.partitionBy(*keys).orderBy(*sequence)))
     if chunk_rows < reach:
         raise ValueError("a chunk must hold the rows a frame reaches back")
-    numbered = with_running_total(df.withColumn("_one", F.lit(1)), sequence, "_one", keys)
-    own = F.floor(F.col("_ahead") / chunk_rows)
-    lent = F.col("_ahead") % chunk_rows >= chunk_rows - reach
+    keys, (day, *rest) = list(keys), order
+    per_day = df.groupBy(*keys, day).agg(F.count(F.lit(1)).alias("_rows"))
+    days = per_day.withColumn("_days_ahead", F.coalesce(F.sum("_rows").over(_before(keys, F.col(day).asc_nulls_last())), F.lit(0)))
+    within = Window.partitionBy(*keys, day).orderBy(*(F.col(name).asc_nulls_last() for name in rest or [day]))
+    numbered = _joined(df.withColumn("_number", F.row_number().over(within) - 1), days.drop("_rows"), [*keys, day])
+    numbered = numbered.withColumn("_place", F.col("_number") + F.col("_days_ahead"))
+    own = F.floor(F.col("_place") / chunk_rows)
+    lent = F.col("_place") % chunk_rows >= chunk_rows - reach
     chunked = numbered.withColumn("_own", own).withColumn(
         "_chunk", F.explode(F.when(lent, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own")))
     )
-    window = Window.partitionBy(*keys, "_chunk").orderBy("_ahead")
+    window = Window.partitionBy(*keys, "_chunk").orderBy("_place")
     added = chunked.withColumns(columns(window)).where(F.col("_own") == F.col("_chunk"))
-    return added.drop("_one", "_ahead", "_total", "_own", "_chunk")
+    return added.drop("_number", "_days_ahead", "_place", "_own", "_chunk")

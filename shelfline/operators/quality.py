@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from shelfline.functions.dates import parsed_date
-from shelfline.schemas import TEXT_LIMITS, required_columns
+from shelfline.schemas import RAW_TRANSACTIONS, TEXT_LIMITS, UNREADABLE, required_columns
 
 RuleSet = Mapping[str, Column]
 
@@ -60,6 +60,7 @@ def fact_rules(schema: StructType) -> dict[str, Column]:
         "range:net_revenue": F.col("net_revenue").isNull()
         & F.col("quantity").isNotNull()
         & F.col("unit_price").isNotNull(),
+        "range:discount_amount": F.col("discount_amount").isNull() & F.col("gross_revenue").isNotNull(),
         "order:ship_date": F.col("ship_date") < F.col("sale_date"),
     }
 
@@ -69,6 +70,15 @@ def date_text_rules(*names: str) -> dict[str, Column]:
     return {f"date:{name}": F.col(name).isNotNull() & parsed_date(name).isNull() for name in names}
 
 
+def unreadable_rules(schema: StructType) -> dict[str, Column]:
+    """Values that were present in the source and read as nothing, per column."""
+    return {
+        f"unreadable:{field.name}": F.array_contains(UNREADABLE, field.name)
+        for field in schema.fields
+        if not isinstance(field.dataType, StringType) and not field.name.startswith("_") and field.name != "row_id"
+    }
+
+
 def unique_rule(df: DataFrame, table_name: str, keys: Sequence[str]) -> DataFrame:
     """Rows whose key occurs more than once."""
     per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
@@ -120,8 +130,11 @@ def sales_quality(
 ) -> DataFrame:
     """The whole report. `dimensions` maps a table name to the frame, its
     schema if it has required columns, and its key."""
+    lost = unreadable_rules(RAW_TRANSACTIONS) if UNREADABLE in bronze.columns else {}
     parts = [
-        row_rules(bronze, "raw_transactions", date_text_rules("order_date", "ship_date")),
+        row_rules(bronze, "raw_transactions", {**date_text_rules("order_date", "ship_date"), **lost}),
+        unique_rule(bronze, "raw_transactions", ["row_id"]),
+        unique_rule(fact, "fact_sales", ["sale_id"]),
         row_rules(fact, "fact_sales", fact_rules(fact_schema)),
         reconcile_rule(bronze, fact, quarantined, "fact_sales"),
     ]

@@ -10,7 +10,7 @@ from shelfline.operators import gold as views
 from shelfline.operators.dimensions import dim_customers, dim_products
 from shelfline.operators.features import customer_features, product_features
 from shelfline.operators.silver import quarantined_sales, silver_sales
-from shelfline.schemas import BRONZE, conform
+from shelfline.schemas import BRONZE, UNREADABLE, conform
 from shelfline.sources.catalog import clustered_by_date, overwrite_table
 
 
@@ -19,9 +19,9 @@ def load_bronze(spark: SparkSession, database: str = "bronze", **tables: DataFra
 
     Sales lines may name their warehouse; the column is kept if they do.
     """
-    extra = {"raw_transactions": ("warehouse_id",)}
+    extra = {"raw_transactions": ("warehouse_id", UNREADABLE)}
     return {
-        name: overwrite_table(conform(df, BRONZE[name], extra.get(name, ())), f"{database}.{name}")
+        name: overwrite_table(conform(df, BRONZE[name], extra.get(name, (UNREADABLE,))), f"{database}.{name}")
         for name, df in tables.items()
     }
 
@@ -48,10 +48,7 @@ def run_all(
     raw = spark.table(f"{bronze}.raw_transactions")
     sales = silver_sales(raw, spark.table(f"{bronze}.raw_warehouses"), state_codes, compat_quarter)
     fact = publish(f"{silver}.fact_sales", clustered_by_date(sales))
-    rejected = quarantined_sales(raw)
-    # Looking for a bad date reads one column; only if there is one is the rest
-    # of bronze read a second time.
-    publish(f"{silver}.quarantined_sales", rejected.limit(0) if rejected.isEmpty() else rejected)
+    publish(f"{silver}.quarantined_sales", quarantined_sales(raw))
     products = publish(f"{silver}.dim_products", dim_products(spark.table(f"{bronze}.raw_products")))
     customers = publish(f"{silver}.dim_customers", dim_customers(spark.table(f"{bronze}.raw_customers"), fact))
     publish(f"{gold}.customer_features", customer_features(fact, customers))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,8 @@ from shelfline.sources.order_tables import OrderTables
 class Layers:
     """Bronze DataFrames over `folder` and the silver tables built from them.
 
-    A silver table is written to the shared folder when first asked for.
+    A silver table is written to the shared folder when first asked for, and
+    deleted when the application ends.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -28,14 +30,11 @@ class Layers:
     def _stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._written:
             path = fresh_path(self.spark, name)
+            atexit.register(_delete, self.spark, path)
             build().write.parquet(path)
             self._written[name] = self.spark.read.parquet(path)
         return self._written[name]
 
-    @property
-    def transactions(self) -> DataFrame:
-        return self._stored("raw_transactions", self.bronze.transactions)
-
     @property
     def fact(self) -> DataFrame:
         return self._stored("fact_sales", lambda: clustered_by_date(self.sales()))
@@ -59,12 +58,34 @@ class Layers:
         )
 
 
-_OPEN: dict[tuple[str, str], Layers] = {}
+_OPEN: dict[tuple[str, str, str], Layers] = {}
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        place, files = _hadoop_path(spark, path)
+        files.delete(place, True)
+
+
+def files_state(spark: SparkSession, folder: str) -> str:
+    """Names, sizes and times of the files in `folder`, by whatever store."""
+    place, files = _hadoop_path(spark, folder)
+    found = files.listFiles(place, True)
+    state = []
+    while found.hasNext():
+        file = found.next()
+        state.append((file.getPath().toString(), file.getLen(), file.getModificationTime()))
+    return repr(sorted(state))
 
 
 def layers(spark: SparkSession, folder: str) -> Layers:
-    """The layers of `folder`, built at most once per application."""
-    key = (spark.sparkContext.applicationId, folder)
+    """The layers of `folder`, built once per application and state of its files."""
+    key = (spark.sparkContext.applicationId, folder, files_state(spark, folder))
     if key not in _OPEN:
         _OPEN[key] = Layers(spark, folder)
     return _OPEN[key]

@@ -12,15 +12,14 @@ from pyspark.sql import functions as F
 
 from shelfline.functions.money import as_report
 from shelfline.operators import dimensions, features, gold, quality, silver
-from shelfline.operators.ordered import ANY_SIZE
 from shelfline.plans import dashboard, trends
 from shelfline.plans.layers import Layers, layers
-from shelfline.plans.batch import load_bronze, register_views, run_all
-from shelfline.schemas import DIM_CUSTOMERS, DIM_PRODUCTS, FACT_SALES, RAW_CUSTOMERS, RAW_PRODUCTS
+from shelfline.plans.batch import load_bronze, publish_gold, register_views, run_all
+from shelfline.schemas import DIM_CUSTOMERS, DIM_PRODUCTS, FACT_SALES, RAW_CUSTOMERS, RAW_PRODUCTS, RAW_TRANSACTIONS
 from shelfline.session import fresh_path
 from shelfline.sources import catalog
 from shelfline.sources.csv_files import file_columns, read_csv
-from shelfline.streaming.daily import incremental_daily_aggregate, latest, upsert_available
+from shelfline.streaming.daily import add_available, current
 from shelfline.streaming.ingest import append_available, stream_csv
 
 REGIONS = ["ASIA", "EUROPE"]
@@ -28,7 +27,10 @@ CATEGORIES = ["ECONOMY", "PROMO"]
 START, END = "1997-01-01", "1997-12-31"
 AS_OF = "2001-08-01"
 SLOW_BELOW = 45.0
-COUNTED_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+COUNTED_TABLES = (
+    *("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"),
+    *("documents", "embeddings", "pages", "benchmark", "labels", "conversations"),
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,7 +51,7 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _without_stamp(df: DataFrame) -> DataFrame:
-    return df.drop("_processed_at", "_loaded_at", "_source_file")
+    return df.drop("_processed_at", "_loaded_at", "_source_file", "_unreadable")
 
 
 def _dashboard_choice() -> dict[str, object]:
@@ -139,24 +141,6 @@ def kpi_summary(at: Layers) -> DataFrame:
     return gold.kpi_summary(at.fact)
 
 
-# The same three views laid out over the cluster, as past a task's size.
-
-
-@_query
-def daily_sales_summary_any_size(at: Layers) -> DataFrame:
-    return gold.daily_sales_summary(at.fact, at.products, row_bound=ANY_SIZE)
-
-
-@_query
-def product_performance_any_size(at: Layers) -> DataFrame:
-    return gold.product_performance(at.fact, at.products, row_bound=ANY_SIZE)
-
-
-@_query
-def customer_analytics_any_size(at: Layers) -> DataFrame:
-    return gold.customer_analytics(at.fact, at.customers, at.products, row_bound=ANY_SIZE)
-
-
 # --- feature tables -------------------------------------------------------
 
 
@@ -271,7 +255,7 @@ def yoy_seasonal(at: Layers) -> DataFrame:
 @_query
 def bottlenecks(at: Layers) -> DataFrame:
     monthly = gold.warehouse_monthly_performance(at.fact, at.warehouses)
-    return trends.bottlenecks(monthly, SLOW_BELOW, row_bound=at.warehouses.count() * 12)
+    return trends.bottlenecks(monthly, SLOW_BELOW)
 
 
 @_query
@@ -289,7 +273,7 @@ def ltv_distribution(at: Layers) -> DataFrame:
 
 @_query
 def dq_report(at: Layers) -> DataFrame:
-    bronze = at.transactions
+    bronze = at.bronze.transactions()
     whole = quality.sales_quality(
         bronze,
         at.fact,
@@ -310,10 +294,9 @@ def table_inventory(at: Layers) -> DataFrame:
     return catalog.inventory({("main", name): at.bronze.table(name) for name in COUNTED_TABLES})
 
 
-@_query
-def medallion_run(at: Layers) -> DataFrame:
-    """Bronze tables loaded into a catalog of their own, the whole pipeline run
-    on them, and every table it left counted."""
+def _medallion(at: Layers) -> dict[str, str]:
+    """Bronze tables loaded into a catalog of their own and the whole pipeline
+    run on them; the database of each layer."""
     home = fresh_path(at.spark, "medallion")
     prefix = home.rsplit("-", 1)[1]
     names = {layer: f"{layer}_{prefix}" for layer in ("bronze", "silver", "gold")}
@@ -328,10 +311,35 @@ def medallion_run(at: Layers) -> DataFrame:
         raw_customers=at.bronze.customers(),
     )
     run_all(at.spark, **names, state_codes=at.bronze.state_codes())
-    counts = catalog.table_inventory(at.spark, names.values())
+    return names
+
+
+@_query
+def medallion_run(at: Layers) -> DataFrame:
+    """Every table that a whole run left, counted."""
+    counts = catalog.table_inventory(at.spark, _medallion(at).values())
     return counts.withColumn("table_schema", F.split_part("table_schema", F.lit("_"), F.lit(1)))
 
 
+@_query
+def catalog_fact_sales(at: Layers) -> DataFrame:
+    """The fact read back by name after a whole run."""
+    return at.spark.table(f"{_medallion(at)['silver']}.fact_sales").select(*silver.BUSINESS_COLUMNS)
+
+
+@_query
+def catalog_customer_features(at: Layers) -> DataFrame:
+    return at.spark.table(f"{_medallion(at)['gold']}.customer_features")
+
+
+@_query
+def catalog_state_map_feed(at: Layers) -> DataFrame:
+    """A dashboard feed over a gold view that was published and read by name."""
+    names = _medallion(at)
+    publish_gold(at.spark, **names)
+    return dashboard.state_map_feed(at.spark.table(f"{names['gold']}.regional_sales"))
+
+
 # --- files and streams ----------------------------------------------------
 
 
@@ -348,6 +356,25 @@ def csv_products(at: Layers) -> DataFrame:
     return _without_stamp(read_csv(at.spark, path, RAW_PRODUCTS))
 
 
+@_query
+def csv_unreadable_values(at: Layers) -> DataFrame:
+    """Sales lines written as CSV with some values spoiled, and what became of
+    them: kept, or quarantined for a reason."""
+    order = F.col("order_id").cast("long")
+    lines = at.bronze.transactions().drop("row_id")
+    spoiled = lines.withColumns(
+        {
+            "discount_pct": F.when(order % 97 == 0, "abc").otherwise(F.col("discount_pct").cast("string")),
+            "profit": F.when(order % 89 == 0, "oops").otherwise(F.col("profit").cast("string")),
+            "quantity": F.when(order % 83 == 0, "2.7").otherwise(F.col("quantity").cast("string")),
+            "order_date": F.when(order % 79 == 0, F.concat("order_date", F.lit(" garbage"))).otherwise(F.col("order_date")),
+        }
+    )
+    read = read_csv(at.spark, _as_csv(at, "spoiled-csv", spoiled, RAW_TRANSACTIONS), RAW_TRANSACTIONS)
+    outcome = F.coalesce(silver.rejection(read), F.lit("kept")).alias("outcome")
+    return read.groupBy(outcome).agg(F.count(F.lit(1)).alias("sales_lines"))
+
+
 @_query
 def stream_csv_customers(at: Layers) -> DataFrame:
     """Customer CSV files taken in by the file stream, which is run twice."""
@@ -373,10 +400,14 @@ def stream_ingest_counts(at: Layers) -> DataFrame:
 
 
 def _daily_from_stream(at: Layers, distinct_col: str | None) -> DataFrame:
-    target, state = fresh_path(at.spark, "daily"), fresh_path(at.spark, "daily-state")
-    aggregate = incremental_daily_aggregate(_event_stream(at), "ts", "value", ["event_type"], distinct_col)
-    upsert_available(aggregate, target, state).awaitTermination()
-    return latest(at.spark, target, ["event_type"])
+    """Events written as several files in no order of time, taken in one file
+    per batch."""
+    inbox, target, state = (fresh_path(at.spark, name) for name in ("events-inbox", "daily", "daily-state"))
+    events = at.bronze.table("events")
+    events.repartition(5, F.pmod("event_id", F.lit(5))).write.parquet(inbox)
+    stream = at.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    add_available(stream, target, state, "ts", "value", ["event_type"], distinct_col).awaitTermination()
+    return current(at.spark, target, ["event_type"], distinct_col is not None)
 
 
 @_query
@@ -386,4 +417,4 @@ def stream_daily_revenue(at: Layers) -> DataFrame:
 
 @_query
 def stream_daily_users(at: Layers) -> DataFrame:
-    return _daily_from_stream(at, "user_id").select("day", "event_type", "approx_distinct")
+    return _daily_from_stream(at, "user_id").select("day", "event_type", "distinct_values")

@@ -81,13 +81,11 @@ def yoy_seasonal(fact: DataFrame) -> DataFrame:
     )
 
 
-def bottlenecks(monthly: DataFrame, threshold: float = 80.0, row_bound: int | None = None) -> DataFrame:
+def bottlenecks(monthly: DataFrame, threshold: float = 80.0) -> DataFrame:
     """Warehouse months below the on-time threshold, with their rank from the
     lowest among all warehouses of the month."""
     rates = monthly.select("warehouse_name", "month_num", "fulfillment_rate")
-    ranked = with_rank(
-        rates, ["month_num"], "fulfillment_rate", "month_rank", descending=False, row_bound=row_bound
-    )
+    ranked = with_rank(rates, ["month_num"], "fulfillment_rate", "month_rank", descending=False)
     return ranked.where(F.col("fulfillment_rate") < threshold)
 
 

@@ -151,7 +151,11 @@ TEXT_LIMITS = {
     "_source_file": 500,
 }
 
+# Names of the columns whose text could not be read as the declared type.
+UNREADABLE = "_unreadable"
+
 _FILLED_WHEN_ABSENT = {
+    "row_id": lambda: F.monotonically_increasing_id(),
     "_loaded_at": lambda: F.current_timestamp(),
     "_processed_at": lambda: F.current_timestamp(),
     "discount_pct": lambda: F.lit(0),

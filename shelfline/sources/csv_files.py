@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from shelfline.schemas import conform
+from shelfline.schemas import UNREADABLE, conform
 
 # Fixed values of the staging format.
 NULL_TOKENS = ("NULL", "null", "")
@@ -38,7 +38,11 @@ def with_source(rows: DataFrame) -> DataFrame:
 
 
 def tidy(rows: DataFrame, schema: StructType) -> DataFrame:
-    """NULL tokens to NULL, then `schema`'s types; unreadable values are NULL."""
+    """NULL tokens to NULL, then `schema`'s types.
+
+    An unreadable value is NULL and its column is named in `_unreadable`, so
+    that nothing later takes it for an absent one.
+    """
 
     def value(name: str) -> Column:
         text = F.trim(F.col(name))
@@ -46,7 +50,14 @@ def tidy(rows: DataFrame, schema: StructType) -> DataFrame:
 
     names = file_columns(schema)
     kept = [name for name in rows.columns if name not in names]
-    return conform(rows.select(*[value(name) for name in names], *kept), schema)
+    texts = rows.select(*[value(name) for name in names], *kept)
+    lost = [
+        F.when(F.col(field.name).isNotNull() & F.col(field.name).try_cast(field.dataType).isNull(), field.name)
+        for field in schema.fields
+        if field.name in names and not isinstance(field.dataType, StringType)
+    ]
+    named = texts.withColumn(UNREADABLE, F.array_compact(F.array(*lost)).cast("array<string>"))
+    return conform(named, schema, (UNREADABLE,))
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: StructType, **options: str) -> DataFrame:

@@ -24,12 +24,6 @@ def _unit_cost() -> Column:
     return (F.lit(0.6).cast("double") * F.col("p_retailprice")).cast("decimal(18,2)")
 
 
-def _spread(df: DataFrame, *by: str) -> DataFrame:
-    """Rows over all cores when the files have fewer splits than there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
-
-
 class OrderTables:
     """Bronze DataFrames over a folder of `<table>.parquet` files."""
 
@@ -53,7 +47,8 @@ class OrderTables:
         # Left-deep over the raw tables: each side joined has its file size as
         # its statistic, which is what the broadcast threshold is checked against.
         joined = (
-            _spread(self.table("lineitem"), "l_orderkey", "l_linenumber")
+            self.table("lineitem")
+            .withColumn("row_id", F.monotonically_increasing_id())  # over the scan: the same whenever a task runs
             .join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
             .join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -65,6 +60,7 @@ class OrderTables:
         gross = (quantity * unit_price).cast(MONEY)
         amount = (gross * F.col("l_discount").cast("decimal(9,6)")).cast(MONEY)
         return joined.select(
+            "row_id",
             _key("l_orderkey").alias("order_id"),
             _day_text("o_orderdate").alias("order_date"),
             _key("o_custkey").alias("customer_id"),

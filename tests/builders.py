@@ -79,4 +79,4 @@ def transactions(spark, *records, warehouse=False):
         "profit": 1.5,
     }
     schema = StructType(RAW_TRANSACTIONS.fields + ([StructField("warehouse_id", StringType())] if warehouse else []))
-    return _frame(spark, schema, [{**base, **r} for r in records])
+    return _frame(spark, schema, [{**base, "row_id": n, **r} for n, r in enumerate(records)])

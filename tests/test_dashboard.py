@@ -124,9 +124,7 @@ def test_card_filters_reach_the_scan(spark, tmp_path):
     assert "ship_mode" not in read and "discount_amount" not in read
 
 
-def test_unused_windows_vanish(spark):
-    summary = gold.daily_sales_summary(b.sales(spark, {}), b.products(spark, {"product_id": "p1"}))
-    kpis = dashboard.dashboard_kpis(summary, ["North"], ["Toys"], JAN, DEC)
+def test_cards_over_daily_sales_need_no_window(spark):
+    daily = gold.daily_sales(b.sales(spark, {}), b.products(spark, {"product_id": "p1"}))
+    kpis = dashboard.dashboard_kpis(daily, ["North"], ["Toys"], JAN, DEC)
     assert "Window" not in kpis._jdf.queryExecution().optimizedPlan().toString()
-    trend = summary.where(F.col("region") == "North").select("rolling_7d_revenue")
-    assert trend._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1

@@ -4,13 +4,11 @@ import datetime as dt
 from decimal import Decimal
 
 import builders as b
-import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfline.operators import gold
 from shelfline.operators.features import customer_features, customer_features_extended, product_features
-from shelfline.operators.ordered import ANY_SIZE
 
 JAN = dt.date(2024, 1, 1)
 
@@ -23,27 +21,24 @@ def one_product(spark):
     return b.products(spark, {"product_id": "p1"})
 
 
-@pytest.mark.parametrize("row_bound", [None, ANY_SIZE])
-def test_week_over_week(spark, row_bound):
+def test_week_over_week(spark):
     fact = b.sales(spark, *[{"sale_date": day(n), "net_revenue": 10 * n} for n in range(9)])
-    found = gold.daily_sales_summary(fact, one_product(spark), row_bound).orderBy("sale_date").collect()
+    found = gold.daily_sales_summary(fact, one_product(spark)).orderBy("sale_date").collect()
     assert [row.wow_growth_pct for row in found] == [None] * 8 + [700.0]
     assert [row.revenue_7d_ago for row in found] == [None] * 7 + [Decimal("0.0000"), Decimal("10.0000")]
 
 
-@pytest.mark.parametrize("row_bound", [None, ANY_SIZE])
-def test_rolling_rows_differ_from_rolling_days(spark, row_bound):
+def test_rolling_rows_differ_from_rolling_days(spark):
     goods = b.products(spark, {"product_id": "a", "product_category": "A"}, {"product_id": "b", "product_category": "B"})
     fact = b.sales(spark, *[{"sale_date": day(n), "product_id": p} for n in range(4) for p in "ab"])
-    summary = gold.daily_sales_summary(fact, goods, row_bound).orderBy("sale_date", "product_category").collect()
+    summary = gold.daily_sales_summary(fact, goods).orderBy("sale_date", "product_category").collect()
     assert [int(row.rolling_7d_revenue) for row in summary] == [1, 2, 3, 4, 5, 6, 7, 7]
     assert [row.rolling_30d_avg for row in summary] == [1.0] * 8
     calendar = gold.rolling_7d_calendar(fact).orderBy("sale_date").collect()
     assert [int(row.rolling_7d_calendar) for row in calendar] == [2, 4, 6, 8]
 
 
-@pytest.mark.parametrize("row_bound", [None, ANY_SIZE])
-def test_rolling_measures_equal_window_frames(spark, rows, row_bound):
+def test_rolling_measures_equal_window_frames(spark, rows):
     """Rows with no revenue at all included: a frame of those alone has no sum."""
     goods = b.products(spark, {"product_id": "a", "product_category": "A"}, {"product_id": "b", "product_category": "B"})
     fact = b.sales(
@@ -62,7 +57,7 @@ def test_rolling_measures_equal_window_frames(spark, rows, row_bound):
         F.sum("total_revenue").over(window.rowsBetween(-6, 0)).cast("double").alias("week"),
         (F.sum("total_revenue").over(month).cast("double") / F.nullif(F.count("total_revenue").over(month), F.lit(0))).alias("month"),
     )
-    found = gold.daily_sales_summary(fact, goods, row_bound).select(
+    found = gold.daily_sales_summary(fact, goods).select(
         "sale_date", "product_category", F.col("rolling_7d_revenue").cast("double"), "rolling_30d_avg"
     )
     assert rows(found) == rows(plain)
@@ -94,11 +89,10 @@ def test_months_of_different_years_merge(spark):
     assert gold.warehouse_monthly_performance(fact, b.warehouses(spark, {"warehouse_id": "w1"})).first().total_orders == 2
 
 
-@pytest.mark.parametrize("row_bound", [None, ANY_SIZE])
-def test_rank_leaves_gaps(spark, rows, row_bound):
+def test_rank_leaves_gaps(spark, rows):
     goods = b.products(spark, *[{"product_id": p} for p in "abc"])
     fact = b.sales(spark, *[{"product_id": p, "net_revenue": v} for p, v in (("a", 5), ("b", 5), ("c", 3))])
-    found = gold.product_performance(fact, goods, row_bound)
+    found = gold.product_performance(fact, goods)
     assert rows(found, "product_name", "category_revenue_rank") == [("Name a", 1), ("Name b", 1), ("Name c", 3)]
 
 
@@ -138,8 +132,7 @@ def test_unknown_products_drop_out_of_joins_only(spark):
     assert gold.regional_sales(fact).first().total_units == 2
 
 
-@pytest.mark.parametrize("row_bound", [None, ANY_SIZE])
-def test_customer_analytics(spark, row_bound):
+def test_customer_analytics(spark):
     goods = b.products(spark, {"product_id": "a", "product_category": "A"}, {"product_id": "b", "product_category": "B"})
     people = b.customers(spark, {"customer_id": "c1", "region": "Home region"}, {"customer_id": "c2"}, {"customer_id": "idle"})
     fact = b.sales(
@@ -149,7 +142,7 @@ def test_customer_analytics(spark, row_bound):
         {"customer_id": "c2", "product_id": "a", "net_revenue": 99},
         {"customer_id": "c1", "product_id": "gone", "net_revenue": 500},
     )
-    first, second = gold.customer_analytics(fact, people, goods, row_bound).orderBy("value_quintile").collect()
+    first, second = gold.customer_analytics(fact, people, goods).orderBy("value_quintile").collect()
     assert (first.customer_id, second.customer_id) == ("c2", "c1")
     assert (second.region, second.total_orders, second.lifetime_value) == ("Home region", 2, Decimal("30.0000"))
     assert (second.avg_order_value, second.customer_tenure_days, second.categories_purchased) == (15.0, 9, 2)
@@ -189,3 +182,35 @@ def test_approximate_distinct_is_optional(spark):
     exact, rough = gold.kpi_summary(fact).first(), gold.kpi_summary(fact, approx=True).first()
     assert exact.total_orders == 50
     assert abs(rough.total_orders - 50) <= 5
+
+
+def plans(spark):
+    goods = b.products(spark, {"product_id": "p1"})
+    people = b.customers(spark, {"customer_id": "c1"})
+    return {
+        "daily_sales_summary": lambda fact: gold.daily_sales_summary(fact, goods),
+        "product_performance": lambda fact: gold.product_performance(fact, goods),
+        "customer_analytics": lambda fact: gold.customer_analytics(fact, people, goods),
+    }
+
+
+def test_no_job_runs_while_a_view_is_planned(spark):
+    fact = b.sales(spark, {})
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup())
+    for build in plans(spark).values():
+        build(fact)
+    assert len(tracker.getJobIdsForGroup()) == before
+
+
+def test_views_follow_their_table(spark):
+    b.sales(spark, {}).write.mode("overwrite").saveAsTable("followed_fact")
+    fact = spark.table("followed_fact")
+    found = {name: build(fact) for name, build in plans(spark).items()}
+    for name, view in found.items():
+        view.createOrReplaceTempView(f"follow_{name}")
+    b.sales(spark, {"order_id": "o2"}).write.mode("append").saveAsTable("followed_fact")
+    assert spark.sql("SELECT sum(units_sold) FROM follow_daily_sales_summary").first()[0] == 2
+    assert spark.sql("SELECT sum(total_units_sold) FROM follow_product_performance").first()[0] == 2
+    assert spark.sql("SELECT sum(lifetime_value) FROM follow_customer_analytics").first()[0] == 2
+    spark.sql("DROP TABLE followed_fact")

@@ -1,4 +1,4 @@
-"""The spread-out forms give what Spark's own window functions give."""
+"""The lazy forms give what Spark's own window functions give."""
 
 from __future__ import annotations
 
@@ -8,8 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from shelfline.operators.lookups import small_side
-from shelfline.operators.ordered import ANY_SIZE, over_last_rows, with_rank, with_running_total, with_tiles
+from shelfline.operators.ordered import order_bin, over_last_rows, with_rank, with_tiles
 
 
 def frame(spark, n, seed=7):
@@ -27,18 +26,28 @@ def frame(spark, n, seed=7):
 
 
 @pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 7, 1003])
-def test_tiles_equal_ntile(spark, rows, n):
+@pytest.mark.parametrize("descending", [True, False])
+def test_tiles_equal_ntile(spark, rows, n, descending):
     df = frame(spark, n)
-    order = [F.col("value").desc_nulls_last(), F.col("id").asc_nulls_last()]
-    plain = df.withColumn("tile", F.ntile(5).over(Window.orderBy(*order)))
-    assert rows(with_tiles(df, 5, order, "tile")) == rows(plain)
-    assert rows(with_tiles(df, 5, order, "tile", row_bound=n)) == rows(plain)
+    value = F.col("value").desc_nulls_last() if descending else F.col("value").asc_nulls_last()
+    plain = df.withColumn("tile", F.ntile(5).over(Window.orderBy(value, F.col("id").asc_nulls_last())))
+    assert rows(with_tiles(df, 5, "value", "id", "tile", descending)) == rows(plain)
+    text = df.withColumn("id", F.col("id").cast("string"))
+    plain = text.withColumn("tile", F.ntile(5).over(Window.orderBy(value, F.col("id").asc_nulls_last())))
+    assert rows(with_tiles(text, 5, "value", "id", "tile", descending)) == rows(plain)
+
 
+def test_equal_values_only(spark):
+    same = spark.range(1000).withColumn("value", F.lit(7))
+    sizes = with_tiles(same, 3, "value", "id", "tile").groupBy("tile").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
+    assert [tuple(row) for row in sizes.orderBy("tile").collect()] == [(1, 334, 333), (2, 333, 666), (3, 333, 999)]
+    assert with_rank(same, [], "value", "rank").where("rank <> 1").count() == 0
 
-def test_tile_sizes(spark):
-    for n, sizes in ((7, [2, 2, 1, 1, 1]), (3, [1, 1, 1])):
-        tiles = with_tiles(spark.range(n), 5, [F.col("id").asc()], "tile")
-        assert [row["count"] for row in tiles.groupBy("tile").count().orderBy("tile").collect()] == sizes
+
+def test_bins_follow_the_value(spark):
+    values = [-1e12, -3.5, -3.4999, -1e-9, 0.0, 1e-9, 0.5, 1.0, 1.0001, 2.0, 3e5, 1e15]
+    bins = [row.bin for row in spark.createDataFrame([(v,) for v in values], "v double").select(order_bin("v").alias("bin")).collect()]
+    assert bins == sorted(bins)
 
 
 @pytest.mark.parametrize("descending", [True, False])
@@ -47,23 +56,11 @@ def test_rank_equals_window_rank(spark, rows, descending):
     order = F.col("value").desc_nulls_last() if descending else F.col("value").asc_nulls_last()
     plain = df.withColumn("rank", F.rank().over(Window.partitionBy("grp").orderBy(order)).cast("long"))
     assert rows(with_rank(df, ["grp"], "value", "rank", descending)) == rows(plain)
-    assert rows(with_rank(df, ["grp"], "value", "rank", descending, row_bound=800)) == rows(plain)
-
-
-def test_running_total_spans_blocks(spark):
-    df = frame(spark, 500).withColumn("w", F.lit(2))
-    found = with_running_total(df, [F.col("id").asc()], "w", ["grp"])
-    window = Window.partitionBy("grp").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    checked = found.withColumn("before", F.coalesce(F.sum("w").over(window), F.lit(0))).withColumn(
-        "whole", F.sum("w").over(Window.partitionBy("grp"))
-    )
-    assert checked.count() == 500
-    assert checked.where("before <> _ahead OR whole <> _total").count() == 0
 
 
 @pytest.mark.parametrize("chunk_rows", [29, 40, 1000])
 def test_rolling_frames_equal_window(spark, rows, chunk_rows):
-    df = frame(spark, 600)
+    df = frame(spark, 600).withColumn("day", F.floor(F.col("id") / 7))
 
     def columns(window):
         return {
@@ -71,19 +68,10 @@ def test_rolling_frames_equal_window(spark, rows, chunk_rows):
             "month": F.count("value").over(window.rowsBetween(-29, 0)),
         }
 
-    plain = over_last_rows(df, ["grp"], ["id"], 29, columns, row_bound=600)
-    spread = over_last_rows(df, ["grp"], ["id"], 29, columns, row_bound=ANY_SIZE, chunk_rows=chunk_rows)
-    assert rows(spread) == rows(plain)
+    plain = df.withColumns(columns(Window.partitionBy("grp").orderBy("day", "id")))
+    assert rows(over_last_rows(df, ["grp"], ["day", "id"], 29, columns, chunk_rows)) == rows(plain)
 
 
 def test_chunk_must_cover_the_frame(spark):
     with pytest.raises(ValueError):
         over_last_rows(spark.range(3), [], ["id"], 29, lambda window: {}, chunk_rows=28)
-
-
-def test_small_side_is_checked(spark):
-    def hinted(df):
-        return "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
-
-    assert hinted(small_side(spark.range(10), 10))
-    assert not hinted(small_side(spark.range(11), 10))

@@ -12,8 +12,6 @@ from shelfline.plans.registry import QUERIES
 from verification.oracles import ORACLES
 from verification.compare import duck, mismatch
 
-ROWS_ONLY = {"stream_daily_users"}
-
 
 @pytest.fixture(scope="module")
 def connection():
@@ -21,8 +19,7 @@ def connection():
 
 
 def test_every_query_has_a_twin():
-    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) == set(ORACLES)
     assert set(driver.oracle_sql()) <= set(driver.queries())
 
 
@@ -31,13 +28,6 @@ def test_query_equals_sql(spark, connection, name):
     assert mismatch(spark, connection, name, conftest.DATA) is None
 
 
-def test_approximate_users_are_close(spark, connection):
-    found = {(row.day, row.event_type): row.approx_distinct for row in driver.queries()["stream_daily_users"](spark, conftest.DATA).collect()}
-    exact = connection.execute("SELECT CAST(ts AS DATE), event_type, count(DISTINCT user_id) FROM events GROUP BY 1, 2").fetchall()
-    assert {(day, kind) for day, kind, _ in exact} == set(found)
-    assert all(abs(found[(day, kind)] - users) <= max(2, 0.15 * users) for day, kind, users in exact)
-
-
 def test_flagship_has_rows(spark):
     flagship = driver.entry(spark)
     assert flagship.columns[:3] == ["sale_date", "region", "product_category"]
@@ -46,7 +36,7 @@ def test_flagship_has_rows(spark):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_pairwise_join_in_any_plan(spark, name):
-    if name.startswith(("stream_", "medallion")):
+    if name.startswith(("stream_", "medallion", "catalog")):
         pytest.skip("reads back what a run has written")
     plan = driver.queries()[name](spark, conftest.DATA)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", plan)

@@ -4,9 +4,9 @@ import datetime as dt
 from decimal import Decimal
 
 import builders as b
+from pyspark.sql import functions as F
 
 from shelfline.operators.dimensions import dim_customers, dim_products
-from shelfline.operators.ordered import ANY_SIZE
 from shelfline.operators.silver import quarantined_sales, silver_sales
 from shelfline.schemas import FACT_SALES, RAW_PRODUCTS, conform
 
@@ -117,6 +117,25 @@ def test_customer_segments_follow_value(spark, rows):
         ("c5", "Low", dt.date(2024, 1, 5)),
         ("idle", "Inactive", None),
     ]
-    for bound in (None, ANY_SIZE):
-        found = dim_customers(raw, fact, row_bound=bound)
-        assert rows(found, "customer_id", "customer_segment", "signup_date") == expected
+    assert rows(dim_customers(raw, fact), "customer_id", "customer_segment", "signup_date") == expected
+
+
+def test_dates_must_fit_a_format_whole(spark, rows):
+    raw = b.transactions(spark, *[{"order_date": d} for d in ("2024-01-05 garbage", "2024", "05/01/2024", "2024-01-05")])
+    assert silver_sales(raw).count() == 1
+    assert silver_sales(raw, date_formats=("yyyy-MM-dd", "dd/MM/yyyy")).count() == 2
+    assert quarantined_sales(raw, ("yyyy-MM-dd", "dd/MM/yyyy")).count() == 2
+
+
+def test_unreadable_numbers_are_quarantined(spark, rows):
+    raw = b.transactions(spark, {}, {"order_id": "o2", "discount_pct": None}, {"order_id": "o3", "discount_pct": None})
+    marked = raw.withColumn("_unreadable", F.when(F.col("order_id") == "o3", F.array(F.lit("discount_pct"))).otherwise(F.array().cast("array<string>")))
+    assert rows(silver_sales(marked), "order_id") == [("o1",), ("o2",)]
+    assert rows(quarantined_sales(marked), "order_id", "_reason") == [("o3", "unreadable discount_pct")]
+
+
+def test_sale_id_is_the_row_id(spark, rows):
+    raw = b.transactions(spark, {}, {"order_id": "o2"}).withColumn("row_id", F.monotonically_increasing_id())
+    ids = {(row.order_id, row.row_id) for row in raw.collect()}
+    for _ in range(2):
+        assert {(row.order_id, row.sale_id) for row in silver_sales(raw.repartition(3)).collect()} == ids

@@ -22,7 +22,8 @@ SMALL = StructType([StructField("id", LongType()), StructField("name", StringTyp
 def test_csv_format(spark, rows, tmp_path):
     (tmp_path / "one.csv").write_text('id,name,amount\n1, "a ""q"" b" ,2.5\n2,NULL,\n3,null,3.0,extra\n4,x\n5, padded ,oops\n')
     found = read_csv(spark, str(tmp_path), SMALL)
-    assert rows(found) == [(1, 'a "q" b', 2.5), (2, None, None), (3, None, 3.0), (4, "x", None), (5, "padded", None)]
+    assert rows(found, "id", "name", "amount") == [(1, 'a "q" b', 2.5), (2, None, None), (3, None, 3.0), (4, "x", None), (5, "padded", None)]
+    assert rows(found.where("size(_unreadable) > 0"), "id", "_unreadable") == [(5, ["amount"])]
 
 
 def test_csv_folder_gives_lineage(spark, tmp_path):
@@ -59,6 +60,29 @@ def test_overwrite_counts_and_replaces(spark, databases):
     assert overwrite_table(spark.range(2), "gold.t") == 2
 
 
+def test_a_failed_overwrite_leaves_the_old_table(spark, databases):
+    overwrite_table(spark.range(5), "gold.t")
+    with pytest.raises(Exception, match="no such value"):
+        overwrite_table(spark.range(9).selectExpr("raise_error('no such value') AS id"), "gold.t")
+    assert spark.table("gold.t").count() == 5
+
+
+def test_the_fact_is_stored_in_disjoint_date_ranges(spark, tmp_path):
+    import datetime as dt
+
+    fact = b.sales(spark, *[{"order_id": f"o{n}", "sale_date": dt.date(2024, 1, 1) + dt.timedelta(n % 40)} for n in range(400)])
+    at = str(tmp_path / "fact")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        clustered_by_date(fact).write.parquet(at)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = spark.read.parquet(at).selectExpr("sale_date", "_metadata.file_path AS file").groupBy("file").agg({"sale_date": "min"}).collect()
+    ends = spark.read.parquet(at).selectExpr("sale_date", "_metadata.file_path AS file").groupBy("file").agg({"sale_date": "max"}).collect()
+    ranges = sorted((row["min(sale_date)"], {e.file: e["max(sale_date)"] for e in ends}[row.file]) for row in found)
+    assert len(ranges) > 1 and all(left[1] <= right[0] for left, right in zip(ranges, ranges[1:]))
+
+
 def test_pipeline_end_to_end(spark, databases, rows):
     create_tables(spark)
     load_bronze(

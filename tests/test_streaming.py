@@ -5,7 +5,7 @@ from decimal import Decimal
 
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from shelfline.streaming.daily import compact, incremental_daily_aggregate, latest, upsert_available
+from shelfline.streaming.daily import add_available, compact, current, daily_parts
 from shelfline.streaming.ingest import append_available, stream_csv
 
 SCHEMA = StructType(
@@ -39,48 +39,47 @@ def at(day, hour=0):
     return dt.datetime(2024, 1, day, hour, tzinfo=dt.timezone.utc)
 
 
-def test_daily_upsert_equals_batch(spark, rows, tmp_path):
-    inbox, target, state = (str(tmp_path / name) for name in ("inbox", "target", "state"))
+def run(spark, wave, inbox, target, state):
+    spark.createDataFrame(wave, EVENTS).coalesce(1).write.mode("append").parquet(inbox)
+    stream = spark.readStream.schema(EVENTS).parquet(inbox)
+    add_available(stream, target, state, "ts", "value", ["kind"], "user").awaitTermination()
+
+
+def places(tmp_path):
+    return tuple(str(tmp_path / name) for name in ("inbox", "target", "state"))
+
+
+def test_parts_add_up_to_the_batch_result(spark, rows, tmp_path):
+    inbox, target, state = places(tmp_path)
     waves = [
         [(at(1), "view", 1.25, 1), (at(1, 5), "view", 2.5, 2), (at(2), "buy", 10.0, 1)],
-        [(at(1, 9), "view", 0.1, 3), (at(3), "buy", 0.2, 1), (at(2), None, 1.0, 1)],
+        [(at(1, 9), "view", 0.1, 2), (at(3), "buy", 0.2, 1), (at(2), None, 1.0, None)],
     ]
     for wave in waves:
-        spark.createDataFrame(wave, EVENTS).write.mode("append").parquet(inbox)
-        stream = spark.readStream.schema(EVENTS).parquet(inbox)
-        daily = incremental_daily_aggregate(stream, "ts", "value", ["kind"], "user")
-        upsert_available(daily, target, state).awaitTermination()
-    batch = incremental_daily_aggregate(spark.read.parquet(inbox), "ts", "value", ["kind"], "user")
-    current = latest(spark, target, ["kind"])
-    columns = ["day", "kind", "total_value", "value_count", "approx_distinct"]
-    assert rows(current, *columns) == rows(batch, *columns)
-    assert rows(current.where("kind = 'view'"), "day", "total_value", "value_count") == [
-        (dt.date(2024, 1, 1), Decimal("3.8500"), 3)
-    ]
+        run(spark, wave, inbox, target, state)
+    whole = daily_parts(spark.read.parquet(inbox), "ts", "value", ["kind"])
+    columns = ["day", "kind", "total_value", "value_count"]
+    found = current(spark, target, ["kind"], distinct=True)
+    assert rows(found, *columns) == rows(whole, *columns)
+    assert rows(found, "kind", "distinct_values") == [(None, 0), ("buy", 1), ("buy", 1), ("view", 2)]
 
 
-def test_rows_past_the_lateness_do_not_reopen_a_day(spark, rows, tmp_path):
-    inbox, target, state = (str(tmp_path / name) for name in ("inbox", "target", "state"))
+def test_late_rows_are_not_lost(spark, rows, tmp_path):
+    inbox, target, state = places(tmp_path)
     for wave in ([(at(1), "v", 1.0, 1), (at(28), "v", 1.0, 1)], [(at(29), "v", 1.0, 1)], [(at(1), "v", 5.0, 1)]):
-        spark.createDataFrame(wave, EVENTS).write.mode("append").parquet(inbox)
-        daily = incremental_daily_aggregate(spark.readStream.schema(EVENTS).parquet(inbox), "ts", "value", ["kind"])
-        upsert_available(daily, target, state).awaitTermination()
-    first_day = latest(spark, target, ["kind"]).where("day = '2024-01-01'")
-    assert rows(first_day, "total_value") == [(Decimal("1.0000"),)]
+        run(spark, wave, inbox, target, state)
+    first_day = current(spark, target, ["kind"]).where("day = '2024-01-01'")
+    assert rows(first_day, "total_value") == [(Decimal("6.0000"),)]
 
 
 def test_a_compacted_log_goes_on(spark, rows, tmp_path):
-    inbox, first, second, state = (str(tmp_path / name) for name in ("inbox", "first", "second", "state"))
-
-    def run(wave, target):
-        spark.createDataFrame(wave, EVENTS).write.mode("append").parquet(inbox)
-        daily = incremental_daily_aggregate(spark.readStream.schema(EVENTS).parquet(inbox), "ts", "value", ["kind"])
-        upsert_available(daily, target, state).awaitTermination()
-
-    run([(at(1), "v", 1.0, 1), (at(2), "v", 4.0, 1)], first)
-    run([(at(1), "v", 2.0, 1)], first)
-    compact(spark, first, second, ["kind"])
-    before = rows(latest(spark, first, ["kind"]), "day", "total_value")
-    assert rows(latest(spark, second, ["kind"]), "day", "total_value") == before
-    run([(at(2), "v", 5.0, 1)], second)
-    assert rows(latest(spark, second, ["kind"]), "total_value") == [(Decimal("3.0000"),), (Decimal("9.0000"),)]
+    inbox, first, state = places(tmp_path)
+    second = str(tmp_path / "second")
+    run(spark, [(at(1), "v", 1.0, 1), (at(2), "v", 4.0, 1)], inbox, first, state)
+    run(spark, [(at(1), "v", 2.0, 1)], inbox, first, state)
+    compact(spark, first, second, ["kind"], distinct=True)
+    before = rows(current(spark, first, ["kind"], distinct=True))
+    assert rows(current(spark, second, ["kind"], distinct=True)) == before
+    run(spark, [(at(2), "v", 5.0, 2)], inbox, second, state)
+    found = rows(current(spark, second, ["kind"], distinct=True), "total_value", "distinct_values")
+    assert found == [(Decimal("3.0000"), 1), (Decimal("9.0000"), 2)]

@@ -3,7 +3,6 @@ from __future__ import annotations
 import datetime as dt
 
 import builders as b
-import pytest
 
 from shelfline.operators import gold
 from shelfline.plans import trends
@@ -44,13 +43,12 @@ def test_same_month_last_year(spark):
     assert found == {(2023, 4): None, (2024, 4): 25.0, (2024, 5): None}
 
 
-@pytest.mark.parametrize("row_bound", [None, 10])
-def test_bottlenecks_rank_before_the_cut(spark, rows, row_bound):
+def test_bottlenecks_rank_before_the_cut(spark, rows):
     depots = b.warehouses(spark, *[{"warehouse_id": w} for w in ("w1", "w2", "w3")])
     late, fine = {"days_to_ship": 9}, {"days_to_ship": 1}
     fact = b.sales(spark, {"warehouse_id": "w1", **late}, {"warehouse_id": "w2", **late}, {"warehouse_id": "w3", **fine})
     monthly = gold.warehouse_monthly_performance(fact, depots)
-    found = trends.bottlenecks(monthly, row_bound=row_bound)
+    found = trends.bottlenecks(monthly)
     assert rows(found, "warehouse_name", "month_rank") == [("Depot w1", 1), ("Depot w2", 1)]
 
 

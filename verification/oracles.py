@@ -317,9 +317,6 @@ SELECT count(DISTINCT order_id) AS total_orders, CAST(sum(net_revenue) AS DOUBLE
 FROM fact""",
 )
 
-for _view in ("daily_sales_summary", "product_performance", "customer_analytics"):
-    ORACLES[f"{_view}_any_size"] = ORACLES[_view]
-
 # --- feature tables -------------------------------------------------------
 
 ORACLES["customer_features"] = _with(
@@ -608,6 +605,9 @@ _DQ_RULES = [
     _rule("range:quantity", "fact_sales", "count(*) FILTER (quantity <= 0)", "fact"),
     _rule("range:discount_pct", "fact_sales", "count(*) FILTER (discount_pct < 0 OR discount_pct > 1)", "fact"),
     _rule("range:net_revenue", "fact_sales", "count(*) FILTER (net_revenue IS NULL)", "fact"),
+    _rule("range:discount_amount", "fact_sales", "count(*) FILTER (discount_amount IS NULL)", "fact"),
+    _rule("unique:row_id", "raw_transactions", "0", "lines"),
+    _rule("unique:sale_id", "fact_sales", "0", "fact"),
     _rule("order:ship_date", "fact_sales", "count(*) FILTER (ship_date < sale_date)", "fact"),
     _rule("reconcile:bronze", "fact_sales", "count(*) FILTER (sale_date IS NULL)", "lines"),
     _rule("not_null:customer_id", "dim_customers", "count(*) FILTER (customer_id IS NULL)", "customers"),
@@ -631,7 +631,10 @@ ORACLES["dq_report"] = _with(
 
 ORACLES["table_inventory"] = "\nUNION ALL ".join(
     f"SELECT 'main' AS table_schema, '{t}' AS table_name, count(*) AS row_count FROM {t}"
-    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+    for t in (
+        *("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"),
+        *("documents", "embeddings", "pages", "benchmark", "labels", "conversations"),
+    )
 )
 
 _STORED = {
@@ -676,3 +679,22 @@ ORACLES["stream_daily_revenue"] = """
 SELECT CAST(ts AS DATE) AS day, event_type, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total_value,
        count(value) AS value_count
 FROM events GROUP BY 1, 2"""
+
+ORACLES["stream_daily_users"] = """
+SELECT CAST(ts AS DATE) AS day, event_type, count(DISTINCT user_id) AS distinct_values FROM events GROUP BY 1, 2"""
+
+ORACLES["csv_unreadable_values"] = """
+SELECT CASE
+    WHEN l_orderkey % 79 = 0 THEN 'unreadable order_date'
+    WHEN l_orderkey % 97 = 0 OR l_orderkey % 89 = 0 OR l_orderkey % 83 = 0 THEN 'unreadable ' || array_to_string(list_filter([
+      CASE WHEN l_orderkey % 83 = 0 THEN 'quantity' END, CASE WHEN l_orderkey % 97 = 0 THEN 'discount_pct' END,
+      CASE WHEN l_orderkey % 89 = 0 THEN 'profit' END], lambda x: x IS NOT NULL), ',')
+    ELSE 'kept' END AS outcome, count(*) AS sales_lines
+FROM lineitem GROUP BY 1"""
+
+for _stored, _view in (
+    ("catalog_fact_sales", "silver_sales"),
+    ("catalog_customer_features", "customer_features"),
+    ("catalog_state_map_feed", "state_map_feed"),
+):
+    ORACLES[_stored] = ORACLES[_view]
