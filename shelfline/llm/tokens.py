@@ -10,11 +10,12 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 
 import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
-REMEMBERED_PIECES = 1_600_000
+REMEMBERED_PIECES = 700_000
 
 # Words of these characters are cut further, into runs of letters, of digits
 # and of other marks, as both tokenizers do. An apostrophe may begin a
@@ -27,30 +28,56 @@ CHUNK_RUNS = re.compile(f" ?[{LETTERS}]+| ?[0-9]+|\n| ?[^{LETTERS}0-9\n ]+")
 
 
 class _Runs(dict):
-    """Ids of a run, by the tokenizer."""
+    """Ids of a run. A run is one word to the tokenizer, already in its form,
+    so what rewrites and splits texts is left out for it."""
 
-    def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer = tokenizer
+    def __init__(self, tokenizer: Tokenizer, path: str):
+        self.tokenizer, self.bare = tokenizer, Tokenizer.from_file(path)
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def encoded(self, run: str) -> bytes:
+        return _packed(self.bare.encode_batch_fast([run], add_special_tokens=False)[0].ids)
+
+    def whole(self, text: str) -> bytes:
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, run: str) -> bytes:
-        found = self.tokenizer.encode_batch_fast([run], add_special_tokens=False)[0]
-        ids = self[run] = np.array(found.ids, np.uint32).tobytes()
+        ids = self[run] = self.encoded(run)
         return ids
 
 
-class _Pieces(dict):
-    """Ids of a piece, put together from its runs. `lead` goes before it."""
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.uint32).tobytes() if len(ids) > 64 else array("I", ids).tobytes()
 
-    def __init__(self, runs: _Runs, word_ends: bool, lead: str = ""):
-        self.run_ids, self.word_ends, self.lead = runs.__getitem__, word_ends, lead
 
-    def __missing__(self, piece: str) -> bytes:
-        text = self.lead + piece
-        if self.word_ends:
-            cut = WORD_RUNS.findall(text.lower()) if PLAIN_WORD.fullmatch(text) else [text]
+class _Words(_Runs):
+    """Ids of a word, put together from its runs, which are words too."""
+
+    def __missing__(self, word: str) -> bytes:
+        if PLAIN_WORD.fullmatch(word):
+            cut = WORD_RUNS.findall(word.lower())
+            ids = self.encoded(word) if cut == [word] else b"".join(map(self.__getitem__, cut))
         else:
-            cut = CHUNK_RUNS.findall(text) if PLAIN_CHUNK.fullmatch(text) else [text]
-        ids = self[piece] = b"".join(map(self.run_ids, cut))
+            ids = self.whole(word)
+        self[word] = ids
+        return ids
+
+
+class _Chunks(dict):
+    """Ids of what stands between two spaces, put together from its runs.
+    `lead` goes before it."""
+
+    def __init__(self, runs: _Runs, lead: str):
+        self.runs, self.lead = runs, lead
+
+    def __missing__(self, chunk: str) -> bytes:
+        text = self.lead + chunk
+        if PLAIN_CHUNK.fullmatch(text):
+            ids = b"".join(map(self.runs.__getitem__, CHUNK_RUNS.findall(text)))
+        else:
+            ids = self.runs.whole(text)
+        self[chunk] = ids
         return ids
 
 
@@ -68,21 +95,17 @@ class PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.word_ends = word_ends
-        self.runs = _Runs(self.tokenizer)
-        self.first = _Pieces(self.runs, word_ends)
-        self.after = _Pieces(self.runs, word_ends, "" if word_ends else " ")
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        self.runs = (_Words if word_ends else _Runs)(self.tokenizer, path)
+        self.first, self.after = _Chunks(self.runs, ""), _Chunks(self.runs, " ")
 
     def _one(self, text: str | None) -> bytes:
         if not text:
             return b""
         unusual = ("<|", "\x1c", "\x1d", "\x1e", "\x1f") if self.word_ends else ("<|", "  ")
         if any(mark in text for mark in unusual):
-            return self._whole(text)
+            return self.runs.whole(text)
         if self.word_ends:
-            return b"".join(map(self.after.__getitem__, text.split()))
+            return b"".join(map(self.runs.__getitem__, text.split()))
         first, *rest = text.split(" ")
         ids = b"".join(map(self.after.__getitem__, rest))
         return self.first[first] + ids if first else ids
