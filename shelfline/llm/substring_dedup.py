@@ -29,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.llm.text import Packed, WordHashes, gram_hashes, packed_schema, shuffle_width, texts, unpacked
+from shelfline.llm.text import Packed, WordHashes, gram_hashes, mixed, packed_schema, planes, shuffle_width, texts, unpacked
 
 WINDOW = 20
 GRAM = 6
 KEYS = ["doc_id", "text_hash"]
 ANCHOR = ["anchor", "places", "doc", "hash"]
 PLACE = ["low", "high", "doc", "hash", "start"]
+OWNED = ["value", "doc", "hash"]
 
 
 def _sliding(values: np.ndarray, size: int, least: bool) -> np.ndarray:
@@ -68,14 +69,31 @@ def _starts(order: np.ndarray, *columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def _per_document(values: np.ndarray, docs: np.ndarray, hashes: np.ndarray, name: str) -> pa.Table:
-    """One row per document with its values packed."""
+def _to_owners(values: np.ndarray, docs: np.ndarray, hashes: np.ndarray, buckets: int) -> pa.Table:
+    """Values dealt into buckets of the documents they belong to, in order."""
     order = np.lexsort((values, hashes, docs))
-    firsts = np.flatnonzero(_starts(order, docs, hashes))
-    edges = np.append(firsts, len(order))
-    values = values[order]
-    packed = [values[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
-    return pa.table({"doc_id": docs[order[firsts]], "text_hash": hashes[order[firsts]], name: pa.array(packed, pa.binary())})
+    values, docs, hashes = values[order], docs[order], hashes[order]
+    owners = mixed(docs.view(np.uint64) ^ hashes.astype(np.int64).view(np.uint64))
+    batches = list(Packed(OWNED, buckets).rows([values, docs, hashes], owners)) if len(docs) else []
+    return pa.Table.from_batches(batches, OWNED_SCHEMA)
+
+
+OWNED_SCHEMA = pa.schema([("bucket", pa.int32()), *((name, pa.binary()) for name in OWNED)])
+
+
+def _per_document(dealt: DataFrame, kind: type, name: str) -> DataFrame:
+    """One row per document with all its values packed."""
+
+    def gather(table: pa.Table) -> pa.Table:
+        values, docs, hashes = unpacked(table, value=kind, doc=np.int64, hash=np.int32)
+        order = np.lexsort((values, hashes, docs))
+        firsts = np.flatnonzero(_starts(order, docs, hashes))
+        edges = np.append(firsts, len(order))
+        values = values[order]
+        packed = [values[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
+        return pa.table({"doc_id": docs[order[firsts]], "text_hash": hashes[order[firsts]], name: pa.array(packed, pa.binary())})
+
+    return dealt.groupBy("bucket").applyInArrow(gather, f"doc_id long, text_hash int, {name} binary")
 
 
 class _Dealt(Packed):
@@ -87,7 +105,7 @@ class _Dealt(Packed):
         docs = arrays["doc"]
         if len(docs):
             bucket = self.buckets + int(docs[0] * 31 + len(docs)) % self.buckets
-            packed = [arrays[name].tobytes() if name in arrays else b"" for name in self.names]
+            packed = [planes(arrays[name]) if name in arrays else b"" for name in self.names]
             columns = [pa.array([bucket], pa.int32()), *(pa.array([a], pa.binary()) for a in packed)]
             yield pa.RecordBatch.from_arrays(columns, ["bucket", *self.names])
 
@@ -129,10 +147,10 @@ def _seeds(documents: DataFrame, buckets: int, window: int, gram: int) -> DataFr
             group[order] = np.cumsum(_starts(order, anchors)) - 1
             keep = (places == 1) & (np.bincount(group, places)[group] > 1)
             anchors, docs, hashes = anchors[keep], docs[keep], hashes[keep]
-        return _per_document(anchors, docs, hashes, "anchors")
+        return _to_owners(anchors, docs, hashes, buckets)
 
     found = documents.mapInArrow(find, packed_schema(ANCHOR)).groupBy("bucket")
-    return found.applyInArrow(repeated, "doc_id long, text_hash int, anchors binary").groupBy(*KEYS).agg(F.collect_list("anchors").alias("seeds"))
+    return _per_document(found.applyInArrow(repeated, packed_schema(OWNED)), np.uint64, "seeds")
 
 
 def _repeats(seeded: DataFrame, buckets: int, window: int, gram: int) -> DataFrame:
@@ -140,24 +158,17 @@ def _repeats(seeded: DataFrame, buckets: int, window: int, gram: int) -> DataFra
 
     def flushed(packed: _Dealt) -> Iterator[pa.RecordBatch]:
         low, high, docs, hashes, starts = packed.arrays()
-        order = np.lexsort((starts, hashes, docs, high, low))
-        low, high, docs, hashes, starts = (a[order] for a in (low, high, docs, hashes, starts))
-        every = np.arange(len(order))
-        new = _starts(every, low, high)
-        first = every[new][np.cumsum(new) - 1]
-        later = (docs != docs[first]) | (hashes != hashes[first]) | (starts != starts[first])
-        yield from packed.rows([a[new] for a in (low, high, docs, hashes, starts)])
+        first, later = _first_and_later(low, high, docs, hashes, starts)
+        yield from packed.rows([low[first], high[first], docs[first], hashes[first], starts[first]])
         yield from packed.decided(doc=docs[later], hash=hashes[later], start=starts[later])
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, packed = WordHashes(), _Dealt(PLACE, buckets)
         for batch in batches:
             for doc, mark, text, seeds in zip(*(batch.column(i).to_pylist() for i in (0, 1)), texts(batch), batch.column("seeds").to_pylist()):
-                if not seeds:
-                    continue
                 words = cache.of(text.split())
                 anchors = window_anchors(words, window, gram)[0]
-                starts = np.flatnonzero(np.isin(anchors, np.frombuffer(b"".join(seeds), np.uint64)))
+                starts = np.flatnonzero(np.isin(anchors, np.frombuffer(seeds, np.uint64)))
                 if not len(starts):
                     continue
                 low, high = (gram_hashes(words, window, seed)[starts] for seed in (43, 47))
@@ -171,17 +182,23 @@ def _repeats(seeded: DataFrame, buckets: int, window: int, gram: int) -> DataFra
     def later(key: tuple, table: pa.Table) -> pa.Table:
         low, high, docs, hashes, starts = unpacked(table, low=np.uint64, high=np.uint32, doc=np.int64, hash=np.int32, start=np.int32)
         if key[0].as_py() < buckets:
-            order = np.lexsort((starts, hashes, docs, high, low))
-            low, high, docs, hashes, starts = (a[order] for a in (low, high, docs, hashes, starts))
-            every = np.arange(len(order))
-            new = _starts(every, low, high)
-            first = every[new][np.cumsum(new) - 1]
-            keep = (docs != docs[first]) | (hashes != hashes[first]) | (starts != starts[first])
+            keep = _first_and_later(low, high, docs, hashes, starts)[1]
             docs, hashes, starts = docs[keep], hashes[keep], starts[keep]
-        return _per_document(starts, docs, hashes, "starts")
+        return _to_owners(starts, docs, hashes, buckets)
 
     found = seeded.mapInArrow(extend, packed_schema(PLACE)).groupBy("bucket")
-    return found.applyInArrow(later, "doc_id long, text_hash int, starts binary").groupBy(*KEYS).agg(F.collect_list("starts").alias("repeats"))
+    return _per_document(found.applyInArrow(later, packed_schema(OWNED)), np.int32, "repeats")
+
+
+def _first_and_later(low: np.ndarray, high: np.ndarray, docs: np.ndarray, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the earliest window of each content, and of those after it;
+    both in the order given. Equal places count once."""
+    order = np.lexsort((starts, hashes, docs, high, low))
+    new = _starts(order, low, high)
+    first = order[new]
+    of = first[np.cumsum(new) - 1]
+    after = order[(docs[order] != docs[of]) | (hashes[order] != hashes[of]) | (starts[order] != starts[of])]
+    return np.sort(first), np.sort(after)
 
 
 def _cut(rows: DataFrame, window: int) -> DataFrame:
@@ -196,7 +213,7 @@ def _cut(rows: DataFrame, window: int) -> DataFrame:
                 counts.append(len(words))
                 found = []
                 if repeats:
-                    starts = np.unique(np.frombuffer(b"".join(repeats), np.int32)).astype(np.int64)
+                    starts = np.unique(np.frombuffer(repeats, np.int32)).astype(np.int64)
                     cuts = np.flatnonzero(np.diff(starts) > window)
                     begins = starts[np.append(0, cuts + 1)]
                     ends = starts[np.append(cuts, len(starts) - 1)] + window
@@ -215,14 +232,18 @@ def _cut(rows: DataFrame, window: int) -> DataFrame:
 def without_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed, spans of maximal repeats, kept_text."""
     buckets = 4 * shuffle_width(documents.sparkSession)
-    chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("text_hash"), "text")
+    key = F.col("doc_id").cast("long").alias("doc_id")
+    # The hash only orders rows that repeat a doc_id; most tables have none.
+    repeated = documents.select(key).where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    tie = F.lit(0) if repeated.isEmpty() else F.hash("text")
+    chosen = documents.select(key, tie.alias("text_hash"), "text")
     # One shuffle of the texts serves all three looks at them.
     laid_out = chosen.where("doc_id IS NOT NULL").repartition(shuffle_width(documents.sparkSession), *KEYS)
     seeds = _seeds(laid_out, buckets, window, gram)
     seeded = laid_out.join(seeds.hint("shuffle_hash"), KEYS)
     repeats = _repeats(seeded.select(*KEYS, "text", "seeds"), buckets, window, gram)
     marked = laid_out.join(repeats.hint("shuffle_hash"), KEYS, "left")
-    nowhere = chosen.where("doc_id IS NULL").withColumn("repeats", F.lit(None).cast("array<binary>"))
+    nowhere = chosen.where("doc_id IS NULL").withColumn("repeats", F.lit(None).cast("binary"))
     return _cut(marked.select(*KEYS, "text", "repeats").union(nowhere.select(*KEYS, "text", "repeats")), window)
 
 

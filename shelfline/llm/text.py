@@ -60,6 +60,17 @@ def gram_hashes(words: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
     return mixed(total)
 
 
+def planes(array: np.ndarray) -> bytes:
+    """An array byte by byte of significance: the high bytes of small numbers
+    become a run of zeros, which the shuffle's codec takes out."""
+    return np.ascontiguousarray(array).view(np.uint8).reshape(-1, array.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(kind).reshape(-1)
+
+
 class Packed:
     """Parallel arrays dealt into hash buckets: few rows carry many entries.
 
@@ -87,20 +98,23 @@ class Packed:
         self.parts, self.held = [], 0
         return joined
 
-    def rows(self, arrays: list[np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
-        """The held arrays (or those given) as rows; the first one is the hash."""
+    def rows(self, arrays: list[np.ndarray] | None = None, key: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        """The held arrays (or those given) as rows. The bucket is taken from
+        the hashes in `key`, or else in the first array; within a bucket the
+        order of the entries stays."""
         if arrays is None:
             if not self.held:
                 return
             arrays = self.arrays()
-        bucket = (arrays[0] >> np.uint64(33)).astype(np.int64) % self.buckets
+        key = arrays[0] if key is None else key
+        bucket = (key >> np.uint64(33)).astype(np.int64) % self.buckets
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         arrays = [array[order] for array in arrays]
         filled = np.flatnonzero(np.diff(edges))
         columns = [pa.array(filled.astype(np.int32))]
         for array in arrays:
-            columns.append(pa.array([array[edges[b] : edges[b + 1]].tobytes() for b in filled], pa.binary()))
+            columns.append(pa.array([planes(array[edges[b] : edges[b + 1]]) for b in filled], pa.binary()))
         yield pa.RecordBatch.from_arrays(columns, ["bucket", *self.names])
 
 
@@ -110,7 +124,9 @@ def packed_schema(names: list[str]) -> str:
 
 def unpacked(table: pa.Table, **kinds: type) -> list[np.ndarray]:
     """The arrays of all rows of a bucket, put together."""
-    return [np.frombuffer(b"".join(table.column(name).to_pylist()), kind) for name, kind in kinds.items()]
+    return [
+        np.concatenate([np.empty(0, kind), *(from_planes(row, kind) for row in table.column(name).to_pylist())]) for name, kind in kinds.items()
+    ]
 
 
 def shuffle_width(spark: SparkSession) -> int:
