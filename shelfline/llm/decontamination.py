@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.llm.text import TO_WORDS, mixed, texts
+from shelfline.llm.text import TO_WORDS, mixed, small, texts
 
 EDITS = 0.2
 SAMPLED = 3
@@ -188,7 +188,7 @@ def _scanned(documents: DataFrame, items: list[tuple[int, str]], edits: float, c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(shared.value, edits, count)
-        for batch in batches:
+        for batch in small(batches):
             found = [
                 [{"item_id": item, "start": a, "end": b, "distance": d} for item, (d, a, b) in sorted(index.leaks(text).items())]
                 for text in texts(batch)

@@ -41,6 +41,7 @@ from shelfline.llm.text import (
     packed_schema,
     runs,
     shuffle_width,
+    small,
     stored,
     texts,
     unpacked,
@@ -89,7 +90,7 @@ def _sets(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for batch in batches:
+        for batch in small(batches):
             sizes, digests, bands = [], [], []
             for text in texts(batch):
                 tokens = shingles(text, cache)
@@ -111,7 +112,7 @@ def _with_tokens(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for batch in batches:
+        for batch in small(batches):
             tokens = [shingles(text, cache).tobytes() for text in texts(batch)]
             wanted = [_digest(t) == s for t, s in zip(tokens, batch.column("set_id").to_pylist())]
             columns = [*(batch.column(name) for name in kept), pa.array(tokens, pa.binary())]
@@ -193,7 +194,7 @@ def _shared_prefix_tokens(documents: DataFrame, percent: int) -> DataFrame:
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, packed, seen = WordHashes(), Packed(names, buckets), set()
-        for batch in batches:
+        for batch in small(batches):
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
                 tokens = shingles(text, cache)
                 digest = xxhash.xxh3_64_intdigest(tokens.tobytes())
@@ -257,7 +258,7 @@ def _matrix(rows: DataFrame) -> DataFrame:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = Packed(list(kinds), buckets)
-        for batch in batches:
+        for batch in small(batches):
             for row in batch.to_pylist():
                 tokens = np.frombuffer(row["tokens"], np.uint64)
                 values = (row["doc_id"], row["home"], row["group"], row["single"], len(tokens))
@@ -321,7 +322,7 @@ def _links_of_opened(open_rows: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, members, group = None, [], None
-        for batch in batches:
+        for batch in small(batches):
             found = []
             for row in batch.to_pylist():
                 if row["block"] != block:

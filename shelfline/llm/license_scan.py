@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.llm.text import TO_WORDS, texts
+from shelfline.llm.text import TO_WORDS, small, texts
 
 # Phrases and the labels they stand for.
 PHRASES = {
@@ -191,7 +191,7 @@ def license_scan(documents: DataFrame, templates: dict[str, str] = TEMPLATES) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)
-        for batch in batches:
+        for batch in small(batches):
             rows = [scanner.scan(text) for text in texts(batch)]
             columns = [
                 batch.column(0),

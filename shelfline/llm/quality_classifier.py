@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.llm.text import REMEMBERED_WORDS, shuffle_width, stored, texts
+from shelfline.llm.text import REMEMBERED_WORDS, shuffle_width, small, stored, texts
 
 HALF = 1 << 16
 FEATURES = 2 * HALF
@@ -99,7 +99,7 @@ def _class_counts(labelled: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes, counts, docs, salt = _Shapes(), np.zeros((2, FEATURES), np.int64), np.zeros(2, np.int64), 0
-        for batch in batches:
+        for batch in small(batches):
             for text, label, salt in zip(texts(batch), batch.column("label").to_pylist(), batch.column("salt").to_pylist()):
                 counts[label, features(text, shapes)] += 1
                 docs[label] += 1
@@ -126,7 +126,7 @@ def _class_counts(labelled: DataFrame) -> DataFrame:
 def _packed_features(labelled: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = _Shapes()
-        for batch in batches:
+        for batch in small(batches):
             packed = pa.array([features(text, shapes).tobytes() for text in texts(batch)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("rank"), packed], ["label", "rank", "present"])
 
@@ -202,7 +202,7 @@ def scored(documents: DataFrame, model: Model, column: str = "score") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes, fitted = _Shapes(), broadcast.value
-        for batch in batches:
+        for batch in small(batches):
             scores = pa.array([fitted.score(features(text, shapes)) for text in texts(batch)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*kept, column])
 

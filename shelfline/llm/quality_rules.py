@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.llm.text import WordHashes, gram_hashes, texts
+from shelfline.llm.text import WordHashes, gram_hashes, small, texts
 
 SYMBOLS = b"#*$%&|<>"
 NOT_SYMBOLS = bytes(set(range(256)) - set(SYMBOLS))
@@ -72,7 +72,7 @@ def measured(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for batch in batches:
+        for batch in small(batches):
             rows = [_measure_text(text or b"", cache) for text in texts(batch)]
             columns = np.array(rows, np.int64).reshape(-1, len(MEASURES)).T
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns)], ["doc_id", *MEASURES])

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.llm.text import Packed, WordHashes, gram_hashes, mixed, packed_schema, planes, shuffle_width, texts, unpacked
+from shelfline.llm.text import Packed, WordHashes, gram_hashes, mixed, packed_schema, planes, shuffle_width, small, texts, unpacked
 
 WINDOW = 20
 GRAM = 6
@@ -127,7 +127,7 @@ def _seeds(documents: DataFrame, buckets: int, window: int, gram: int) -> DataFr
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, packed = WordHashes(), _Dealt(ANCHOR, buckets)
-        for batch in batches:
+        for batch in small(batches):
             for doc, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch)):
                 if not text:
                     continue
@@ -164,7 +164,7 @@ def _repeats(seeded: DataFrame, buckets: int, window: int, gram: int) -> DataFra
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, packed = WordHashes(), _Dealt(PLACE, buckets)
-        for batch in batches:
+        for batch in small(batches):
             for doc, mark, text, seeds in zip(*(batch.column(i).to_pylist() for i in (0, 1)), texts(batch), batch.column("seeds").to_pylist()):
                 words = cache.of(text.split())
                 anchors = window_anchors(words, window, gram)[0]
@@ -206,7 +206,7 @@ def _cut(rows: DataFrame, window: int) -> DataFrame:
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             counts, removed, spans, kept = [], [], [], []
             for text, repeats in zip(texts(batch), batch.column("repeats").to_pylist()):
                 words = (text or b"").split()

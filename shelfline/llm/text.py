@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +14,9 @@ LOWER_ASCII = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 TO_WORDS = bytes(
     c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256)
 )
-REMEMBERED_WORDS = 400_000
-FLUSH_ENTRIES = 2_000_000
+REMEMBERED_WORDS = 200_000
+FLUSH_ENTRIES = 1_000_000
+SLICE_ROWS = 512
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
@@ -23,6 +24,13 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
+def small(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that a task holds few rows as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 class WordHashes(dict):
     """The 64-bit hash of a word, kept for the words seen lately."""
 
@@ -136,7 +144,7 @@ def shuffle_width(spark: SparkSession) -> int:
 def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[object, list[dict]]]:
     """Rows with equal neighbouring keys, over rows sorted by `key`."""
     current, held = None, []
-    for batch in batches:
+    for batch in small(batches):
         for row in batch.to_pylist():
             if held and row[key] != current:
                 yield current, held
@@ -154,13 +162,3 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def by_batch(work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
-    """A `mapInArrow` function from one that maps each batch alone."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield work(batch)
-
-    return run

@@ -15,7 +15,7 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
-REMEMBERED_PIECES = 700_000
+REMEMBERED_PIECES = 500_000
 
 # Words of these characters are cut further, into runs of letters, of digits
 # and of other marks, as both tokenizers do. An apostrophe may begin a
@@ -31,11 +31,15 @@ class _Runs(dict):
     """Ids of a run. A run is one word to the tokenizer, already in its form,
     so what rewrites and splits texts is left out for it."""
 
-    def __init__(self, tokenizer: Tokenizer, path: str):
-        self.tokenizer, self.bare = tokenizer, Tokenizer.from_file(path)
+    def __init__(self, path: str):
+        self.path, self.bare = path, Tokenizer.from_file(path)
         self.bare.normalizer = None
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
+    @functools.cached_property
+    def tokenizer(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
     def encoded(self, run: str) -> bytes:
         return _packed(self.bare.encode_batch_fast([run], add_special_tokens=False)[0].ids)
 
@@ -93,9 +97,8 @@ class PieceEncoder:
 
     def __init__(self, path: str, word_ends: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
-        self.tokenizer = Tokenizer.from_file(path)
         self.word_ends = word_ends
-        self.runs = (_Words if word_ends else _Runs)(self.tokenizer, path)
+        self.runs = (_Words if word_ends else _Runs)(path)
         self.first, self.after = _Chunks(self.runs, ""), _Chunks(self.runs, " ")
 
     def _one(self, text: str | None) -> bytes:
