@@ -23,6 +23,7 @@ training and has a null `held_out`. Only the named columns are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -93,8 +94,8 @@ def _class_counts(labelled: DataFrame) -> DataFrame:
     """Documents of each class per feature: `chunk` of the feature space,
     packed counts of both classes and numbers of documents.
 
-    Every task counts its own rows; the counts are added in two rounds, so no
-    task receives one part from every other.
+    Every task counts its own rows; the counts are added in two rounds of about
+    the square root of the number of tasks each.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,23 +105,25 @@ def _class_counts(labelled: DataFrame) -> DataFrame:
                 counts[label, features(text, shapes)] += 1
                 docs[label] += 1
         if docs.sum():
-            parts = [p.tobytes() for p in np.split(counts, CHUNKS, axis=1)]
+            parts = [p.tobytes() for p in np.split(counts.astype(np.int32), CHUNKS, axis=1)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(CHUNKS), pa.int32()), pa.array([salt] * CHUNKS, pa.int32()), pa.array(parts), pa.array([docs.tobytes()] * CHUNKS)],
                 ["chunk", "salt", "counts", "docs"],
             )
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(part.as_py(), np.int64) for part in table.column("counts"))
+    def add(table: pa.Table, first: bool) -> pa.Table:
+        kind = np.int32 if first else np.int64
+        total = sum(np.frombuffer(part.as_py(), kind).astype(np.int64) for part in table.column("counts"))
         docs = sum(np.frombuffer(part.as_py(), np.int64) for part in table.column("docs"))
         keys = [table.column(name).slice(0, 1) for name in ("chunk", "salt")]
         return pa.table([*keys, pa.array([total.tobytes()]), pa.array([docs.tobytes()])], names=["chunk", "salt", "counts", "docs"])
 
     schema = "chunk int, salt int, counts binary, docs binary"
-    salted = labelled.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(shuffle_width(labelled.sparkSession))).cast("int"))
+    salts = math.isqrt(shuffle_width(labelled.sparkSession)) + 1
+    salted = labelled.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)).cast("int"))
     parts = salted.select("text", "label", "salt").mapInArrow(count, schema)
-    some = parts.groupBy("chunk", "salt").applyInArrow(add, schema)
-    return some.groupBy("chunk").applyInArrow(add, schema)
+    some = parts.groupBy("chunk", "salt").applyInArrow(lambda table: add(table, True), schema)
+    return some.groupBy("chunk").applyInArrow(lambda table: add(table, False), schema)
 
 
 def _packed_features(labelled: DataFrame) -> DataFrame:
