@@ -134,22 +134,27 @@ def customer_analytics(
 ) -> DataFrame:
     """Value, tenure and value quintile per customer (1 = highest value).
 
-    Lines are summed per customer id before customers are joined, so no hot
-    customer reaches the join; the second grouping stays on the same
-    partitioning and only merges customers listed twice.
+    Lines are summed per order, then per customer id, before customers are
+    joined, so no hot customer reaches the join; the last grouping stays on the
+    same partitioning and only merges customers listed twice.
     """
-    per_id = (
-        _with_category(fact, products)
-        .groupBy("customer_id")
-        .agg(
-            _distinct("order_id", approx).alias("orders"),
-            exact_sum("net_revenue").alias("net"),
-            F.count("net_revenue").alias("net_lines"),
-            F.min("sale_date").alias("first_date"),
-            F.max("sale_date").alias("last_date"),
-            _distinct("product_category", approx).alias("categories"),
-        )
+    lines = _with_category(fact, products)
+    per_order = lines.groupBy("customer_id", "order_id").agg(
+        exact_sum("net_revenue").alias("net"),
+        F.count("net_revenue").alias("net_lines"),
+        F.min("sale_date").alias("first_date"),
+        F.max("sale_date").alias("last_date"),
     )
+    per_id = per_order.groupBy("customer_id").agg(
+        (F.approx_count_distinct("order_id") if approx else F.count("order_id")).alias("orders"),
+        exact_sum("net").alias("net"),
+        F.sum("net_lines").alias("net_lines"),
+        F.min("first_date").alias("first_date"),
+        F.max("last_date").alias("last_date"),
+    )
+    bought = lines.select("customer_id", "product_category").distinct()
+    categories = bought.groupBy("customer_id").agg(F.count("product_category").alias("categories"))
+    per_id = per_id.join(categories, "customer_id")
     listed = customers.select("customer_id", "customer_name", "segment", "region", "loyalty_tier")
     per_customer = (
         per_id.join(listed, "customer_id")
@@ -186,16 +191,23 @@ def with_value_tiles(customers: DataFrame) -> DataFrame:
 
 
 def kpi_summary(fact: DataFrame, approx: bool = False) -> DataFrame:
-    """Headline totals over all sales, one row."""
-    return fact.agg(
-        _distinct("order_id", approx).alias("total_orders"),
+    """Headline totals over all sales, one row.
+
+    Each distinct count reads its own column, so no line is multiplied; the
+    four one-row results are put side by side by an aggregate.
+    """
+    totals = fact.agg(
         exact_sum("net_revenue").alias("total_revenue"),
         exact_avg("net_revenue").alias("avg_order_value"),
         exact_sum("profit").alias("total_profit"),
-        _distinct("customer_id", approx).alias("unique_customers"),
-        _distinct("product_id", approx).alias("products_sold"),
         percent(F.sum("profit"), F.sum("net_revenue")).alias("overall_margin_pct"),
     )
+    counts = {"total_orders": "order_id", "unique_customers": "customer_id", "products_sold": "product_id"}
+    rows = totals
+    for name, column in counts.items():
+        rows = rows.unionByName(fact.agg(_distinct(column, approx).alias(name)), allowMissingColumns=True)
+    order = ["total_orders", "total_revenue", "avg_order_value", "total_profit", "unique_customers", "products_sold", "overall_margin_pct"]
+    return rows.agg(*(F.max(name).alias(name) for name in order))
 
 
 def _with_category(fact: DataFrame, products: DataFrame) -> DataFrame:
