@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfline.operators.dimensions import dim_customers, dim_products
 from shelfline.operators.silver import silver_sales
-from shelfline.session import fresh_path
+from shelfline.session import discard_at_exit, file_system, fresh_path
 from shelfline.sources.catalog import clustered_by_date
 from shelfline.sources.order_tables import OrderTables
 
@@ -30,8 +29,8 @@ class Layers:
     def _stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._written:
             path = fresh_path(self.spark, name)
-            atexit.register(_delete, self.spark, path)
             build().write.parquet(path)
+            discard_at_exit(self.spark, path)
             self._written[name] = self.spark.read.parquet(path)
         return self._written[name]
 
@@ -61,20 +60,9 @@ class Layers:
 _OPEN: dict[tuple[str, str, str], Layers] = {}
 
 
-def _hadoop_path(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
-        place, files = _hadoop_path(spark, path)
-        files.delete(place, True)
-
-
 def files_state(spark: SparkSession, folder: str) -> str:
     """Names, sizes and times of the files in `folder`, by whatever store."""
-    place, files = _hadoop_path(spark, folder)
+    place, files = file_system(spark, folder)
     found = files.listFiles(place, True)
     state = []
     while found.hasNext():

@@ -54,6 +54,18 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop path of `path` and the file system it is in."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def discard_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a written folder when the application's JVM ends."""
+    place, files = file_system(spark, path)
+    files.deleteOnExit(place)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """`df` computed once and kept in the shared folder, so that later readers
     see the same rows in the same blocks even after executors are lost."""
