@@ -9,6 +9,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfline.session import discard_at_exit, fresh_path
+
 LOWER_ASCII = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 # Lower-cases A-Z and turns every other ASCII character outside a-z, 0-9 into a space.
 TO_WORDS = bytes(
@@ -156,9 +158,9 @@ def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[object,
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """`df` written to the shared folder and read back: the lineage ends here."""
-    from shelfline.session import fresh_path
-
+    """`df` written to the shared folder and read back: the lineage ends here.
+    The folder is deleted when the application ends."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
+    discard_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
