@@ -8,36 +8,56 @@ texts, without doc_id, or repeated pass through as each operator defines.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfline.llm import decontamination, jaccard_join, packing, pii, quality_classifier
+from shelfline.llm.shipping import ship_package
 from shelfline.llm.text import stored
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
 # SQL cannot express the classifier; tests hold every stage to a plain version.
 ORACLE_SQL = None
 
 
+def _stage(work: Stage) -> Stage:
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return work(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     return quality_classifier.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     return jaccard_join.one_of_each(docs)
 
 
+@_stage
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages."""
     return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts masked."""
     return pii.masked(docs)
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts as pieces of token sequences."""
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfline.llm import chat_format, decontamination, jaccard_join, license_scan, packing, pii, quality_classifier, quality_rules, substring_dedup, token_files
+from shelfline.llm.shipping import ship_package
 from shelfline.session import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,7 @@ def _query(build: Query) -> Query:
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
