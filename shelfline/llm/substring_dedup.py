@@ -231,7 +231,7 @@ def _cut(rows: DataFrame, window: int) -> DataFrame:
 
 def without_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed, spans of maximal repeats, kept_text."""
-    buckets = 4 * shuffle_width(documents.sparkSession)
+    buckets = shuffle_width(documents.sparkSession)
     key = F.col("doc_id").cast("long").alias("doc_id")
     # The hash only orders rows that repeat a doc_id; most tables have none.
     repeated = documents.select(key).where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
