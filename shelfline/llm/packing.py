@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.llm.text import stored
+from shelfline.llm.text import small, stored
 from shelfline.llm.tokens import encoder as worker_encoder
 
 CAPACITY = 1024
@@ -221,25 +221,23 @@ def token_pieces(documents: DataFrame, tokenizer: str, end_id: int, capacity: in
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, row, full = worker_encoder(tokenizer, word_ends), 0, 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                counts, sums, fulls = [], [], []
-                for ids in encoder.encode(some.column("text").to_pylist()):
-                    ids += end
-                    n = len(ids) // 4
-                    first = (n - 1) % capacity + 1
-                    cuts = [0, *range(first, n + 1, capacity)]
-                    counts.append(n)
-                    sums.append([zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(cuts[:-1], cuts[1:])])
-                    fulls.append(full)
-                    full += n // capacity
-                part = some.column("part")[0].as_py()
-                rows = np.arange(row, row + some.num_rows) + (part << 33)
-                row += some.num_rows
-                columns = [pa.array(rows), some.column("doc_id"), pa.array([part] * some.num_rows, pa.int64())]
-                columns += [pa.array(counts, pa.int64()), pa.array(sums, pa.list_(pa.int64())), pa.array(fulls, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["item_id", "doc_id", "part", "n_tokens", "sums", "full_before"])
+        for some in small(batches):
+            counts, sums, fulls = [], [], []
+            for ids in encoder.encode(some.column("text").to_pylist()):
+                ids += end
+                n = len(ids) // 4
+                first = (n - 1) % capacity + 1
+                cuts = [0, *range(first, n + 1, capacity)]
+                counts.append(n)
+                sums.append([zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(cuts[:-1], cuts[1:])])
+                fulls.append(full)
+                full += n // capacity
+            part = some.column("part")[0].as_py()
+            rows = np.arange(row, row + some.num_rows) + (part << 33)
+            row += some.num_rows
+            columns = [pa.array(rows), some.column("doc_id"), pa.array([part] * some.num_rows, pa.int64())]
+            columns += [pa.array(counts, pa.int64()), pa.array(sums, pa.list_(pa.int64())), pa.array(fulls, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["item_id", "doc_id", "part", "n_tokens", "sums", "full_before"])
 
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().cast("long").alias("part"))
     return chosen.mapInArrow(encode, "item_id long, doc_id long, part long, n_tokens long, sums array<long>, full_before long")

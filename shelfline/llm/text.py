@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,11 +29,22 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on from task to
+    task, and from one operator to the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def small(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in slices, so that a task holds few rows as Python objects."""
+    give_back()
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE_ROWS):
             yield batch.slice(at, SLICE_ROWS)
+    give_back()
 
 
 class WordHashes(dict):

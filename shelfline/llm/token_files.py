@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfline.llm.text import shuffle_width
+from shelfline.llm.text import shuffle_width, small
 from shelfline.llm.tokens import encoder as worker_encoder
 
 SEGMENT_TOKENS = 1 << 20
@@ -40,18 +40,18 @@ SEGMENT = (
 
 def levels_of(ids: np.ndarray) -> list[dict[str, bytes]]:
     """Chunk levels of ids, unsigned integers."""
-    levels, rest = [], ids.astype(np.uint64)
+    levels, rest = [], ids.astype(np.uint32 if ids.itemsize <= 4 else np.uint64)
     while len(rest) or not levels:
         more = rest > 255
         ranks = np.concatenate(([0], np.cumsum(np.add.reduceat(more, np.arange(0, len(more), DIRECTORY_BITS))))) if len(more) else np.zeros(1)
         levels.append(
             {
-                "chunks": (rest & np.uint64(255)).astype(np.uint8).tobytes(),
+                "chunks": rest.astype(np.uint8).tobytes(),  # the low byte
                 "continues": np.packbits(more, bitorder="little").tobytes(),
                 "ranks": ranks.astype(np.uint32).tobytes(),
             }
         )
-        rest = rest[more] >> np.uint64(8)
+        rest = rest[more] >> rest.dtype.type(8)
     return levels
 
 
@@ -104,17 +104,15 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer: str, end_id:
             arrays.append(pa.array([levels_of(ids)], pa.list_(LEVEL)))
             return pa.RecordBatch.from_arrays(arrays, ["part", "segment", "before", "n_tokens", "doc_ids", "lengths", "levels"])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                part = some.column("part")[0].as_py()
-                for doc, ids in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text").to_pylist())):
-                    docs.append(doc)
-                    held.append(ids + end)
-                    size += len(ids) // 4 + 1
-                    if size >= SEGMENT_TOKENS:
-                        yield row()
-                        segment, before, docs, held, size = segment + 1, before + size, [], [], 0
+        for some in small(batches):
+            part = some.column("part")[0].as_py()
+            for doc, ids in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text").to_pylist())):
+                docs.append(doc)
+                held.append(ids + end)
+                size += len(ids) // 4 + 1
+                if size >= SEGMENT_TOKENS:
+                    yield row()
+                    segment, before, docs, held, size = segment + 1, before + size, [], [], 0
         if docs:
             yield row()
 
