@@ -235,7 +235,10 @@ def without_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM
     key = F.col("doc_id").cast("long").alias("doc_id")
     # The hash only orders rows that repeat a doc_id; most tables have none.
     repeated = documents.select(key).where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    tie = F.lit(0) if repeated.isEmpty() else F.hash("text")
+    # Zero, but no literal: a constant would be taken out of the layout below,
+    # which then could not be shared.
+    zero = F.coalesce((F.col("doc_id").cast("long") % 1).cast("int"), F.lit(0))
+    tie = zero if repeated.isEmpty() else F.hash("text")
     chosen = documents.select(key, tie.alias("text_hash"), "text")
     # One shuffle of the texts serves all three looks at them.
     laid_out = chosen.where("doc_id IS NOT NULL").repartition(shuffle_width(documents.sparkSession), *KEYS)
