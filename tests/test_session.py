@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfline.operators import gold
+from shelfline.plans.layers import layers
 from shelfline.session import fresh_path, settled, shared_folder
 
 
@@ -63,3 +64,12 @@ def test_a_hot_product_is_split_at_the_join(spark):
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_changed_files_are_seen(spark, tmp_path):
+    at = str(tmp_path)
+    spark.range(3).write.parquet(f"{at}/region.parquet")
+    first = layers(spark, at)
+    assert layers(spark, at) is first and first.bronze.table("region").count() == 3
+    spark.range(5).write.mode("append").parquet(f"{at}/region.parquet")
+    assert layers(spark, at) is not first and layers(spark, at).bronze.table("region").count() == 8
