@@ -15,7 +15,8 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
-REMEMBERED_PIECES = 500_000
+REMEMBERED_PIECES = 900_000
+KEPT_LENGTH = 6
 
 # Words of these characters are cut further, into runs of letters, of digits
 # and of other marks, as both tokenizers do. An apostrophe may begin a
@@ -70,15 +71,19 @@ class _Words(_Runs):
 
 class _Chunks(dict):
     """Ids of what stands between two spaces, put together from its runs.
-    `lead` goes before it."""
+    `lead` goes before it; a run that begins with it is a chunk too."""
 
     def __init__(self, runs: _Runs, lead: str):
         self.runs, self.lead = runs, lead
 
+    def _ids(self, run: str) -> bytes:
+        return self[run[1:]] if self.lead and run[0] == self.lead and len(run) > 1 else self.runs[run]
+
     def __missing__(self, chunk: str) -> bytes:
         text = self.lead + chunk
         if PLAIN_CHUNK.fullmatch(text):
-            ids = b"".join(map(self.runs.__getitem__, CHUNK_RUNS.findall(text)))
+            cut = CHUNK_RUNS.findall(text)
+            ids = self.runs.encoded(text) if cut == [text] else b"".join(map(self._ids, cut))
         else:
             ids = self.runs.whole(text)
         self[chunk] = ids
@@ -113,11 +118,18 @@ class PieceEncoder:
         ids = b"".join(map(self.after.__getitem__, rest))
         return self.first[first] + ids if first else ids
 
+    def _forget(self) -> None:
+        """Drop the long pieces, which are the rare ones; all if that is not enough."""
+        for known in (self.first, self.after, self.runs):
+            short = {piece: ids for piece, ids in known.items() if len(piece) <= KEPT_LENGTH}
+            known.clear()
+            if len(short) < REMEMBERED_PIECES // 6:
+                known.update(short)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; none for null."""
         if len(self.first) + len(self.after) + len(self.runs) > REMEMBERED_PIECES:
-            for known in (self.first, self.after, self.runs):
-                known.clear()
+            self._forget()
         return [self._one(text) for text in texts]
 
 
