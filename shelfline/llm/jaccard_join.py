@@ -294,7 +294,10 @@ def _distinct_per_run(run: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 class _Group:
-    """Members of one group and the union of their tokens."""
+    """Members of one group and the union of their tokens.
+
+    Members need not be of one component, so a query can join several of them.
+    """
 
     def __init__(self, members: list[tuple[int, np.ndarray]]):
         self.docs = [doc for doc, _ in members]
@@ -303,22 +306,29 @@ class _Group:
         self.has = np.zeros((len(members), len(self.union)), bool)
         for row, (_, tokens) in zip(self.has, members):
             row[np.searchsorted(self.union, tokens)] = True
+        # Members joined by the queries so far have the same number.
+        self.joined = np.arange(len(members))
 
-    def link(self, tokens: np.ndarray, percent: int) -> int | None:
-        """A member that `tokens` links to; the group is opened only when the
-        overlap with its union allows one."""
+    def links(self, tokens: np.ndarray, percent: int) -> list[int]:
+        """Members that `tokens` links to, one of each set of members that
+        earlier queries joined; the group is opened only when the overlap with
+        its union allows one."""
         found = np.searchsorted(self.union, tokens)
         found[found == len(self.union)] = 0
         found = found[self.union[found] == tokens]
         if len(found) < needed(len(tokens), percent):
-            return None
+            return []
         shared = self.has[:, found].sum(axis=1)
         fit = np.flatnonzero(100 * shared >= percent * (self.sizes + len(tokens) - shared))
-        return self.docs[fit[0]] if len(fit) else None
+        numbers, first = np.unique(self.joined[fit], return_index=True)
+        if len(numbers) > 1:
+            self.joined[np.isin(self.joined, numbers)] = numbers[0]
+        return [self.docs[i] for i in fit[first]]
 
 
 def _links_of_opened(open_rows: DataFrame, percent: int) -> DataFrame:
-    """At most one link per query and group; members stand first in a block."""
+    """A spanning set of the links between the queries and the members of a
+    block, which are fewer than both together; members stand first in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, members, group = None, [], None
@@ -332,9 +342,7 @@ def _links_of_opened(open_rows: DataFrame, percent: int) -> DataFrame:
                     members.append((row["doc_id"], tokens))
                     continue
                 group = group or _Group(members)
-                other = group.link(tokens, percent)
-                if other is not None:
-                    found.append((row["doc_id"], other))
+                found.extend((row["doc_id"], other) for other in group.links(tokens, percent))
             if found:
                 a, b = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from llm import cases
 
 from shelfline.llm import jaccard_join, license_scan, quality_rules, substring_dedup
@@ -31,6 +32,26 @@ def test_chains_and_unlinked_families(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == cases.components(docs)
 
 
+def test_a_query_joins_unlinked_members(spark):
+    sets = {1: range(85), 2: range(15, 100), 3: range(100), 4: range(100)}
+    rows = [(7, doc < 3, doc, np.array(tokens, np.uint64).tobytes()) for doc, tokens in sets.items()]
+    opened = spark.createDataFrame(rows, "block long, hub boolean, doc_id long, tokens binary")
+    found = jaccard_join._links_of_opened(opened, 80).collect()
+    assert len(found) == 3 and {other for row in found for other in row} == {1, 2, 3, 4}
+
+
+def test_sparse_family_equals_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 1)
+    monkeypatch.setattr(jaccard_join, "GROUP_DOCS", 8)
+    rng = random.Random(11)
+    docs = []
+    for _ in range(20):
+        base = cases.prose(rng, 150)
+        docs += [(len(docs) + n, cases.edited(rng, base, rng.choice([1, 2, 2, 2, 3, 3]))) for n in range(40)]
+    found = jaccard_join.jaccard_components(cases.frame(spark, docs)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == cases.components(docs)
+
+
 def test_repeated_ids_and_empty_tables(spark):
     docs = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "other words"), (2, "A B C D E F")]
     found = jaccard_join.jaccard_components(cases.frame(spark, docs)).collect()
