@@ -183,47 +183,55 @@ def _first_links(classes: DataFrame, documents: DataFrame, percent: int) -> Data
     return _links_in_blocks(placed.select("at.block", "at.hub", "doc_id", "tokens"), percent)
 
 
+def _set_key(digest: bytes) -> int:
+    """What `xxhash64` gives in Spark for a set_id. Sets that share a key get
+    each other's tokens, which adds undecided documents and loses none."""
+    return xxhash.xxh64_intdigest(digest, seed=42)
+
+
 def _shared_prefix_tokens(documents: DataFrame, percent: int) -> DataFrame:
-    """(token, doc_id) of prefix tokens that stand in two documents or more.
+    """(token, set_key) of prefix tokens that stand in two documents or more.
 
     Of copies within a task one speaks for all, so a token arrives at most
-    once per task and distinct set.
+    once per task and distinct set. It speaks for its set, not for its doc_id,
+    which other rows may repeat with another text.
     """
-    names = ["token", "doc"]
+    names = ["token", "set"]
     buckets = 4 * shuffle_width(documents.sparkSession)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, packed, seen = WordHashes(), Packed(names, buckets), set()
         for batch in small(batches):
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
+            for text in texts(batch):
                 tokens = shingles(text, cache)
-                digest = xxhash.xxh3_64_intdigest(tokens.tobytes())
+                digest = _digest(tokens.tobytes())
                 if len(tokens) < 4 or digest in seen:
                     continue
                 seen.add(digest)
                 size = len(tokens)
                 head = tokens[: size - needed(size, percent) + max(1, size // 10)]
-                packed.add(head, np.full(len(head), doc, np.int64))
+                packed.add(head, np.full(len(head), _set_key(digest), np.uint64))
                 if packed.full:
                     yield from packed.rows()
         yield from packed.rows()
 
     def shared(table: pa.Table) -> pa.Table:
-        tokens, docs = unpacked(table, token=np.uint64, doc=np.int64)
+        tokens, sets = unpacked(table, token=np.uint64, set=np.uint64)
         order = np.argsort(tokens, kind="stable")
-        tokens, docs = tokens[order], docs[order]
+        tokens, sets = tokens[order], sets[order]
         same = np.concatenate(([False], tokens[1:] == tokens[:-1], [False]))
         repeated = same[1:] | same[:-1]
-        return pa.table({"token": tokens[repeated].view(np.int64), "doc_id": docs[repeated]})
+        return pa.table({"token": tokens[repeated].view(np.int64), "set_key": sets[repeated].view(np.int64)})
 
     rows = documents.mapInArrow(prefixes, packed_schema(names))
-    return rows.groupBy("bucket").applyInArrow(shared, "token long, doc_id long")
+    return rows.groupBy("bucket").applyInArrow(shared, "token long, set_key long")
 
 
-def _undecided(classes: DataFrame, members: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
+def _undecided(classes: DataFrame, homes: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     """Documents that may link into another group than their own."""
     shared = _shared_prefix_tokens(documents, percent)
-    placed = shared.join(members, "doc_id").select("token", "rep", "home")
+    keyed = homes.select(F.xxhash64("set_id").alias("set_key"), "rep", "home")
+    placed = shared.join(keyed, "set_key").select("token", "rep", "home")
     across = placed.groupBy("token").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low <> high")
     counted = placed.join(across.select("token"), "token").groupBy("rep", "home").agg(
         F.count_distinct("token").alias("foreign"), F.min("token").alias("value")
@@ -405,8 +413,7 @@ def jaccard_components(documents: DataFrame, percent: int = 80) -> DataFrame:
     classes = stored(classes, "set-classes")
     first = stored(_first_links(classes, chosen, percent), "first-links")
     homes = stored(_with_home(classes, first).select("set_id", F.col("doc_id").alias("rep"), "home"), "first-groups")
-    members = largest.join(homes, "set_id").select("doc_id", "rep", "home")
-    undecided = _undecided(classes, members, chosen, percent)
+    undecided = _undecided(classes, homes, chosen, percent)
     groups = stored(_grouped(stored(undecided, "undecided")), "groups")
     rows = stored(_texts_of(groups, chosen).dropDuplicates(["doc_id"]), "group-tokens")
     links = stored(first.union(_group_links(rows, percent)), "all-links")

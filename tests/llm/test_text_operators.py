@@ -52,6 +52,16 @@ def test_sparse_family_equals_all_pairs(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == cases.components(docs)
 
 
+def test_a_text_under_a_repeated_id_does_not_speak_for_it(spark, monkeypatch):
+    """The text of 2 stands first in its task as the smaller one of 1."""
+    monkeypatch.setattr(jaccard_join, "_first_links", lambda *_: spark.createDataFrame([], "a long, b long"))
+    rng = random.Random(4)
+    words = cases.prose(rng, 60)
+    texts = [(1, words), (2, words), (3, words + " end"), (1, cases.prose(rng, 90))]
+    found = jaccard_join.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)).collect()
+    assert {(row.doc_id, row.component_id) for row in found} == {(1, 1), (2, 2), (3, 2)}
+
+
 def test_repeated_ids_and_empty_tables(spark):
     docs = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "other words"), (2, "A B C D E F")]
     found = jaccard_join.jaccard_components(cases.frame(spark, docs)).collect()
