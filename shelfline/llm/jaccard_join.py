@@ -69,6 +69,12 @@ def needed(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
+def can_link(size, percent: int):
+    """Whether a set of `size` (a number or a column) can link to another set:
+    the nearest one holds it and one token more."""
+    return 100 * size >= percent * (size + 1)
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     if len(a) > len(b):
         a, b = b, a
@@ -165,7 +171,7 @@ def _texts_of(rows: DataFrame, documents: DataFrame) -> DataFrame:
 
 def _first_links(classes: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     """Links verified among documents that share a min-hash."""
-    banded = classes.where("n_shingles > 3").select("doc_id", "set_id", "copies", F.posexplode("bands").alias("band", "value"))
+    banded = classes.where(can_link(F.col("n_shingles"), percent)).select("doc_id", "set_id", "copies", F.posexplode("bands").alias("band", "value"))
     weight = F.struct(F.col("copies"), (-F.col("doc_id")).alias("minus_id"), F.col("set_id"))
     keys = banded.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size"), F.max(weight).alias("hub")).where("size > 1")
     keys = keys.withColumn("blocks", F.ceil(F.col("size") / BLOCK_DOCS).cast("int"))
@@ -205,7 +211,7 @@ def _shared_prefix_tokens(documents: DataFrame, percent: int) -> DataFrame:
             for text in texts(batch):
                 tokens = shingles(text, cache)
                 digest = _digest(tokens.tobytes())
-                if len(tokens) < 4 or digest in seen:
+                if not can_link(len(tokens), percent) or digest in seen:
                     continue
                 seen.add(digest)
                 size = len(tokens)
@@ -395,13 +401,16 @@ def jaccard_components(documents: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `documents`.
 
     Two documents link when 100 * intersection >= percent * union of their
-    shingle sets. `component_id` is the least doc_id reachable by links.
+    shingle sets, `percent` from 1 to 100. `component_id` is the least doc_id
+    reachable by links.
 
     Null or empty texts have an empty set and are alone. A row without doc_id
     keeps its size and has a null component. Rows that repeat a doc_id are one
     document, which links by the largest of their sets; each row is returned
     with its own size. Only doc_id and text are read.
     """
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = stored(_sets(chosen), "shingle-sets")
     chosen = chosen.where("doc_id IS NOT NULL")

@@ -62,6 +62,14 @@ def test_a_text_under_a_repeated_id_does_not_speak_for_it(spark, monkeypatch):
     assert {(row.doc_id, row.component_id) for row in found} == {(1, 1), (2, 2), (3, 2)}
 
 
+def test_small_sets_link_at_lower_thresholds(spark):
+    """Sets of 3 in 4 shingles and of 1 in 2."""
+    texts = [(1, "a b c d e f g"), (2, "a b c d e f g h"), (3, "q w e r t"), (4, "q w e r t y")]
+    for percent, expected in ((75, {(1, 1), (2, 1), (3, 3), (4, 4)}), (50, {(1, 1), (2, 1), (3, 3), (4, 3)})):
+        found = jaccard_join.jaccard_components(cases.frame(spark, texts), percent).collect()
+        assert {(row.doc_id, row.component_id) for row in found} == expected
+
+
 def test_repeated_ids_and_empty_tables(spark):
     docs = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "other words"), (2, "A B C D E F")]
     found = jaccard_join.jaccard_components(cases.frame(spark, docs)).collect()
