@@ -2,12 +2,13 @@
 
 A message is a row (conv_id, turn, role, text). An assistant message whose
 text is a JSON object with `tool_calls` makes calls, each with `id`, `name`
-and `arguments`; a message of role `tool` whose text is a JSON object with
+and `arguments`, the last two also as fields of `function`; a message of role `tool` whose text is a JSON object with
 `tool_call_id` is the result of one. Calls and results are joined by
 (conv_id, identifier). Messages are ordered by turn, but a result never
 stands before its call: it takes the later of both turns. Arguments are
 checked against the tool's schema. Objects are written with sorted keys,
-without spaces and without null fields.
+without spaces and without null fields. All other fields of such a text and of
+its calls are kept beside these; its role is that of the row.
 
 A conversation becomes parts of at most `part_turns` turns, so that a very
 long one is not one row. A part in which turns repeat so often that it holds
@@ -18,7 +19,8 @@ Defined cases: a message without text has no content; without turn it stands
 first; ties stand in the order of call, role and text, and repeated rows are
 all kept; rows without conv_id are one conversation; a call identifier used
 twice belongs to its first call; a result without a call is kept where it
-stands and counted. Other columns are not read.
+stands and counted; a text that is no valid JSON object (a key given twice
+included), or has a call that is no object, is content as it is. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,8 +43,23 @@ TYPES = {
     "array": "^ARRAY",
 }
 
-CALLS = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:string>>>"
-RESULT = "struct<tool_call_id:string,content:string>"
+MAP = "map<string,variant>"
+
+
+def _filled(fields: Column) -> Column:
+    return F.map_filter(fields, lambda _, value: value.isNotNull() & ~F.is_variant_null(value))
+
+
+def _without(fields: Column, *names: str) -> Column:
+    return _filled(F.map_filter(fields, lambda key, _: ~key.isin(*names)))
+
+
+def _variant(fields: Column) -> Column:
+    return F.call_function("to_variant_object", fields)
+
+
+def _texts(**fields: Column) -> Column:
+    return _filled(F.create_map(*(item for name, value in fields.items() for item in (F.lit(name), value.cast("variant")))))
 
 
 def argument_errors(name: Column, arguments: Column, schemas: dict[str, Schema]) -> Column:
@@ -71,14 +88,35 @@ def messages(conversations: DataFrame) -> DataFrame:
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), "text"
     )
-    is_object = F.col("text").rlike(r"^\s*\{")
-    made = F.when((F.col("role") == "assistant") & is_object, F.from_json("text", CALLS))
-    result = F.when((F.col("role") == "tool") & is_object, F.from_json("text", RESULT))
-    rows = rows.withColumn("made", made).withColumn("result", result)
-    calls = F.when(F.size("made.tool_calls") > 0, F.col("made.tool_calls"))
-    answers = F.col("result.tool_call_id")
-    content = F.when(calls.isNotNull(), F.col("made.content")).when(answers.isNotNull(), F.col("result.content")).otherwise(F.col("text"))
-    return rows.select("conv_id", "turn", "role", content.alias("content"), calls.alias("calls"), answers.alias("answers"))
+    parsed = F.col("role").isin("assistant", "tool") & F.col("text").rlike(r"^\s*\{")
+    rows = rows.withColumn("body", F.when(parsed, F.try_parse_json("text")))
+    made = F.when(F.col("role") == "assistant", F.try_variant_get("body", "$.tool_calls", "array<variant>"))
+    objects = F.forall(made, lambda item: F.coalesce(F.schema_of_variant(item).startswith("OBJECT"), F.lit(False)))
+    calls = F.when((F.size(made) > 0) & objects, F.transform(made, _call))
+    answers = F.when(F.col("role") == "tool", F.try_variant_get("body", "$.tool_call_id", "string"))
+    rows = rows.withColumns({"calls": calls, "answers": answers})
+    read = F.col("calls").isNotNull() | F.col("answers").isNotNull()
+    content = F.when(read, F.try_variant_get("body", "$.content", "string")).otherwise(F.col("text"))
+    fields = F.try_variant_get("body", "$", MAP)
+    rest = F.when(F.col("calls").isNotNull(), _without(fields, "content", "role", "tool_calls"))
+    rest = rest.when(F.col("answers").isNotNull(), _without(fields, "content", "role", "tool_call_id"))
+    return rows.select("conv_id", "turn", "role", content.alias("content"), "calls", "answers", rest.alias("rest"))
+
+
+def _call(item: Column) -> Column:
+    """id, name and arguments of a call in either form; its other fields."""
+    function = F.try_variant_get(item, "$.function", MAP)
+    own = {name: F.try_variant_get(item, f"$.{name}", "string") for name in ("name", "arguments")}
+    inner = {name: F.try_variant_get(item, f"$.function.{name}", "string") for name in own}
+    # A field that `function` gives a second time stays there.
+    taken = lambda key: F.coalesce(*(F.when((key == name) & own[name].isNull(), True) for name in own), F.lit(False))
+    left = _filled(F.map_filter(function, lambda key, _: ~taken(key)))
+    rest = F.when(function.isNull(), _without(F.try_variant_get(item, "$", MAP), "id", "name", "arguments"))
+    rest = rest.otherwise(_without(F.try_variant_get(item, "$", MAP), "id", "name", "arguments", "function"))
+    rest = F.when(F.size(left) > 0, F.map_concat(rest, F.create_map(F.lit("function"), _variant(left)))).otherwise(rest)
+    return F.struct(
+        F.try_variant_get(item, "$.id", "string").alias("id"), *(F.coalesce(own[name], inner[name]).alias(name) for name in own), rest.alias("rest")
+    )
 
 
 def linked(rows: DataFrame) -> DataFrame:
@@ -97,16 +135,20 @@ def canonical(rows: DataFrame, schemas: dict[str, Schema]) -> DataFrame:
 
     def call(made: Column) -> Column:
         arguments = F.coalesce(F.to_json(F.try_parse_json(made["arguments"])), made["arguments"])
-        return F.struct(arguments.alias("arguments"), made["id"].alias("id"), made["name"].alias("name"))
+        return _variant(F.map_concat(made["rest"], _texts(arguments=arguments, id=made["id"], name=made["name"])))
 
-    message = F.struct("content", "role", F.col("answers").alias("tool_call_id"), F.transform("calls", call).alias("tool_calls"))
+    plain = F.to_json(F.struct("content", "role"))
+    own = _texts(content=F.col("content"), role=F.col("role"), tool_call_id=F.col("answers"))
+    made = F.when(F.col("calls").isNotNull(), F.create_map(F.lit("tool_calls"), F.transform("calls", call).cast("variant")))
+    whole = F.map_concat("rest", own, F.coalesce(made, F.create_map().cast(MAP)))
+    json = F.when(F.col("rest").isNull(), plain).otherwise(F.to_json(_variant(whole)))
     wrong = F.filter("calls", lambda c: F.size(argument_errors(c["name"], c["arguments"], schemas)) > 0)
     return rows.select(
         "conv_id",
         F.greatest(F.coalesce("turn", F.col("to.turn")), F.col("to.turn")).alias("turn"),
         "role",
         F.coalesce("to.place", F.lit(-1)).alias("place"),
-        F.to_json(message).alias("json"),
+        json.alias("json"),
         F.coalesce(F.size("calls"), F.lit(0)).alias("calls"),
         F.coalesce(F.size(wrong), F.lit(0)).alias("invalid"),
         F.col("to").isNotNull().cast("int").alias("answered"),

@@ -127,6 +127,34 @@ def test_calls_are_linked_ordered_and_checked(spark):
     assert rows[(2, -1)].messages == "[{}]" and rows[(2, 0)].n_calls == 0 and rows[(None, 0)].n_messages == 2
 
 
+def test_both_forms_of_calls_and_other_fields_are_kept(spark):
+    asked = {"query": "x"}
+    nested = {"id": "b", "type": "function", "function": {"name": "search", "arguments": json.dumps(asked)}}
+    both = {"id": "c", "name": "search", "arguments": asked, "index": 1, "function": {"name": "other", "strict": True}}
+    texts = [
+        ("assistant", {"role": "assistant", "content": None, "tool_calls": [nested, both], "usage": {"n": [1, None]}}),
+        ("tool", {"tool_call_id": "b", "content": "found", "name": "search", "is_error": False}),
+        ("assistant", {"tool_calls": [3]}),
+    ]
+    frame = spark.createDataFrame([(1, n, role, json.dumps(text)) for n, (role, text) in enumerate(texts)], "conv_id long, turn int, role string, text string")
+    row = chat_format.formatted(frame, SCHEMAS).collect()[0]
+    assert (row.n_messages, row.n_calls, row.n_invalid_calls, row.n_answers, row.n_orphans) == (3, 2, 0, 1, 0)
+    query = '{"query":"x"}'
+    expected = [
+        {
+            "role": "assistant",
+            "tool_calls": [
+                {"id": "b", "type": "function", "name": "search", "arguments": query},
+                {"id": "c", "name": "search", "arguments": query, "index": 1, "function": {"name": "other", "strict": True}},
+            ],
+            "usage": {"n": [1, None]},
+        },
+        {"role": "tool", "tool_call_id": "b", "content": "found", "name": "search", "is_error": False},
+        {"role": "assistant", "content": '{"tool_calls": [3]}'},
+    ]
+    assert row.messages == json.dumps(expected, sort_keys=True, separators=(",", ":"))
+
+
 def test_long_conversations_become_parts(spark, monkeypatch):
     monkeypatch.setattr(chat_format, "PART_MESSAGES", 50)
     frame = spark.range(600).select(F.lit(7).alias("conv_id"), F.when(F.col("id") < 300, F.col("id")).otherwise(400).alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
