@@ -12,8 +12,9 @@ its calls are kept beside these; its role is that of the row.
 
 A conversation becomes parts of at most `part_turns` turns, so that a very
 long one is not one row. A part in which turns repeat so often that it holds
-more than `PART_MESSAGES` is dealt by hash into pieces, each in order. All of
-it are DataFrame functions.
+more than `PART_MESSAGES` is dealt by hash into pieces, each in order; there equal
+messages are counted first and dealt evenly, so that one repeated without end
+fills no piece. All of it are DataFrame functions.
 
 Defined cases: a message without text has no content; without turn it stands
 first; ties stand in the order of call, role and text, and repeated rows are
@@ -156,6 +157,18 @@ def canonical(rows: DataFrame, schemas: dict[str, Schema]) -> DataFrame:
     )
 
 
+def _dealt(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Messages of large parts, each distinct one with its `copies` in every
+    `piece` it is dealt to."""
+    distinct = rows.groupBy(*columns, "held").agg(F.count(F.lit(1)).alias("all"))
+    pieces = F.ceil(F.col("held") / PART_MESSAGES)
+    distinct = distinct.withColumn("pieces", pieces).withColumn("places", F.least("all", "pieces"))
+    dealt = distinct.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("places") - 1)))
+    piece = F.pmod(F.pmod(F.xxhash64("json", "turn"), F.col("pieces")) + F.col("nth"), F.col("pieces"))
+    more = (F.col("nth") < F.col("all") % F.col("places")).cast("long")
+    return dealt.select(*columns, piece.alias("piece"), (F.floor(F.col("all") / F.col("places")) + more).alias("copies"))
+
+
 def formatted(conversations: DataFrame, schemas: dict[str, Schema] | None = None, part_turns: int = PART_TURNS) -> DataFrame:
     """conv_id, part, piece, n_messages, n_calls, n_invalid_calls, n_answers,
     n_orphans, messages (a JSON array) for every part of a conversation."""
@@ -163,12 +176,17 @@ def formatted(conversations: DataFrame, schemas: dict[str, Schema] | None = None
     part = F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1)).cast("long")
     rows = rows.withColumn("part", part).withColumn("key", F.xxhash64("conv_id", "part"))
     large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > PART_MESSAGES)
-    rows = rows.join(large, "key", "left")
-    piece = F.coalesce(F.pmod(F.xxhash64("json", "turn"), F.ceil(F.col("held") / PART_MESSAGES)), F.lit(0)).cast("long")
-    order = F.struct(F.coalesce("turn", F.lit(-(2**63))).alias("turn"), "place", F.coalesce("role", F.lit("")).alias("role"), "json")
     counts = {"n_calls": "calls", "n_invalid_calls": "invalid", "n_answers": "answered", "n_orphans": "orphaned"}
-    parts = rows.groupBy("conv_id", "part", piece.alias("piece")).agg(
-        F.count(F.lit(1)).alias("n_messages"), *(F.sum(c).alias(n) for n, c in counts.items()), F.array_sort(F.collect_list(order)).alias("ordered")
+    columns = ["conv_id", "part", "turn", "place", "role", "json", *counts.values()]
+    one = F.lit(1).cast("long")
+    few = rows.join(large, "key", "left_anti").select(*columns, F.lit(0).cast("long").alias("piece"), one.alias("copies"))
+    rows = few.unionByName(_dealt(rows.join(large, "key"), columns))
+    order = F.struct(F.coalesce("turn", F.lit(-(2**63))).alias("turn"), "place", F.coalesce("role", F.lit("")).alias("role"), "json", "copies")
+    parts = rows.groupBy("conv_id", "part", "piece").agg(
+        F.sum("copies").alias("n_messages"),
+        *(F.sum(F.col(c) * F.col("copies")).alias(n) for n, c in counts.items()),
+        F.array_sort(F.collect_list(order)).alias("ordered"),
     )
-    written = F.concat(F.lit("["), F.array_join(F.transform("ordered", lambda m: m["json"]), ","), F.lit("]"))
+    each = F.flatten(F.transform("ordered", lambda m: F.array_repeat(m["json"], m["copies"].cast("int"))))
+    written = F.concat(F.lit("["), F.array_join(each, ","), F.lit("]"))
     return parts.select("conv_id", "part", "piece", "n_messages", *counts, written.alias("messages"))

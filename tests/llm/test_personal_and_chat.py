@@ -165,6 +165,16 @@ def test_long_conversations_become_parts(spark, monkeypatch):
     assert chat_format.formatted(frame.limit(0)).count() == 0
 
 
+def test_equal_messages_are_dealt_over_pieces(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "PART_MESSAGES", 50)
+    frame = spark.range(610).select(F.lit(None).cast("long").alias("conv_id"), F.lit(3).alias("turn"), F.lit("user").alias("role"), F.when(F.col("id") < 600, "same").otherwise(F.col("id").cast("string")).alias("text"))
+    rows = chat_format.formatted(frame).collect()
+    texts = [[m["content"] for m in json.loads(r.messages)] for r in rows]
+    assert [len(piece) for piece in texts] == [r.n_messages for r in rows] and all(piece == sorted(piece) for piece in texts)
+    assert sorted(text for piece in texts for text in piece) == sorted(["same"] * 600 + [str(n) for n in range(600, 610)])
+    assert len(rows) == 13 and max(r.n_messages for r in rows) <= 60
+
+
 def test_argument_errors(spark):
     frame = spark.createDataFrame(
         [("search", '{"query":1}'), ("search", "{}"), ("search", "{"), (None, "{}"), ("search", '{"query":"q","exact":"no"}')], "name string, arguments string"
