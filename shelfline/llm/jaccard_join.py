@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfline.llm.components import components
@@ -436,21 +436,36 @@ def one_of_each(documents: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of `documents` whose doc_id is the least of its component,
     with their own columns.
 
-    Rows without doc_id stay. Of rows that repeat a doc_id the one with the
-    greatest text stays.
+    Rows without doc_id stay. Texts under one doc_id count as documents of
+    their own: each stays unless it is near to one that stays, and of rows with
+    equal doc_id and text one stays. Of one component the least doc_id stays,
+    and of that the largest set.
     """
-    found = stored(jaccard_components(documents, percent), "components")
-    key = F.col("doc_id").cast("long")
-    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    repeated = documents.select(F.col("doc_id").cast("long").alias("again")).where("again IS NOT NULL").groupBy("again").count().where("count > 1")
+    repeated = stored(repeated.select("again"), "repeated-ids")
+    several = repeated.count()
+    if not several:
+        found = stored(jaccard_components(documents, percent), "components")
+        dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
+        return _without(documents, F.col("doc_id").cast("long"), dropped)
+    if several <= BROADCAST_ROWS:
+        repeated = F.broadcast(repeated)
+    row, id = F.struct(*documents.columns).alias("row"), F.col("doc_id").cast("long").alias("id")
+    rows = documents.select(row, id, "text").join(repeated, F.col("id") == F.col("again"), "left")
+    rows = rows.withColumn("key", F.when(F.col("again").isNull(), F.col("id")).otherwise(F.xxhash64("id", "text")))
+    sets = stored(jaccard_components(rows.select(F.col("key").alias("doc_id"), "text"), percent), "components").distinct()
+    found = sets.where("doc_id IS NOT NULL").join(rows.where("key IS NOT NULL").select("id", "key").distinct(), F.col("doc_id") == F.col("key"))
+    found = found.select("component_id", "key", F.struct("id", -F.col("n_shingles"), "key").alias("place"))
+    stays = found.groupBy("component_id").agg(F.min("place").alias("first"))
+    dropped = found.join(stays, "component_id").where(F.col("key") != F.col("first.key")).select(F.col("key").alias("gone"))
+    kept = _without(rows, F.col("key"), dropped)
+    once = kept.where("again IS NULL").select("row.*")
+    return once.unionByName(kept.where("again IS NOT NULL").groupBy("key").agg(F.first("row").alias("row")).select("row.*"))
+
+
+def _without(rows: DataFrame, key: Column, dropped: DataFrame) -> DataFrame:
+    """`rows` whose `key` is not in `dropped`."""
     dropped = stored(dropped, "near-duplicates")
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
-    kept = documents.join(dropped, key == F.col("gone"), "left_anti")
-    repeated = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("again")).count().where("count > 1").select("again")
-    repeated = stored(repeated, "repeated-ids")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, key == F.col("again"), "left_anti")
-    several = kept.join(repeated, key == F.col("again")).drop("again")
-    row = F.max_by(F.struct(*documents.columns), F.coalesce("text", F.lit("")))
-    return once.unionByName(several.groupBy("doc_id").agg(row.alias("row")).select("row.*"))
+    return rows.join(dropped, key == F.col("gone"), "left_anti")

@@ -88,6 +88,15 @@ def test_one_of_each_group_stays(spark):
     assert kept.where("doc_id IS NULL").count() == 2
 
 
+def test_clean_texts_under_a_repeated_id_stay(spark):
+    rng = random.Random(6)
+    a, b, c, d = (cases.prose(rng, 60) for _ in range(4))
+    docs = [(1, a), (1, b), (1, b), (2, b + " end"), (3, a), (5, a + " end"), (5, c), (6, d), (None, a)]
+    kept = jaccard_join.one_of_each(cases.frame(spark, docs))
+    assert kept.columns == cases.frame(spark, docs).columns
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {(1, a), (1, b), (5, c), (6, d), (None, a)} and kept.count() == 5
+
+
 def test_repeats_equal_every_window(spark):
     docs = [(doc, text) for doc, text in cases.corpus() if doc is not None]
     docs = list({doc: (doc, text) for doc, text in docs}.values())
