@@ -78,3 +78,54 @@ SELECT conv_id, part, CAST(0 AS BIGINT) AS piece, count(*) AS n_messages, CAST(0
   '[' || string_agg(CAST(json AS VARCHAR), ',' ORDER BY turn, role, json) || ']' AS messages
 FROM m GROUP BY conv_id, part
 """
+
+ORACLES["op11_filter_audit"] = rf"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{WORD}') AS ws FROM d),
+f AS MATERIALIZED (
+  SELECT doc_id, part, {{'A': len(ws) < 50, 'B': 100 * len(list_distinct(ws)) < 65 * len(ws),
+    'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text), 'D': regexp_matches(text, '[#$%&*|]'),
+    'E': coalesce(least < doc_id, false)}} AS fails FROM w),
+bits AS (
+  SELECT doc_id, part, CASE WHEN fails.A THEN 'A' ELSE '' END || CASE WHEN fails.B THEN 'B' ELSE '' END || CASE WHEN fails.C THEN 'C' ELSE '' END
+    || CASE WHEN fails.D THEN 'D' ELSE '' END || CASE WHEN fails.E THEN 'E' ELSE '' END AS failing FROM f),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+cells AS MATERIALIZED (
+  SELECT part, failing, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM bits LEFT JOIN marks USING (doc_id) GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS MATERIALIZED (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.x <> b.x AND a.x <> c.x AND a.x <> d.x AND a.x <> e.x AND b.x <> c.x AND b.x <> d.x AND b.x <> e.x AND c.x <> d.x AND c.x <> e.x AND d.x <> e.x),
+first_fail AS (
+  SELECT part, filter_order, failing, n, good, toxic,
+    list_min(list_transform(string_split(failing || '', ''), lambda x: CASE WHEN x = '' THEN 6 ELSE strpos(filter_order, x) END)) AS place
+  FROM cells, orders),
+steps AS (SELECT unnest([1, 2, 3, 4, 5]) AS step),
+sums AS MATERIALIZED (
+  SELECT part, filter_order, step, filter_order[step] AS letter,
+    sum(CASE WHEN failing = '' OR place > step THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN failing <> '' AND place = step THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN failing <> '' AND place < step AND contains(failing, filter_order[step]) THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN failing = filter_order[step] THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN failing <> '' AND place = step THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN failing <> '' AND place = step THEN toxic ELSE 0 END) AS toxic_lost
+  FROM first_fail, steps GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM sums
+"""
+
+ORACLES["op12_warc_captures"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS digest FROM pages),
+l AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS last FROM p)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(digest, 1 + 5 * CAST(i // 4 AS INTEGER), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31), 1)),
+    'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM l
+"""

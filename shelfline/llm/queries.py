@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfline.llm import chat_format, decontamination, jaccard_join, license_scan, packing, pii, quality_classifier, quality_rules, substring_dedup, token_files
+from shelfline.llm import chat_format, decontamination, filter_audit, jaccard_join, license_scan, packing, periodic_runs, pii
+from shelfline.llm import quality_classifier, quality_rules, substring_dedup, token_files, warc
 from shelfline.llm.shipping import ship_package
-from shelfline.session import fresh_path
+from shelfline.session import discard_at_exit, fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,3 +87,37 @@ TOOLS = {
 @_query
 def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat_format.formatted(_table(spark, folder, "conversations"), TOOLS)
+
+
+@_query
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.masks(_table(spark, folder, "documents")), _table(spark, folder, "labels"))
+
+
+@_query
+def op12_warc_captures(spark: SparkSession, folder: str) -> DataFrame:
+    archives = fresh_path(spark, "archives")
+    discard_at_exit(spark, archives)
+    warc.write_archives(_table(spark, folder, "pages"), archives)
+    found = warc.page_captures(spark, archives)
+    return found.select("page_id", "response.payload_bytes", "response.payload_digest", "response.record_type", F.col("refers_to_page").alias("refers_to"))
+
+
+def echoed(documents: DataFrame) -> DataFrame:
+    """The documents; in those whose id's checksum ends in 0, the words from
+    place `a` on become repeats of the `p` words that stand there."""
+    plain = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        "text",
+        F.crc32(F.col("doc_id").cast("long").cast("string")).alias("h"),
+    )
+    chosen = plain.withColumn("words", F.expr("CASE WHEN h % 10 = 0 THEN filter(split(text, '[\\\\x20\\\\x09-\\\\x0D]+'), word -> word <> '') END"))
+    numbered = chosen.withColumn("n", F.size("words").cast("long")).withColumn("g", F.expr("h DIV 10"))
+    placed = numbered.withColumn("a", F.expr("CASE WHEN n > 0 THEN g % n END")).withColumn("p", F.expr("1 + (n - a) DIV (3 + g % 8)"))
+    echo = F.expr("array_join(transform(sequence(0L, n - 1), i -> words[CAST(IF(i < a, i, a + (i - a) % p) AS INT)]), ' ')")
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), echo).otherwise(F.col("text")).alias("text"))
+
+
+@_query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.digested(periodic_runs.periodic_runs(echoed(_table(spark, folder, "documents"))))
