@@ -171,10 +171,10 @@ def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[object,
         yield current, held
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     """`df` written to the shared folder and read back: the lineage ends here.
     The folder is deleted when the application ends."""
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     discard_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

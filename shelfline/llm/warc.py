@@ -55,9 +55,8 @@ ROOTS = ("response", "revisit", "resource")
 LINKED = ("request", "metadata")
 
 
-def base32_sha1(payload: Column) -> Column:
-    """SHA-1 in base32: 160 bits are eight times five hex or four base32 digits."""
-    digest = F.sha1(payload)
+def base32(digest: Column) -> Column:
+    """A hex SHA-1 in base32: 160 bits are eight times five hex or four base32 digits."""
     groups = [F.lpad(F.conv(F.substring(digest, 1 + 5 * k, 5), 16, 32), 4, "0") for k in range(8)]
     return F.translate(F.concat(*groups), DIGITS, BASE32)
 
@@ -89,16 +88,18 @@ def _with_last(pages: DataFrame) -> DataFrame:
     """
     salted = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
     parts = salted.groupBy("digest", "salt").agg(F.max(F.struct("page_id", "url")).alias("last"), F.count(F.lit(1)).alias("n"))
-    whole = parts.groupBy("digest").agg(F.max("last").alias("last"), F.sum("n").alias("n")).where("n > 1 AND last.page_id IS NOT NULL")
-    repeated = parts.select("digest", "salt").join(whole, "digest").select("digest", "salt", F.col("last.page_id").alias("last_id"), F.col("last.url").alias("last_url"))
+    # At most SALTS entries are collected of a digest.
+    whole = parts.groupBy("digest").agg(F.max("last").alias("last"), F.sum("n").alias("n"), F.collect_list("salt").alias("salts"))
+    several = whole.where("n > 1 AND last.page_id IS NOT NULL")
+    repeated = several.select("digest", F.explode("salts").alias("salt"), F.col("last.page_id").alias("last_id"), F.col("last.url").alias("last_url"))
     return salted.join(stored(repeated, "payloads"), ["digest", "salt"], "left")
 
 
 def write_archives(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z") -> None:
     """Write `pages` (page_id, url, html) as archives; `date` is the capture's."""
     payload = F.coalesce(F.col("html"), F.lit(""))
-    chosen = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"), base32_sha1(payload).alias("digest"))
-    page = _with_last(chosen)
+    chosen = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"), F.sha1(payload).alias("digest"))
+    page = _with_last(chosen).withColumn("base32", base32(F.col("digest")))
     revisit = F.col("last_id").isNotNull() & ~(F.col("page_id").eqNullSafe(F.col("last_id")) & F.col("url").eqNullSafe(F.col("last_url")))
     address = lambda name: F.regexp_replace(name, r"[\x00-\x20\x7F]", "%20")
     own = [F.col("page_id"), F.col("url"), F.col("digest")]
@@ -115,7 +116,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00
         {
             "WARC-Record-ID": response_id,
             **common,
-            "WARC-Payload-Digest": F.concat(F.lit("sha1:"), F.col("digest")),
+            "WARC-Payload-Digest": F.concat(F.lit("sha1:"), F.col("base32")),
             "WARC-Profile": only_revisit(F.lit(PROFILE)),
             "WARC-Refers-To": only_revisit(_record_id("response", F.col("last_id"), F.col("last_url"), F.col("digest"))),
             "WARC-Refers-To-Target-URI": only_revisit(address("last_url")),
@@ -218,32 +219,46 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("value").cast("binary").alias("line"), named.alias("archive")).mapInArrow(run, RECORDS)
 
 
+# What a capture holds of its requests and metadata records.
+PART = ("record_id", "target_uri", "date", "block", "damaged")
+
+
 def _owners(records: DataFrame) -> DataFrame:
-    """Pairs of a linked record and the response it belongs to."""
-    roots = records.where(F.col("record_type").isin(*ROOTS)).select(F.col("record_id").alias("root"), "concurrent_to").distinct()
-    linked = records.where(F.col("record_type").isin(*LINKED)).select("record_id", F.explode("concurrent_to").alias("other")).distinct()
-    named = roots.select(F.col("root").alias("other"), "root").distinct()
-    near = linked.join(named, "other").select("record_id", "root")
-    near = near.union(roots.select(F.explode("concurrent_to").alias("record_id"), "root")).distinct()
-    between = linked.join(near.withColumnRenamed("record_id", "other"), "other").select("record_id", "root")
-    return near.union(between).distinct()
+    """record_id, root: linked records and the responses they belong to."""
+    of = lambda kinds: records.where(F.col("record_type").isin(*kinds))
+    roots = of(ROOTS).select(F.col("record_id").alias("root")).distinct()
+    named = of(LINKED).select("record_id", F.explode("concurrent_to").alias("other"))
+    naming = of(ROOTS).select(F.explode("concurrent_to").alias("record_id"), F.col("record_id").alias("other"))
+    links = stored(named.union(naming).join(roots, F.col("other") == F.col("root"), "left"), "links")
+    near = links.where("root IS NOT NULL").select("record_id", "root")
+    over = links.where("root IS NULL").select("record_id", "other").join(near.withColumnRenamed("record_id", "other"), "other")
+    return near.union(over.select("record_id", "root")).distinct()
+
+
+def _assembled(records: DataFrame, owners: DataFrame) -> DataFrame:
+    sizes = owners.groupBy("root").count().where(F.col("count") > CAPTURE_RECORDS)
+    # At most one row for CAPTURE_RECORDS records; Spark broadcasts it by its size.
+    sizes = stored(sizes.select("root", F.ceil(F.col("count") / CAPTURE_RECORDS).alias("pieces")), "sizes")
+    last_piece = F.coalesce(F.col("pieces"), F.lit(1)) - 1
+    dealt = owners.join(sizes, "root", "left").select("record_id", "root", F.pmod(F.xxhash64("record_id"), last_piece + 1).alias("piece"))
+    linked = records.where(F.col("record_type").isin(*LINKED)).select("record_type", *PART).join(dealt, "record_id", "left")
+    # Equal records are one; they fold before the shuffle.
+    of = lambda kind: F.array_sort(F.collect_set(F.when(F.col("record_type") == kind, F.struct(*PART))))
+    own = F.coalesce("root", "record_id").alias("root"), F.coalesce("piece", F.lit(0)).alias("piece")
+    around = linked.select(*own, "record_type", *PART).groupBy("root", "piece").agg(of("request").alias("requests"), of("metadata").alias("metadata"))
+    roots = records.where(F.col("record_type").isin(*ROOTS)).withColumn("root", F.col("record_id")).join(sizes, "root", "left")
+    spread = roots.select("root", F.explode(F.sequence(F.lit(0).cast("long"), last_piece)).alias("piece"), *records.columns)
+    response = F.when(F.col("record_type").isNotNull(), F.struct(*records.columns))
+    joined = spread.join(around, ["root", "piece"], "full")
+    return joined.select(F.col("root").alias("capture_id"), response.alias("response"), "requests", "metadata")
 
 
 def captures(records: DataFrame) -> DataFrame:
     """One nested row per capture: `response` (a record), `requests` and
-    `metadata` (arrays of records, null if nothing is linked). A capture with more than `CAPTURE_RECORDS`
-    linked records takes further rows that repeat the response."""
-    names = [name for name in records.columns if name != "record_id"]
-    linked = records.where(F.col("record_type").isin(*LINKED)).groupBy("record_id").agg(F.first(F.struct(*records.columns)).alias("record"))
-    owners = _owners(records)
-    sizes = owners.groupBy("root").count().where(F.col("count") > CAPTURE_RECORDS)
-    owned = linked.join(owners, "record_id", "left").withColumn("root", F.coalesce("root", "record_id")).join(sizes, "root", "left")
-    piece = F.coalesce(F.pmod(F.xxhash64("record_id"), F.ceil(F.col("count") / CAPTURE_RECORDS)), F.lit(0))
-    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("record.record_type") == kind, F.col("record"))))
-    around = owned.groupBy("root", piece.alias("piece")).agg(of("request").alias("requests"), of("metadata").alias("metadata"))
-    roots = records.where(F.col("record_type").isin(*ROOTS)).select(F.col("record_id").alias("root"), "record_id", *names)
-    response = F.when(F.col("record_type").isNotNull(), F.struct("record_id", *names))
-    return roots.join(around, "root", "full").select(F.col("root").alias("capture_id"), response.alias("response"), "requests", "metadata")
+    `metadata` (arrays of records, null if nothing is linked). A capture with
+    more than `CAPTURE_RECORDS` linked records takes further rows that repeat
+    the response."""
+    return _assembled(records, _owners(records))
 
 
 def page_captures(spark: SparkSession, path: str) -> DataFrame:
@@ -253,10 +268,14 @@ def page_captures(spark: SparkSession, path: str) -> DataFrame:
     The references are answered by (response, salt), so a response that many
     revisits name is not one key.
     """
-    found = captures(stored(read_records(spark, path), "records"))
-    number = F.regexp_extract(F.col("metadata")[0]["block"].cast("string"), r"(?m)^page_id: (-?[0-9]+)\r?$", 1)
-    pages = found.withColumn("page_id", F.when(number != "", number.cast("long")))
-    target = pages.withColumn("target", F.col("response.refers_to")).withColumn("salt", F.pmod(F.xxhash64("capture_id"), F.lit(SALTS)))
-    wanted = target.where("target IS NOT NULL").select("target", "salt").distinct()
-    ids = pages.where("response.record_type = 'response'").groupBy(F.col("capture_id").alias("target")).agg(F.max("page_id").alias("refers_to_page"))
-    return target.join(wanted.join(ids, "target"), ["target", "salt"], "left").drop("target", "salt")
+    records = stored(read_records(spark, path), "records", compression="zstd")
+    owners = stored(_owners(records), "owners")
+    page_id = lambda block: F.regexp_extract(block.cast("string"), r"(?m)^page_id: (-?[0-9]+)\r?$", 1).try_cast("long")
+    told = records.where("record_type = 'metadata'").select("record_id", page_id(F.col("block")).alias("refers_to_page"))
+    pages = told.where("refers_to_page IS NOT NULL").join(owners, "record_id").groupBy(F.col("root").alias("target")).agg(F.max("refers_to_page").alias("refers_to_page"))
+    revisits = records.where("refers_to IS NOT NULL").select(F.col("record_id").alias("capture_id"), F.col("refers_to").alias("target"))
+    salted = revisits.distinct().withColumn("salt", F.pmod(F.xxhash64("capture_id"), F.lit(SALTS)))
+    answers = salted.select("target", "salt").distinct().join(pages, "target")
+    referred = stored(salted.join(answers, ["target", "salt"]).select("capture_id", "refers_to_page"), "references")
+    found = _assembled(records, owners).withColumn("page_id", page_id(F.col("metadata")[0]["block"]))
+    return found.join(referred, "capture_id", "left")
