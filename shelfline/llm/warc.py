@@ -248,15 +248,15 @@ def _assembled(records: DataFrame, owners: DataFrame) -> DataFrame:
     around = linked.select(*own, "record_type", *PART).groupBy("root", "piece").agg(of("request").alias("requests"), of("metadata").alias("metadata"))
     roots = records.where(F.col("record_type").isin(*ROOTS)).withColumn("root", F.col("record_id")).join(sizes, "root", "left")
     spread = roots.select("root", F.explode(F.sequence(F.lit(0).cast("long"), last_piece)).alias("piece"), *records.columns)
-    response = F.when(F.col("record_type").isNotNull(), F.struct(*records.columns))
     joined = spread.join(around, ["root", "piece"], "full")
-    return joined.select(F.col("root").alias("capture_id"), response.alias("response"), "requests", "metadata")
+    # A bare struct, so that payloads nobody asks for stay out of the shuffle.
+    return joined.select(F.col("root").alias("capture_id"), F.struct(*records.columns).alias("response"), "requests", "metadata")
 
 
 def captures(records: DataFrame) -> DataFrame:
-    """One nested row per capture: `response` (a record), `requests` and
-    `metadata` (arrays of records, null if nothing is linked). A capture with
-    more than `CAPTURE_RECORDS` linked records takes further rows that repeat
+    """One nested row per capture: `response` (a record, all fields null if
+    there is none), `requests` and `metadata` (arrays of records, null if
+    nothing is linked). A capture with more than `CAPTURE_RECORDS` linked records takes further rows that repeat
     the response."""
     return _assembled(records, _owners(records))
 

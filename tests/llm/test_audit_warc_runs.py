@@ -270,7 +270,7 @@ def test_transactions_of_other_writers(spark, tmp_path, members):
     found = {r.capture_id: r for r in warc.captures(warc.read_records(spark, str(tmp_path))).collect()}
     shape = {key: ([q.record_id for q in row.requests], [m.record_id for m in row.metadata]) for key, row in found.items()}
     assert shape == {"<r1>": (["<q1>"], ["<m1>"]), "<r2>": (["<q2>"], ["<m2>"]), "<s>": ([], ["<m2>"]), "<lost>": (["<lost>"], [])}
-    assert bytes(found["<r1>"].response.block) == b"body\n\r\n\r\nWARC/1.0\n" and found["<lost>"].response is None
+    assert bytes(found["<r1>"].response.block) == b"body\n\r\n\r\nWARC/1.0\n" and found["<lost>"].response.record_id is None
     assert bytes(found["<s>"].response.block) == b"plain" and found["<r1>"].response.archive.endswith("a.warc.gz")
 
 
