@@ -2,28 +2,66 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfline.operators import gold as views
 from shelfline.operators.dimensions import dim_customers, dim_products
 from shelfline.operators.features import customer_features, product_features
 from shelfline.operators.silver import quarantined_sales, silver_sales
 from shelfline.schemas import BRONZE, UNREADABLE, conform
-from shelfline.sources.catalog import clustered_by_date, overwrite_table
+from shelfline.sources.catalog import append_table, clustered_by_date, database_folder, overwrite_table
+from shelfline.sources.keys import numbered
 
+KEY = "row_id"
 
-def load_bronze(spark: SparkSession, database: str = "bronze", **tables: DataFrame) -> dict[str, int]:
+
+def _as_bronze(df: DataFrame, name: str) -> DataFrame:
+    """`df` in the table's schema; sales lines may name their warehouse."""
+    extra = ("warehouse_id", UNREADABLE) if name == "raw_transactions" else (UNREADABLE,)
+    return conform(df, BRONZE[name], extra)
+
+
+def _ledger(spark: SparkSession, database: str, name: str) -> str:
+    return f"{database_folder(spark, database)}/_keys/{name}"
+
+
+def load_bronze(spark: SparkSession, database: str = "bronze", load: str | None = None, **tables: DataFrame) -> dict[str, int]:
     """Overwrite bronze tables with `tables`, each conformed to its schema.
 
-    Sales lines may name their warehouse; the column is kept if they do.
+    Rows without a `row_id` get one that no earlier load of the table had. A
+    load that is repeated under its name gives its rows the same ids again.
     """
-    extra = {"raw_transactions": ("warehouse_id", UNREADABLE)}
-    return {
-        name: overwrite_table(conform(df, BRONZE[name], extra.get(name, (UNREADABLE,))), f"{database}.{name}")
-        for name, df in tables.items()
-    }
+    counts = {}
+    for name, df in tables.items():
+        rows = _as_bronze(df, name)
+        if KEY in rows.columns:
+            rows, _ = numbered(rows, _ledger(spark, database, name), load or uuid.uuid4().hex)
+        counts[name] = overwrite_table(rows, f"{database}.{name}")
+    return counts
+
+
+def append_bronze(spark: SparkSession, load: str, database: str = "bronze", **tables: DataFrame) -> dict[str, int]:
+    """Add the rows of load `load` to bronze tables that number their rows.
+
+    A load whose ids the table holds already is not added again, so a run that
+    failed after its write may be repeated. Returns the rows added.
+    """
+    added = {}
+    for name, df in tables.items():
+        if KEY not in BRONZE[name].names:
+            raise ValueError(f"{name} has no {KEY}; overwrite it")
+        rows, (first, end) = numbered(_as_bronze(df, name), _ledger(spark, database, name), load)
+        table = f"{database}.{name}"
+        there = spark.table(table).where((F.col(KEY) >= first) & (F.col(KEY) < end)).limit(1).count()
+        added[name] = 0 if there else end - first
+        if not there and end > first:
+            known = spark.table(table).columns
+            append_table(rows.select(*(F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in known)), table)
+    return added
 
 
 def run_all(

@@ -155,7 +155,6 @@ TEXT_LIMITS = {
 UNREADABLE = "_unreadable"
 
 _FILLED_WHEN_ABSENT = {
-    "row_id": lambda: F.monotonically_increasing_id(),
     "_loaded_at": lambda: F.current_timestamp(),
     "_processed_at": lambda: F.current_timestamp(),
     "discount_pct": lambda: F.lit(0),
@@ -169,7 +168,8 @@ def required_columns(schema: StructType) -> list[str]:
 def conform(df: DataFrame, schema: StructType, extra: tuple[str, ...] = ()) -> DataFrame:
     """Project `df` onto `schema`: order, cast, and fill columns it does not carry.
 
-    Text that does not parse as the declared type becomes NULL. Columns named
+    Text that does not parse as the declared type becomes NULL. A `row_id` that
+    is not there is NULL, too: ids are given when rows are loaded. Columns named
     in `extra` are kept behind the declared ones when `df` has them.
     """
     present = set(df.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from shelfline.schemas import BRONZE, SILVER
+from shelfline.session import file_system
 
 LAYERS = ("bronze", "silver", "gold", "staging")
 
@@ -35,7 +37,9 @@ def create_tables(
                 if not replace:
                     continue
                 spark.sql(f"DROP TABLE {name}")
-            spark.catalog.createTable(name, source="parquet", schema=_as_stored(schema))
+            place = _fresh_version(spark, name)
+            _create(spark, name, place, schema)
+            _sweep(spark, name, place)
             created.append(name)
     return created
 
@@ -54,18 +58,88 @@ def clustered_by_date(fact: DataFrame) -> DataFrame:
     return fact.repartitionByRange("sale_date", "order_id").sortWithinPartitions("sale_date", "order_id")
 
 
+def database_folder(spark: SparkSession, database: str) -> str:
+    return spark.catalog.getDatabase(database).locationUri.rstrip("/")
+
+
+def _split(spark: SparkSession, name: str) -> tuple[str, str]:
+    database, _, table = name.rpartition(".")
+    return database or spark.catalog.currentDatabase(), table
+
+
+def _versions(spark: SparkSession, name: str) -> str:
+    database, table = _split(spark, name)
+    return f"{database_folder(spark, database)}/{table}__versions"
+
+
+def _fresh_version(spark: SparkSession, name: str) -> str:
+    return f"{_versions(spark, name)}/{uuid.uuid4().hex}"
+
+
+def _create(spark: SparkSession, name: str, place: str, schema: StructType) -> None:
+    _, files = file_system(spark, place)
+    files.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(place))
+    spark.catalog.createTable(name, path=place, source="parquet", schema=_as_stored(schema))
+
+
+def location(spark: SparkSession, name: str) -> str:
+    """The folder that table `name` reads now."""
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'")
+    return described.first().data_type
+
+
+def _point(spark: SparkSession, name: str, place: str, schema: StructType) -> None:
+    """Let table `name` read the files at `place`, in one step of the catalog.
+
+    New columns are declared first, which earlier files answer with NULL. Only
+    a table that lost a column or changed a type is declared anew.
+    """
+    if not spark.catalog.tableExists(name):
+        _create(spark, name, place, schema)
+        return
+    declared = {field.name: field.dataType for field in spark.table(name).schema}
+    arriving = {field.name: field.dataType for field in schema}
+    if any(arriving.get(column) != kind for column, kind in declared.items()):
+        spark.sql(f"DROP TABLE {name}")
+        _create(spark, name, place, schema)
+        return
+    added = [f"`{column}` {kind.simpleString()}" for column, kind in arriving.items() if column not in declared]
+    if added:
+        spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({', '.join(added)})")
+    _set_location(spark, name, place)
+
+
+def _set_location(spark: SparkSession, name: str, place: str) -> None:
+    quoted = place.replace("'", "\\'")
+    spark.sql(f"ALTER TABLE {name} SET LOCATION '{quoted}'")
+    spark.catalog.refreshTable(name)
+
+
+def _sweep(spark: SparkSession, name: str, *keep: str) -> None:
+    """Delete versions of a table that are not in `keep`: what earlier runs
+    replaced, or left behind when they were ended."""
+    place, files = file_system(spark, _versions(spark, name))
+    kept = {version.rsplit("/", 1)[1] for version in keep}
+    for entry in files.listStatus(place):
+        if entry.getPath().getName() not in kept:
+            files.delete(entry.getPath(), True)
+
+
 def overwrite_table(df: DataFrame, name: str) -> int:
     """Replace table `name` with `df` and count what was written.
 
-    The rows are written beside the table, which is exchanged only when they
-    are complete: a failed write leaves the old table as it was.
+    Every write goes to a folder of its own, and the table is turned to it when
+    it is complete: until then, and if the run is ended at any point, the table
+    keeps its rows. The version before stays until the next write, so readers
+    that began on it end on it. One writer at a time.
     """
-    spark, fresh = df.sparkSession, f"{name}__next"
-    spark.sql(f"DROP TABLE IF EXISTS {fresh}")
-    df.write.format("parquet").saveAsTable(fresh)
-    count = spark.table(fresh).count()
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
+    spark, place = df.sparkSession, _fresh_version(df.sparkSession, name)
+    df.write.parquet(place)
+    written = spark.read.parquet(place)
+    count = written.count()
+    before = [location(spark, name)] if spark.catalog.tableExists(name) else []
+    _point(spark, name, place, written.schema)
+    _sweep(spark, name, place, *before)
     return count
 
 

@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from shelfline.sources.csv_files import read_options, tidy, with_source
+from shelfline.sources.keys import numbered
 
 
 def stream_csv(spark: SparkSession, folder: str, schema: StructType, **options: str) -> DataFrame:
@@ -29,3 +30,20 @@ def append_available(rows: DataFrame, target: str, checkpoint: str) -> Streaming
         .trigger(availableNow=True)
         .start()
     )
+
+
+def append_numbered(rows: DataFrame, target: str, checkpoint: str, column: str = "row_id") -> StreamingQuery:
+    """As `append_available`, with an id in `column` for every row without one.
+
+    Each batch takes its range of ids from a ledger under `target` by its batch
+    id and replaces its own part of `target`, so a batch that is run again
+    leaves the same rows under the same ids. A target belongs to one checkpoint.
+    """
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        part, _ = numbered(batch, f"{target}/_keys", f"batch-{batch_id}", column)
+        part.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+
+    return (
+        rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write_batch).trigger(availableNow=True).start()
+    )
