@@ -12,6 +12,8 @@ from shelfline.operators.ordered import over_last_rows, with_rank, with_tiles
 # Shipped within this many days counts as fulfilled in time.
 ON_TIME_DAYS = 3
 VALUE_TILES = 5
+# Rows before its own that the longest rolling measure looks at.
+ROLLING_REACH = 29
 
 
 def _distinct(name: str, approx: bool) -> Column:
@@ -43,16 +45,7 @@ def daily_sales_summary(
     The rolling measures run over the last 7 or 30 *rows* of a region in
     (date, category) order; `rolling_7d_calendar` is the one over days.
     """
-    daily = daily_sales(fact, products, approx)
-
-    def rolling(window) -> dict[str, Column]:
-        week, month = window.rowsBetween(-6, 0), window.rowsBetween(-29, 0)
-        added = {"rolling_7d_revenue": F.sum("total_revenue").over(week)}
-        if products is not None:
-            added["rolling_30d_avg"] = exact_avg("total_revenue", lambda column: column.over(month))
-        return added
-
-    rolled = over_last_rows(daily, ["region"], ["sale_date", "product_category"], reach=29, columns=rolling)
+    rolled = with_rolling(daily_sales(fact, products, approx), month=products is not None)
     # At most one row per day in this window's groups.
     series = Window.partitionBy("region", "product_category").orderBy("sale_date")
     return rolled.withColumn("revenue_7d_ago", F.lag("total_revenue", 7).over(series)).withColumn(
@@ -60,6 +53,20 @@ def daily_sales_summary(
     )
 
 
+def with_rolling(daily: DataFrame, month: bool, days: DataFrame | None = None) -> DataFrame:
+    """`daily` with its rolling measures; `days` are its rows per region and
+    day where these are stored already (`lookback.region_days`)."""
+
+    def rolling(window) -> dict[str, Column]:
+        last_week, last_month = window.rowsBetween(-6, 0), window.rowsBetween(-ROLLING_REACH, 0)
+        added = {"rolling_7d_revenue": F.sum("total_revenue").over(last_week)}
+        if month:
+            added["rolling_30d_avg"] = exact_avg("total_revenue", lambda column: column.over(last_month))
+        return added
+
+    return over_last_rows(daily, ["region"], ["sale_date", "product_category"], ROLLING_REACH, rolling, days=days)
+
+
 def rolling_7d_calendar(fact: DataFrame) -> DataFrame:
     """Revenue per region and day with the sum over the last seven calendar days."""
     daily = fact.groupBy("region", "sale_date").agg(exact_sum("net_revenue").alias("revenue"))

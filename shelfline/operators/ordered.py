@@ -102,19 +102,23 @@ def over_last_rows(
     reach: int,
     columns: Callable[[WindowSpec], dict[str, Column]],
     chunk_rows: int = 500_000,
+    days: DataFrame | None = None,
 ) -> DataFrame:
     """Add window columns whose frames look back at most `reach` rows.
 
     `columns` gets the ordered window and returns the columns to add. The first
     column of `order` has few values (days); rows are counted per key and day,
     numbered within the day, and cut into chunks, and each chunk also gets the
-    last `reach` rows before it, so every frame is whole.
+    last `reach` rows before it, so every frame is whole. `days` gives the rows
+    per key and day with their running sum (`_rows`, `_days_ahead`) if they are
+    known; the sum may begin anywhere.
     """
     if chunk_rows < reach:
         raise ValueError("a chunk must hold the rows a frame reaches back")
     keys, (day, *rest) = list(keys), order
-    per_day = df.groupBy(*keys, day).agg(F.count(F.lit(1)).alias("_rows"))
-    days = per_day.withColumn("_days_ahead", F.coalesce(F.sum("_rows").over(_before(keys, F.col(day).asc_nulls_last())), F.lit(0)))
+    if days is None:
+        per_day = df.groupBy(*keys, day).agg(F.count(F.lit(1)).alias("_rows"))
+        days = per_day.withColumn("_days_ahead", F.coalesce(F.sum("_rows").over(_before(keys, F.col(day).asc_nulls_last())), F.lit(0)))
     within = Window.partitionBy(*keys, day).orderBy(*(F.col(name).asc_nulls_last() for name in rest or [day]))
     numbered = _joined(df.withColumn("_number", F.row_number().over(within) - 1), days.drop("_rows"), [*keys, day])
     numbered = numbered.withColumn("_place", F.col("_number") + F.col("_days_ahead"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfline.operators.dimensions import dim_customers, dim_products
+from shelfline.operators.lookback import region_days
 from shelfline.operators.silver import silver_sales
 from shelfline.session import discard_at_exit, file_system, fresh_path
 from shelfline.sources.catalog import clustered_by_date
@@ -23,14 +25,14 @@ class Layers:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self.home = uuid.uuid4().hex
         self._written: dict[str, DataFrame] = {}
         self.bronze = OrderTables(spark, folder)
 
     def _stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._written:
-            path = fresh_path(self.spark, name)
+            path = self.scratch(name)
             build().write.parquet(path)
-            discard_at_exit(self.spark, path)
             self._written[name] = self.spark.read.parquet(path)
         return self._written[name]
 
@@ -50,6 +52,16 @@ class Layers:
     def warehouses(self) -> DataFrame:
         return self._stored("raw_warehouses", self.bronze.warehouses)
 
+    @property
+    def region_days(self) -> DataFrame:
+        return self._stored("region_days", lambda: region_days(self.fact, self.products))
+
+    def scratch(self, label: str) -> str:
+        """A folder in the shared one, deleted when the application ends."""
+        path = fresh_path(self.spark, label)
+        discard_at_exit(self.spark, path)
+        return path
+
     def sales(self) -> DataFrame:
         """The silver transform itself, not yet written."""
         return silver_sales(

@@ -11,16 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfline.functions.money import as_report
-from shelfline.operators import dimensions, features, gold, quality, silver
+from shelfline.operators import dimensions, features, gold, lookback, quality, silver, sketches
 from shelfline.plans import dashboard, trends
 from shelfline.plans.layers import Layers, layers
-from shelfline.plans.batch import load_bronze, publish_gold, register_views, run_all
+from shelfline.plans.batch import append_bronze, load_bronze, publish_gold, register_views, run_all
 from shelfline.schemas import DIM_CUSTOMERS, DIM_PRODUCTS, FACT_SALES, RAW_CUSTOMERS, RAW_PRODUCTS, RAW_TRANSACTIONS
-from shelfline.session import fresh_path
 from shelfline.sources import catalog
 from shelfline.sources.csv_files import file_columns, read_csv
 from shelfline.streaming.daily import add_available, current
-from shelfline.streaming.ingest import append_available, stream_csv
+from shelfline.streaming.ingest import append_available, append_numbered, stream_csv
 
 REGIONS = ["ASIA", "EUROPE"]
 CATEGORIES = ["ECONOMY", "PROMO"]
@@ -50,6 +49,12 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
     return QUERIES["daily_sales_summary"](spark, folder)
 
 
+def _chosen_range(at: Layers) -> DataFrame:
+    """The daily summary of the chosen regions and dates, from the files that
+    its frames reach."""
+    return lookback.summary_in_range(at.fact, at.products, at.region_days, REGIONS, START, END)
+
+
 def _without_stamp(df: DataFrame) -> DataFrame:
     return df.drop("_processed_at", "_loaded_at", "_source_file", "_unreadable")
 
@@ -184,12 +189,29 @@ def kpis_last_month(at: Layers) -> DataFrame:
 
 @_query
 def revenue_trend(at: Layers) -> DataFrame:
-    return dashboard.revenue_trend(gold.daily_sales_summary(at.fact, at.products), **_dashboard_choice())
+    return dashboard.revenue_trend(_chosen_range(at), **_dashboard_choice())
 
 
 @_query
 def revenue_trend_full_grain(at: Layers) -> DataFrame:
-    return dashboard.revenue_trend_full_grain(gold.daily_sales_summary(at.fact, at.products), REGIONS, START, END)
+    return dashboard.revenue_trend_full_grain(_chosen_range(at), REGIONS, START, END)
+
+
+@_query
+def kpis_from_sketches(at: Layers) -> DataFrame:
+    """Cards per region out of sketched days, next to the exact order counts."""
+    start, end = F.lit(START).cast("date"), F.lit(END).cast("date")
+    year = F.col("sale_date").between(start, end)
+    known = at.products.select("product_id")
+    exact = at.fact.where(year).join(known, "product_id").groupBy("region").agg(
+        F.count_distinct("order_id").alias("exact_orders"), F.count_distinct("customer_id").alias("exact_customers")
+    )
+    # Loads united afterwards stand for sketches kept from one load to the next.
+    halves = [sketches.daily_sketches(at.fact.where(F.pmod(F.xxhash64("order_id"), F.lit(2)) == n), at.products) for n in (0, 1)]
+    cards = sketches.totals(sketches.merged(*halves).where(year), "region").join(exact, "region")
+    off = lambda name: F.abs(F.col(name) - F.col(f"exact_{name}")) / F.col(f"exact_{name}")
+    near = (off("orders") < 4 * sketches.standard_error()) & (off("customers") < 4 * sketches.standard_error())
+    return cards.select("region", "total_revenue", "total_profit", "units_sold", "avg_line_value", "exact_orders", "exact_customers", near.cast("int").alias("within_bound"))
 
 
 @_query
@@ -294,14 +316,28 @@ def table_inventory(at: Layers) -> DataFrame:
     return catalog.inventory({("main", name): at.bronze.table(name) for name in COUNTED_TABLES})
 
 
+_RUNS: dict[str, dict[str, str]] = {}
+
+
 def _medallion(at: Layers) -> dict[str, str]:
     """Bronze tables loaded into a catalog of their own and the whole pipeline
-    run on them; the database of each layer."""
-    home = fresh_path(at.spark, "medallion")
+    run on them, once per source; the database of each layer."""
+    if at.home not in _RUNS:
+        _RUNS[at.home] = _whole_run(at)
+    return _RUNS[at.home]
+
+
+def _databases(at: Layers) -> dict[str, str]:
+    home = at.scratch("medallion")
     prefix = home.rsplit("-", 1)[1]
     names = {layer: f"{layer}_{prefix}" for layer in ("bronze", "silver", "gold")}
     catalog.create_layers(at.spark, names.values(), home)
     catalog.create_tables(at.spark, bronze=names["bronze"], silver=names["silver"])
+    return names
+
+
+def _whole_run(at: Layers) -> dict[str, str]:
+    names = _databases(at)
     load_bronze(
         at.spark,
         names["bronze"],
@@ -340,11 +376,28 @@ def catalog_state_map_feed(at: Layers) -> DataFrame:
     return dashboard.state_map_feed(at.spark.table(f"{names['gold']}.regional_sales"))
 
 
+@_query
+def bronze_loads(at: Layers) -> DataFrame:
+    """Lines loaded in two loads, the second tried twice, and the ids each got."""
+    names, lines = _databases(at), at.bronze.transactions().drop("row_id")
+    odd = F.col("order_id").cast("long") % 2 == 1
+    load_bronze(at.spark, names["bronze"], "first", raw_transactions=lines.where(~odd))
+    for _ in range(2):
+        append_bronze(at.spark, "second", names["bronze"], raw_transactions=lines.where(odd))
+    loaded = at.spark.table(f"{names['bronze']}.raw_transactions")
+    return loaded.groupBy(odd.cast("int").alias("load")).agg(
+        F.count(F.lit(1)).alias("sales_lines"),
+        F.count_distinct("row_id").alias("row_ids"),
+        F.min("row_id").alias("first_id"),
+        F.max("row_id").alias("last_id"),
+    )
+
+
 # --- files and streams ----------------------------------------------------
 
 
 def _as_csv(at: Layers, name: str, rows: DataFrame, schema) -> str:
-    path = fresh_path(at.spark, name)
+    path = at.scratch(name)
     rows.select(*file_columns(schema)).write.option("header", True).option("escape", '"').csv(path)
     return path
 
@@ -379,12 +432,30 @@ def csv_unreadable_values(at: Layers) -> DataFrame:
 def stream_csv_customers(at: Layers) -> DataFrame:
     """Customer CSV files taken in by the file stream, which is run twice."""
     path = _as_csv(at, "customers-csv", at.bronze.customers(), RAW_CUSTOMERS)
-    target, state = fresh_path(at.spark, "customers-bronze"), fresh_path(at.spark, "customers-state")
+    target, state = at.scratch("customers-bronze"), at.scratch("customers-state")
     for _ in range(2):
         append_available(stream_csv(at.spark, path, RAW_CUSTOMERS), target, state).awaitTermination()
     return _without_stamp(at.spark.read.parquet(target))
 
 
+@_query
+def stream_csv_transactions(at: Layers) -> DataFrame:
+    """Sales lines taken in by the file stream a file per batch, run twice, and
+    whether each has an id of its own."""
+    inbox, target, state = at.scratch("lines-csv"), at.scratch("lines-bronze"), at.scratch("lines-state")
+    lines = at.bronze.transactions().select(*file_columns(RAW_TRANSACTIONS))
+    lines.repartition(4, "order_id").write.option("header", True).option("escape", '"').csv(inbox)
+    for _ in range(2):
+        stream = stream_csv(at.spark, inbox, RAW_TRANSACTIONS, maxFilesPerTrigger="1")
+        append_numbered(stream, target, state).awaitTermination()
+    taken = at.spark.read.parquet(target)
+    return taken.rollup("region").agg(
+        F.count(F.lit(1)).alias("sales_lines"),
+        F.count_distinct("row_id").alias("row_ids"),
+        F.when(F.grouping("region") == 1, F.max("row_id") - F.min("row_id") + 1).otherwise(0).alias("id_span"),
+    )
+
+
 def _event_stream(at: Layers) -> DataFrame:
     schema = at.bronze.table("events").schema
     return at.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(at.folder)
@@ -393,7 +464,7 @@ def _event_stream(at: Layers) -> DataFrame:
 @_query
 def stream_ingest_counts(at: Layers) -> DataFrame:
     """Events taken in by the file stream, which is run twice."""
-    target, state = fresh_path(at.spark, "events-bronze"), fresh_path(at.spark, "events-state")
+    target, state = at.scratch("events-bronze"), at.scratch("events-state")
     for _ in range(2):
         append_available(_event_stream(at), target, state).awaitTermination()
     return at.spark.read.parquet(target).groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
@@ -402,7 +473,7 @@ def stream_ingest_counts(at: Layers) -> DataFrame:
 def _daily_from_stream(at: Layers, distinct_col: str | None) -> DataFrame:
     """Events written as several files in no order of time, taken in one file
     per batch."""
-    inbox, target, state = (fresh_path(at.spark, name) for name in ("events-inbox", "daily", "daily-state"))
+    inbox, target, state = (at.scratch(name) for name in ("events-inbox", "daily", "daily-state"))
     events = at.bronze.table("events")
     events.repartition(5, F.pmod("event_id", F.lit(5))).write.parquet(inbox)
     stream = at.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(inbox)

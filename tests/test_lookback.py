@@ -1,0 +1,94 @@
+"""Rolling windows over a date range, and distinct counts out of sketches."""
+
+from __future__ import annotations
+
+import datetime as dt
+import random
+
+import builders as b
+import pytest
+from pyspark.sql import functions as F
+
+from shelfline.operators import gold
+from shelfline.operators.lookback import first_day, region_days, summary_in_range
+from shelfline.operators.sketches import daily_sketches, merged, standard_error, totals
+from shelfline.sources.catalog import clustered_by_date
+
+DAY = dt.date(2024, 1, 1)
+COLUMNS = ["sale_date", "region", "product_category", "order_count", "total_revenue", "rolling_7d_revenue", "rolling_30d_avg"]
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """A busy region, one that sells every ninth day, one that stopped long ago."""
+    rng = random.Random(3)
+    lines = []
+    for n in range(1500):
+        region = rng.choice(["busy", "busy", "sparse", "ended", None])
+        day = {"sparse": rng.randrange(0, 720, 9), "ended": rng.randrange(0, 30)}.get(region, rng.randrange(720))
+        lines.append({"order_id": f"o{rng.randrange(700)}", "sale_date": DAY + dt.timedelta(day), "region": region, "product_id": f"p{rng.randrange(8)}", "net_revenue": rng.randrange(1, 90)})
+    at = str(tmp_path_factory.mktemp("fact"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    clustered_by_date(b.sales(spark, *lines)).write.mode("overwrite").parquet(at)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    products = spark.createDataFrame([(f"p{n}", f"cat{n % 5}" if n % 5 else None) for n in range(7)], "product_id string, product_category string")
+    fact = spark.read.parquet(at)
+    return fact, products, region_days(fact, products).cache()
+
+
+@pytest.mark.parametrize("regions", [["busy"], ["sparse"], ["busy", "sparse"], ["ended"], ["unknown"]])
+@pytest.mark.parametrize("start, length", [(-9, 5), (0, 40), (300, 30), (600, 200), (800, 5)])
+def test_a_range_equals_the_cut_view(spark, rows, tables, regions, start, length):
+    fact, products, days = tables
+    start, end = DAY + dt.timedelta(start), DAY + dt.timedelta(start + length)
+    whole = gold.daily_sales_summary(fact, products).where(F.col("region").isin(regions) & F.col("sale_date").between(start, end))
+    assert rows(summary_in_range(fact, products, days, regions, start, end), *COLUMNS) == rows(whole, *COLUMNS)
+
+
+def test_reading_begins_no_earlier_than_frames_reach(tables):
+    days = tables[2]
+    start = DAY + dt.timedelta(600)
+    busy, sparse = (first_day(days, [region], start, 29) for region in ("busy", "sparse"))
+    assert DAY < sparse < busy < start and first_day(days, ["busy", "sparse"], start, 29) == sparse
+    held = days.where((F.col("region") == "busy") & (F.col("sale_date") >= busy) & (F.col("sale_date") < start)).agg(F.sum("_rows")).first()[0]
+    after = days.where((F.col("region") == "busy") & (F.col("sale_date") > busy) & (F.col("sale_date") < start)).agg(F.sum("_rows")).first()[0]
+    assert held >= 29 > after
+    assert first_day(days, ["ended"], start, 29) < DAY + dt.timedelta(30) and first_day(days, ["unknown"], start, 29) is None
+
+
+def test_the_bound_reaches_the_files(spark, tables):
+    fact, products, days = tables
+    start, end = DAY + dt.timedelta(600), DAY + dt.timedelta(630)
+    since = first_day(days, ["busy"], start, 29)
+    found = summary_in_range(fact, products, days, ["busy"], start, end)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scans = [line for line in plan.split("\n") if "FileScan parquet" in line and "net_revenue" in line]
+    assert len(scans) == 1 and f"GreaterThanOrEqual(sale_date,{since})" in scans[0] and f"LessThanOrEqual(sale_date,{end})" in scans[0]
+    ranges = fact.groupBy(F.col("_metadata.file_path")).agg(F.min("sale_date").alias("low"), F.max("sale_date").alias("high")).collect()
+    opened = [r for r in ranges if r.low <= end and r.high >= since]
+    assert len(opened) < len(ranges)
+
+
+def test_sketches_of_parts_unite(spark, rows, tables):
+    fact, products, _ = tables
+    even = F.pmod(F.hash("order_id", "product_id", "sale_date"), F.lit(2)) == 0
+    whole = daily_sketches(fact, products)
+    parts = merged(daily_sketches(fact.where(even), products), daily_sketches(fact.where(~even), products))
+    columns = ["sale_date", "region", "product_category", "total_revenue", "units_sold", "lines"]
+    assert rows(parts, *columns) == rows(whole, *columns)
+    known = products.select("product_id")
+    exact = fact.join(known, "product_id").groupBy("region").agg(F.count_distinct("order_id").alias("n"))
+    expected = {r.region: r.n for r in exact.collect()}
+    for frame in (whole, parts):
+        for row in totals(frame, "region").collect():
+            assert abs(row.orders - expected[row.region]) <= 4 * standard_error() * expected[row.region] + 1
+    assert whole.limit(0).count() == 0 and rows(totals(whole.limit(0), "region")) == []
+
+
+def test_small_sketches_stay_within_their_bound(spark):
+    lines = spark.range(60_000).selectExpr("date'2024-01-01' + CAST(id % 9 AS INT) AS sale_date", "'r' AS region", "concat('o', id % 20000) AS order_id", "concat('c', id % 777) AS customer_id", "'p' AS product_id", "CAST(1 AS DECIMAL(18,4)) AS net_revenue", "CAST(1 AS DECIMAL(18,4)) AS profit", "1L AS quantity")
+    products = spark.createDataFrame([("p", "c")], "product_id string, product_category string")
+    row = totals(daily_sketches(lines, products, lg_k=10)).first()
+    assert abs(row.orders - 20_000) < 4 * standard_error(10) * 20_000 and abs(row.customers - 777) < 4 * standard_error(10) * 777

@@ -415,6 +415,17 @@ WHERE region IN ('ASIA', 'EUROPE') AND sale_date BETWEEN DATE '1997-01-01' AND D
 ORDER BY sale_date, region""",
 )
 
+ORACLES["kpis_from_sketches"] = _with(
+    _LINES,
+    _PRODUCTS,
+    select="""
+SELECT region, CAST(sum(net_revenue) AS DOUBLE) AS total_revenue, CAST(sum(profit) AS DOUBLE) AS total_profit,
+       CAST(sum(quantity) AS BIGINT) AS units_sold, CAST(sum(net_revenue) AS DOUBLE) / count(net_revenue) AS avg_line_value,
+       count(DISTINCT order_id) AS exact_orders, count(DISTINCT customer_id) AS exact_customers, 1 AS within_bound
+FROM fact JOIN products USING (product_id)
+WHERE sale_date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' GROUP BY region""",
+)
+
 ORACLES["category_hierarchy_revenue"] = _with(
     _LINES,
     _PRODUCTS,
@@ -673,6 +684,19 @@ ORACLES["stream_csv_customers"] = _with(
     _LINES, _CUSTOMERS, select="SELECT * REPLACE (CAST(signup_date AS VARCHAR) AS signup_date) FROM raw_customers"
 )
 
+ORACLES["bronze_loads"] = """
+WITH loads AS (SELECT CAST(l_orderkey % 2 AS INT) AS load, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT load, n AS sales_lines, n AS row_ids, CAST(coalesce(sum(n) OVER before, 0) AS BIGINT) AS first_id,
+       CAST(coalesce(sum(n) OVER before, 0) + n - 1 AS BIGINT) AS last_id
+FROM loads WINDOW before AS (ORDER BY load ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+
+ORACLES["stream_csv_transactions"] = _with(
+    _LINES,
+    select="""
+SELECT region, count(*) AS sales_lines, count(*) AS row_ids, CASE WHEN grouping(region) = 1 THEN count(*) ELSE 0 END AS id_span
+FROM lines GROUP BY ROLLUP (region)""",
+)
+
 ORACLES["stream_ingest_counts"] = "SELECT event_type, count(*) AS events FROM events GROUP BY event_type"
 
 ORACLES["stream_daily_revenue"] = """
