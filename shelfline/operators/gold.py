@@ -162,10 +162,11 @@ def customer_analytics(
     bought = lines.select("customer_id", "product_category").distinct()
     categories = bought.groupBy("customer_id").agg(F.count("product_category").alias("categories"))
     per_id = per_id.join(categories, "customer_id")
-    listed = customers.select("customer_id", "customer_name", "segment", "region", "loyalty_tier")
+    identity = ["customer_id", "customer_name", "segment", "region", "loyalty_tier"]
+    listed = customers.select(*identity)
     per_customer = (
         per_id.join(listed, "customer_id")
-        .groupBy("customer_id", "customer_name", "segment", "region", "loyalty_tier")
+        .groupBy(*identity)
         .agg(
             F.max("orders").alias("total_orders"),
             exact_sum("net").alias("lifetime_value"),
@@ -175,11 +176,7 @@ def customer_analytics(
             F.max("categories").alias("categories_purchased"),
         )
         .select(
-            "customer_id",
-            "customer_name",
-            "segment",
-            "region",
-            "loyalty_tier",
+            *identity,
             "total_orders",
             "lifetime_value",
             "avg_order_value",
@@ -189,12 +186,15 @@ def customer_analytics(
             "categories_purchased",
         )
     )
-    return with_value_tiles(per_customer)
+    net = lines.groupBy("customer_id").agg(exact_sum("net_revenue").alias("net"))
+    worth = net.join(listed, "customer_id").groupBy(*identity).agg(exact_sum("net").alias("lifetime_value"))
+    return with_value_tiles(per_customer, worth)
 
 
-def with_value_tiles(customers: DataFrame) -> DataFrame:
-    """Quintile of the lifetime value, 1 the highest; equal values by id."""
-    return with_tiles(customers, VALUE_TILES, "lifetime_value", "customer_id", "value_quintile")
+def with_value_tiles(customers: DataFrame, worth: DataFrame | None = None) -> DataFrame:
+    """Quintile of the lifetime value, 1 the highest; equal values by id.
+    `worth` may give id and value of the same rows from a narrower plan."""
+    return with_tiles(customers, VALUE_TILES, "lifetime_value", "customer_id", "value_quintile", narrow=worth)
 
 
 def kpi_summary(fact: DataFrame, approx: bool = False) -> DataFrame:

@@ -14,9 +14,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-# Bins per factor e of a value, and characters of a tie breaker that make a bin.
+# Bins per factor e of a value, and rows of one value that are put in order at
+# a time.
 BINS_PER_E = 4096
-TIE_PREFIX = 4
+TIE_ROWS = 1000
 
 
 def order_bin(value: str) -> Column:
@@ -44,17 +45,19 @@ def _sorted(value: str, descending: bool) -> Column:
     return F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
 
 
-def value_levels(df: DataFrame, keys: Sequence[str], value: str, descending: bool) -> DataFrame:
+def value_levels(df: DataFrame, keys: Sequence[str], value: str, descending: bool, *more: Column) -> DataFrame:
     """keys, value, `_ahead` (rows with a value before this one within the
-    key) and `_total` (rows of the key), one row per distinct value."""
+    key) and `_total` (rows of the key), one row per distinct value, which may
+    have more aggregates."""
     keys = list(keys)
-    levels = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_bin", order_bin(value))
-    bins = levels.groupBy(*keys, "_bin").agg(F.sum("_rows").alias("_bin_rows"))
+    levels = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_level_rows"), *more).withColumn("_bin", order_bin(value))
+    kept = [name for name in levels.columns if name not in (*keys, value, "_level_rows", "_bin")]
+    bins = levels.groupBy(*keys, "_bin").agg(F.sum("_level_rows").alias("_bin_rows"))
     bins = bins.withColumn("_bins_ahead", F.coalesce(F.sum("_bin_rows").over(_before(keys, _sorted("_bin", descending))), F.lit(0)))
     bins = bins.withColumn("_total", F.sum("_bin_rows").over(Window.partitionBy(*keys))).drop("_bin_rows")
-    inside = F.coalesce(F.sum("_rows").over(_before([*keys, "_bin"], _sorted(value, descending))), F.lit(0))
+    inside = F.coalesce(F.sum("_level_rows").over(_before([*keys, "_bin"], _sorted(value, descending))), F.lit(0))
     placed = _joined(levels.withColumn("_inside", inside), bins, [*keys, "_bin"])
-    return placed.select(*keys, value, (F.col("_inside") + F.col("_bins_ahead")).alias("_ahead"), "_total")
+    return placed.select(*keys, value, (F.col("_inside") + F.col("_bins_ahead")).alias("_ahead"), "_total", *kept)
 
 
 def with_rank(df: DataFrame, keys: Sequence[str], value: str, name: str, descending: bool = True) -> DataFrame:
@@ -65,23 +68,63 @@ def with_rank(df: DataFrame, keys: Sequence[str], value: str, name: str, descend
     return _joined(df, ranked, [*keys, value]).select(*df.columns, name)
 
 
-def with_tiles(df: DataFrame, tiles: int, value: str, tie: str, name: str, descending: bool = True) -> DataFrame:
+def _order_text(df: DataFrame, tie: str) -> Column:
+    """Text that sorts as the column does, NULLs last; never empty."""
+    kind = dict(df.dtypes)[tie]
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        number = F.col(tie).cast("long").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
+        text = F.lpad(F.hex(number), 16, "0")
+    elif kind in ("string", "date") or kind.startswith("timestamp"):
+        text = F.col(tie).cast("string")
+    else:
+        raise ValueError(f"ties cannot be broken by {tie}, a column of {kind}")
+    return F.coalesce(F.concat(F.lit("0"), text), F.lit("1"))
+
+
+def _tie_bin() -> Column:
+    """The characters of `_t` behind what all ties of the value share, the more
+    the more rows the value has: a bin of ids that count up holds about
+    `TIE_ROWS` of them, however many there are and however they begin."""
+    shared = F.expr("aggregate(sequence(1, least(length(_low), length(_high))), 0, (n, i) -> IF(n = i - 1 AND substring(_low, i, 1) = substring(_high, i, 1), i, n))")
+    digits = F.greatest(F.lit(0), F.ceil(F.log10(F.col("_rows") / TIE_ROWS))).cast("int") + 1
+    return F.when(F.col("_rows") <= TIE_ROWS, "").otherwise(F.substring(F.col("_t"), shared + 1, digits))
+
+
+def tie_bins(keys: DataFrame, levels: DataFrame) -> DataFrame:
+    """_v, _bin, `_bin_rows` and `_bins_ahead`, for the ties of every value."""
+    keyed = _joined(keys, levels, ["_v"]).withColumn("_bin", _tie_bin())
+    bins = keyed.groupBy("_v", "_bin").agg(F.count(F.lit(1)).alias("_bin_rows"))
+    return bins.withColumn("_bins_ahead", F.coalesce(F.sum("_bin_rows").over(_before(["_v"], F.col("_bin").asc())), F.lit(0)))
+
+
+def tie_levels(keys: DataFrame, descending: bool = True) -> DataFrame:
+    """`value_levels` of `_v` with the rows and the least and greatest tie of
+    each value."""
+    ends = (F.count(F.lit(1)).alias("_rows"), F.min("_t").alias("_low"), F.max("_t").alias("_high"))
+    return value_levels(keys, [], "_v", descending, *ends)
+
+
+def with_tiles(
+    df: DataFrame, tiles: int, value: str, tie: str, name: str, descending: bool = True, narrow: DataFrame | None = None
+) -> DataFrame:
     """NTILE over all rows by `value`, NULLs last, equal values by `tie`
-    ascending; earlier tiles take the rest. Only `value` and `tie`, which
-    identify a row, are ordered; the other columns are joined back."""
-    narrow = df.select(value, tie)
-    prefix = F.substring(F.col(tie).cast("string"), 1, TIE_PREFIX)
-    if not dict(df.dtypes)[tie].startswith("string"):
-        prefix = order_bin(tie)
-    keyed = narrow.withColumn("_prefix", prefix)
-    groups = keyed.groupBy(value, "_prefix").agg(F.count(F.lit(1)).alias("_rows"))
-    ahead = F.coalesce(F.sum("_rows").over(_before([value], F.col("_prefix").asc_nulls_last())), F.lit(0))
-    groups = groups.withColumn("_groups_ahead", ahead).drop("_rows")
-    levels = value_levels(narrow, [], value, descending)
-    group = Window.partitionBy(value, "_prefix").orderBy(F.col(tie).asc_nulls_last())
-    counted = _joined(_joined(keyed.withColumn("_number", F.row_number().over(group) - 1), groups, [value, "_prefix"]), levels, [value])
+    ascending; earlier tiles take the rest. A (value, tie) that repeats gives as
+    many rows; their order among equals is free.
+
+    Counts say how many rows stand before a value and before a bin of its ties;
+    the rows meet these counts and are numbered once, within their bin. The
+    counts need `value` and `tie` only; `narrow` may give these two of the same
+    rows where they are cheaper to come by.
+    """
+    source = df if narrow is None else narrow
+    keys = source.select(F.col(value).alias("_v"), _order_text(source, tie).alias("_t"))
+    levels = tie_levels(keys, descending)
+    bins = tie_bins(keys, levels).drop("_bin_rows")
+    rows = df.withColumns({"_v": F.col(value), "_t": _order_text(df, tie)})
+    rows = _joined(_joined(rows, levels, ["_v"]).withColumn("_bin", _tie_bin()), bins, ["_v", "_bin"])
+    inside = Window.partitionBy("_v", "_bin").orderBy("_t")
     placed = (
-        counted.withColumn("_place", F.col("_ahead") + F.col("_groups_ahead") + F.col("_number"))
+        rows.withColumn("_place", F.col("_ahead") + F.col("_bins_ahead") + F.row_number().over(inside) - 1)
         .withColumns({"_size": F.expr(f"_total div {tiles}"), "_rest": F.expr(f"_total % {tiles}")})
         .withColumn("_in_large", F.expr("_rest * (_size + 1)"))  # rows in tiles of one more
     )
@@ -89,10 +132,7 @@ def with_tiles(df: DataFrame, tiles: int, value: str, tie: str, name: str, desce
         "CASE WHEN _place < _in_large THEN _place div (_size + 1) + 1 "
         "ELSE _rest + (_place - _in_large) div greatest(_size, 1) + 1 END"
     )
-    # A (value, tie) that repeats gives as many tiles; their order among equals is free.
-    again = Window.partitionBy(value, tie).orderBy(F.lit(0))
-    numbered = placed.select(value, tie, tile.cast("int").alias(name), F.row_number().over(again).alias("_again"))
-    return _joined(df.withColumn("_again", F.row_number().over(again)), numbered, [value, tie, "_again"]).select(*df.columns, name)
+    return placed.select(*df.columns, tile.cast("int").alias(name))
 
 
 def over_last_rows(

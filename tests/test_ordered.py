@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from shelfline.operators.ordered import order_bin, over_last_rows, with_rank, with_tiles
+from shelfline.operators.ordered import order_bin, over_last_rows, tie_bins, tie_levels, with_rank, with_tiles
 
 
 def frame(spark, n, seed=7):
@@ -75,3 +75,35 @@ def test_rolling_frames_equal_window(spark, rows, chunk_rows):
 def test_chunk_must_cover_the_frame(spark):
     with pytest.raises(ValueError):
         over_last_rows(spark.range(3), [], ["id"], 29, lambda window: {}, chunk_rows=28)
+
+
+@pytest.mark.parametrize("repeats", [1, 2, 7])
+def test_repeated_rows_fill_tiles_evenly(spark, repeats):
+    rows = spark.range(12).selectExpr("id", "id % 2 AS value", f"explode(sequence(1, {repeats})) AS copy")
+    sizes = [r.n for r in with_tiles(rows, 5, "value", "id", "tile").groupBy("tile").agg(F.count(F.lit(1)).alias("n")).orderBy("tile").collect()]
+    assert sizes == [12 * repeats // 5 + (i < 12 * repeats % 5) for i in range(5)]
+
+
+def test_a_third_in_one_tie_meets_no_large_window(spark, rows):
+    """Ids with a long common beginning, a third of the values 0."""
+    df = spark.range(20_000).selectExpr("concat('CUSTOMER-', lpad(id, 9, '0')) AS id", "IF(id % 3 = 0, 0, id % 977 + 1) AS value").repartition(4)
+    tiled = with_tiles(df, 5, "value", "id", "tile")
+    plain = df.withColumn("tile", F.ntile(5).over(Window.orderBy(F.col("value").desc(), "id")))
+    assert rows(tiled) == rows(plain)
+    keys = df.selectExpr("value AS _v", "concat('0', id) AS _t")
+    groups = tie_bins(keys, tie_levels(keys))
+    most, whole = groups.agg(F.max("_bin_rows"), F.sum("_bin_rows")).first()
+    assert most <= 1000 and whole == 20_000
+    low = with_tiles(df, 5, "value", "id", "tile", descending=False)
+    assert rows(low) == rows(df.withColumn("tile", F.ntile(5).over(Window.orderBy("value", "id"))))
+
+
+def test_ties_of_many_shapes(spark, rows):
+    texts = ["", "a", "ab", "abc" * 20, "abc" * 20 + "d", "é", "zz", None, "Z", "a b"]
+    data = [(n % 3, texts[n % len(texts)] if n % 4 else f"{texts[n % 9]}{n}") for n in range(90)]
+    df = spark.createDataFrame(sorted(set(data), key=str), "value long, tie string")
+    for tiles in (2, 200):
+        plain = df.withColumn("tile", F.ntile(tiles).over(Window.orderBy(F.col("value").desc_nulls_last(), F.col("tie").asc_nulls_last())))
+        assert rows(with_tiles(df, tiles, "value", "tie", "tile")) == rows(plain)
+    with pytest.raises(ValueError):
+        with_tiles(df.withColumn("tie", F.lit(0.5)), 5, "value", "tie", "tile")
