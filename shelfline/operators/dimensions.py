@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.functions.dates import parsed_date
+from shelfline.functions.dates import ISO_DATE, parsed_date
 from shelfline.functions.money import exact_sum, percent
 from shelfline.operators.gold import with_value_tiles
 from shelfline.schemas import DIM_CUSTOMERS, DIM_PRODUCTS, MONEY, conform
@@ -22,7 +24,7 @@ def customer_value(fact: DataFrame, customers: DataFrame) -> DataFrame:
     return with_value_tiles(listed)
 
 
-def dim_customers(customers: DataFrame, fact: DataFrame) -> DataFrame:
+def dim_customers(customers: DataFrame, fact: DataFrame, date_formats: Sequence[str] = (ISO_DATE,)) -> DataFrame:
     """Customers with a typed signup date and a segment from their sales so far."""
     tiles = customer_value(fact, customers).select("customer_id", "value_quintile")
     segment = F.lit(NO_SALES)
@@ -30,7 +32,7 @@ def dim_customers(customers: DataFrame, fact: DataFrame) -> DataFrame:
         segment = F.when(F.col("value_quintile") == tile, label).otherwise(segment)
     typed = (
         customers.join(tiles, "customer_id", "left")
-        .withColumn("signup_date", parsed_date("signup_date"))
+        .withColumn("signup_date", parsed_date("signup_date", date_formats))
         .withColumn("customer_segment", segment)
     )
     return conform(typed, DIM_CUSTOMERS)

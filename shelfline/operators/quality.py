@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from shelfline.functions.dates import parsed_date
-from shelfline.schemas import RAW_TRANSACTIONS, TEXT_LIMITS, UNREADABLE, required_columns
+from shelfline.functions.dates import ISO_DATE, parsed_date
+from shelfline.schemas import RAW_LINE, RAW_TRANSACTIONS, TEXT_LIMITS, UNREADABLE, required_columns
 
 RuleSet = Mapping[str, Column]
 
@@ -65,9 +65,9 @@ def fact_rules(schema: StructType) -> dict[str, Column]:
     }
 
 
-def date_text_rules(*names: str) -> dict[str, Column]:
+def date_text_rules(*names: str, date_formats: Sequence[str] = (ISO_DATE,)) -> dict[str, Column]:
     """Text that is present but reads as no date."""
-    return {f"date:{name}": F.col(name).isNotNull() & parsed_date(name).isNull() for name in names}
+    return {f"date:{name}": F.col(name).isNotNull() & parsed_date(name, date_formats).isNull() for name in names}
 
 
 def unreadable_rules(schema: StructType) -> dict[str, Column]:
@@ -127,12 +127,15 @@ def sales_quality(
     quarantined: DataFrame,
     dimensions: Mapping[str, tuple[DataFrame, StructType | None, str]],
     fact_schema: StructType,
+    date_formats: Sequence[str] = (ISO_DATE,),
 ) -> DataFrame:
     """The whole report. `dimensions` maps a table name to the frame, its
     schema if it has required columns, and its key."""
     lost = unreadable_rules(RAW_TRANSACTIONS) if UNREADABLE in bronze.columns else {}
+    if RAW_LINE in bronze.columns:
+        lost["ragged:line"] = F.col(RAW_LINE).isNotNull()
     parts = [
-        row_rules(bronze, "raw_transactions", {**date_text_rules("order_date", "ship_date"), **lost}),
+        row_rules(bronze, "raw_transactions", {**date_text_rules("order_date", "ship_date", date_formats=date_formats), **lost}),
         unique_rule(bronze, "raw_transactions", ["row_id"]),
         unique_rule(fact, "fact_sales", ["sale_id"]),
         row_rules(fact, "fact_sales", fact_rules(fact_schema)),

@@ -12,7 +12,8 @@ from shelfline.operators import gold as views
 from shelfline.operators.dimensions import dim_customers, dim_products
 from shelfline.operators.features import customer_features, product_features
 from shelfline.operators.silver import quarantined_sales, silver_sales
-from shelfline.schemas import BRONZE, UNREADABLE, conform
+from shelfline.functions.dates import ISO_DATE
+from shelfline.schemas import BRONZE, RAW_LINE, UNREADABLE, conform
 from shelfline.sources.catalog import append_table, clustered_by_date, database_folder, overwrite_table
 from shelfline.sources.keys import numbered
 
@@ -21,8 +22,8 @@ KEY = "row_id"
 
 def _as_bronze(df: DataFrame, name: str) -> DataFrame:
     """`df` in the table's schema; sales lines may name their warehouse."""
-    extra = ("warehouse_id", UNREADABLE) if name == "raw_transactions" else (UNREADABLE,)
-    return conform(df, BRONZE[name], extra)
+    extra = ("warehouse_id",) if name == "raw_transactions" else ()
+    return conform(df, BRONZE[name], (*extra, UNREADABLE, RAW_LINE))
 
 
 def _ledger(spark: SparkSession, database: str, name: str) -> str:
@@ -71,10 +72,12 @@ def run_all(
     gold: str = "gold",
     state_codes: DataFrame | None = None,
     compat_quarter: bool = False,
+    date_formats: Sequence[str] = (ISO_DATE,),
 ) -> DataFrame:
     """Build the sales fact, the dimensions and both feature tables.
 
-    Each step reads the tables written before it; the first failure stops the
+    `date_formats` are tried in their order on every date of the source. Each
+    step reads the tables written before it; the first failure stops the
     run. Returns a row (table_name, row_count) per table written.
     """
     counts: dict[str, int] = {}
@@ -84,11 +87,11 @@ def run_all(
         return spark.table(table)
 
     raw = spark.table(f"{bronze}.raw_transactions")
-    sales = silver_sales(raw, spark.table(f"{bronze}.raw_warehouses"), state_codes, compat_quarter)
+    sales = silver_sales(raw, spark.table(f"{bronze}.raw_warehouses"), state_codes, compat_quarter, date_formats)
     fact = publish(f"{silver}.fact_sales", clustered_by_date(sales))
-    publish(f"{silver}.quarantined_sales", quarantined_sales(raw))
+    publish(f"{silver}.quarantined_sales", quarantined_sales(raw, date_formats))
     products = publish(f"{silver}.dim_products", dim_products(spark.table(f"{bronze}.raw_products")))
-    customers = publish(f"{silver}.dim_customers", dim_customers(spark.table(f"{bronze}.raw_customers"), fact))
+    customers = publish(f"{silver}.dim_customers", dim_customers(spark.table(f"{bronze}.raw_customers"), fact, date_formats))
     publish(f"{gold}.customer_features", customer_features(fact, customers))
     publish(f"{gold}.product_features", product_features(fact, products))
     return spark.createDataFrame(list(counts.items()), "table_name string, row_count long")

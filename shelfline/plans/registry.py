@@ -17,7 +17,7 @@ from shelfline.plans.layers import Layers, layers
 from shelfline.plans.batch import append_bronze, load_bronze, publish_gold, register_views, run_all
 from shelfline.schemas import DIM_CUSTOMERS, DIM_PRODUCTS, FACT_SALES, RAW_CUSTOMERS, RAW_PRODUCTS, RAW_TRANSACTIONS
 from shelfline.sources import catalog
-from shelfline.sources.csv_files import file_columns, read_csv
+from shelfline.sources.csv_files import file_columns, ragged, read_csv
 from shelfline.streaming.daily import add_available, current
 from shelfline.streaming.ingest import append_available, append_numbered, stream_csv
 
@@ -56,7 +56,7 @@ def _chosen_range(at: Layers) -> DataFrame:
 
 
 def _without_stamp(df: DataFrame) -> DataFrame:
-    return df.drop("_processed_at", "_loaded_at", "_source_file", "_unreadable")
+    return df.drop("_processed_at", "_loaded_at", "_source_file", "_unreadable", "_raw_line")
 
 
 def _dashboard_choice() -> dict[str, object]:
@@ -79,6 +79,18 @@ def silver_sales_assigned_warehouse(at: Layers) -> DataFrame:
     return assigned.groupBy("state_name", "warehouse_id").agg(F.count(F.lit(1)).alias("sales_lines"))
 
 
+@_query
+def silver_sales_other_dates(at: Layers) -> DataFrame:
+    """The fact from lines whose dates stand in two other formats."""
+    lines, order = at.bronze.transactions(), F.col("order_id").cast("long")
+    written = lambda name: F.when(
+        order % 2 == 0, F.date_format(F.col(name).cast("date"), "dd/MM/yyyy")
+    ).otherwise(F.date_format(F.col(name).cast("date"), "yyyyMMdd"))
+    other = lines.withColumns({name: written(name) for name in ("order_date", "ship_date")})
+    sales = silver.silver_sales(other, at.bronze.warehouses(), at.bronze.state_codes(), date_formats=["dd/MM/yyyy", "yyyyMMdd"])
+    return sales.select(*silver.BUSINESS_COLUMNS)
+
+
 @_query
 def compat_quarters(at: Layers) -> DataFrame:
     """Sales lines per month and rounded-form quarter."""
@@ -428,6 +440,23 @@ def csv_unreadable_values(at: Layers) -> DataFrame:
     return read.groupBy(outcome).agg(F.count(F.lit(1)).alias("sales_lines"))
 
 
+@_query
+def csv_ragged_lines(at: Layers) -> DataFrame:
+    """Sales lines written with fields too many or too few, and what the load
+    kept of them."""
+    names = file_columns(RAW_TRANSACTIONS)
+    order = F.col("order_id").cast("long")
+    fields = [F.coalesce(F.col(name).cast("string"), F.lit("NULL")) for name in names]
+    line = F.when(order % 71 == 0, F.concat_ws(",", *fields, F.lit('"extra, quoted"'), F.lit("more")))
+    line = line.when(order % 73 == 0, F.concat_ws(",", *fields[:2])).otherwise(F.concat_ws(",", *fields))
+    path = at.scratch("ragged-lines")
+    at.bronze.transactions().select(line.alias("value")).write.text(path)
+    read = read_csv(at.spark, path, RAW_TRANSACTIONS, header="false")
+    lacking = ragged(read, RAW_TRANSACTIONS).groupBy("_fields").agg(F.count(F.lit(1)).alias("sales_lines"), F.count("customer_id").alias("with_customer"))
+    whole = read.where("_raw_line IS NULL").agg(F.count(F.lit(1)).alias("sales_lines"), F.count("customer_id").alias("with_customer"))
+    return lacking.union(whole.select(F.lit(len(names)), "*")).withColumnRenamed("_fields", "fields")
+
+
 @_query
 def stream_csv_customers(at: Layers) -> DataFrame:
     """Customer CSV files taken in by the file stream, which is run twice."""

@@ -153,6 +153,8 @@ TEXT_LIMITS = {
 
 # Names of the columns whose text could not be read as the declared type.
 UNREADABLE = "_unreadable"
+# A line that had more or fewer fields than its file has columns, as it stood.
+RAW_LINE = "_raw_line"
 
 _FILLED_WHEN_ABSENT = {
     "_loaded_at": lambda: F.current_timestamp(),

@@ -1,5 +1,10 @@
 """CSV files under the staging format: optional double quotes, one header line,
-NULL tokens, trimmed values, ragged rows allowed."""
+NULL tokens, trimmed values, ragged rows allowed.
+
+A row with too few fields has NULL in the rest and one with too many loses
+them. Either way the line is kept as it stood, so that rows which lost or
+lacked something can be counted and looked at (`ragged`).
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from shelfline.schemas import UNREADABLE, conform
+from shelfline.schemas import RAW_LINE, UNREADABLE, conform
 
 # Fixed values of the staging format.
 NULL_TOKENS = ("NULL", "null", "")
@@ -29,8 +34,11 @@ def file_columns(schema: StructType) -> list[str]:
 
 
 def read_options(schema: StructType) -> tuple[StructType, dict[str, str]]:
-    """All file columns as text: types are applied after NULL tokens are gone."""
-    return StructType([StructField(name, StringType()) for name in file_columns(schema)]), dict(FORMAT)
+    """All file columns as text: types are applied after NULL tokens are gone.
+    Spark puts a line whose fields don't match the columns into the last one,
+    which it can tell only if it reads them all."""
+    names = [*file_columns(schema), RAW_LINE]
+    return StructType([StructField(name, StringType()) for name in names]), {**FORMAT, "columnNameOfCorruptRecord": RAW_LINE, "columnPruning": "false"}
 
 
 def with_source(rows: DataFrame) -> DataFrame:
@@ -50,6 +58,10 @@ def tidy(rows: DataFrame, schema: StructType) -> DataFrame:
 
     names = file_columns(schema)
     kept = [name for name in rows.columns if name not in names]
+    if RAW_LINE in kept:
+        # Spark refuses to read the raw line alone, so it always names a column.
+        never = F.when(F.length(F.col(names[0])) < 0, "")
+        rows = rows.withColumn(RAW_LINE, F.coalesce(F.col(RAW_LINE), never))
     texts = rows.select(*[value(name) for name in names], *kept)
     lost = [
         F.when(F.col(field.name).isNotNull() & F.col(field.name).try_cast(field.dataType).isNull(), field.name)
@@ -57,7 +69,15 @@ def tidy(rows: DataFrame, schema: StructType) -> DataFrame:
         if field.name in names and not isinstance(field.dataType, StringType)
     ]
     named = texts.withColumn(UNREADABLE, F.array_compact(F.array(*lost)).cast("array<string>"))
-    return conform(named, schema, (UNREADABLE,))
+    return conform(named, schema, (UNREADABLE, RAW_LINE))
+
+
+def ragged(rows: DataFrame, schema: StructType) -> DataFrame:
+    """The rows whose line did not have as many fields as `schema` has file
+    columns, with `_fields`, how many it had. Commas inside quotes are text."""
+    outside = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    fields = (F.regexp_count(RAW_LINE, F.lit(outside)) + 1).alias("_fields")
+    return rows.where(F.col(RAW_LINE).isNotNull()).select("*", fields, F.lit(len(file_columns(schema))).alias("_columns"))
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: StructType, **options: str) -> DataFrame:

@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import builders as b
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from shelfline.operators.quality import row_rules
 from shelfline.plans.batch import load_bronze, publish_gold, run_all
 from shelfline.schemas import BRONZE, FACT_SALES, RAW_PRODUCTS, SILVER
 from shelfline.sources.catalog import (
@@ -14,7 +16,7 @@ from shelfline.sources.catalog import (
     overwrite_table,
     table_inventory,
 )
-from shelfline.sources.csv_files import file_columns, read_csv
+from shelfline.sources.csv_files import file_columns, ragged, read_csv
 
 SMALL = StructType([StructField("id", LongType()), StructField("name", StringType()), StructField("amount", DoubleType())])
 
@@ -153,3 +155,32 @@ def rows_of(df):
 def test_date_clustering_keeps_every_row(spark):
     fact = b.sales(spark, *[{"order_id": f"o{n}"} for n in range(30)])
     assert clustered_by_date(fact).count() == 30
+
+
+def test_ragged_lines_are_kept_as_they_stood(spark, rows, tmp_path):
+    lines = ["id,name,amount", "1,a,2.5", '2,"b, c",1,more,"x, y"', "3", "4,d,oops,more", ",,", '5,"e ""q"" f",1.5']
+    (tmp_path / "one.csv").write_text("\n".join(lines) + "\n")
+    found = read_csv(spark, str(tmp_path), SMALL)
+    assert rows(found, "id", "name", "amount") == [(None, None, None), (1, "a", 2.5), (2, "b, c", 1.0), (3, None, None), (4, "d", None), (5, 'e "q" f', 1.5)]
+    assert rows(ragged(found, SMALL), "id", "_fields", "_columns", "_raw_line") == [(2, 5, 3, lines[2]), (3, 1, 3, "3"), (4, 4, 3, lines[4])]
+    assert rows(found.where("size(_unreadable) > 0"), "id") == [(4,)]
+    counted = row_rules(found, "t", {"ragged:line": F.col("_raw_line").isNotNull()}).first()
+    assert (counted.failed_rows, counted.total_rows) == (3, 6)
+    assert found.select("id").count() == 6 and found.where("_raw_line IS NOT NULL").count() == 3
+
+
+def test_other_dates_reach_every_table(spark, databases):
+    create_tables(spark)
+    lines = b.transactions(spark, {"order_date": "31/01/2024", "ship_date": "20240203", "warehouse_id": "w1"}, {"order_date": "2024-01-31"}, warehouse=True)
+    load_bronze(
+        spark,
+        raw_transactions=lines,
+        raw_products=spark.createDataFrame([("p1", "Toys")], "product_id string, category string"),
+        raw_warehouses=b.warehouses(spark, {"warehouse_id": "w1"}),
+        raw_customers=spark.createDataFrame([("c1", "01/12/2023")], "customer_id string, signup_date string"),
+    )
+    run_all(spark, date_formats=["dd/MM/yyyy", "yyyyMMdd"])
+    sale = spark.table("silver.fact_sales").first()
+    assert (str(sale.sale_date), sale.days_to_ship) == ("2024-01-31", 3)
+    assert spark.table("silver.quarantined_sales").first()._reason == "unreadable order_date"
+    assert str(spark.table("silver.dim_customers").first().signup_date) == "2023-12-01"

@@ -707,6 +707,11 @@ FROM events GROUP BY 1, 2"""
 ORACLES["stream_daily_users"] = """
 SELECT CAST(ts AS DATE) AS day, event_type, count(DISTINCT user_id) AS distinct_values FROM events GROUP BY 1, 2"""
 
+ORACLES["csv_ragged_lines"] = """
+SELECT CASE WHEN l_orderkey % 71 = 0 THEN 21 WHEN l_orderkey % 73 = 0 THEN 2 ELSE 19 END AS fields, count(*) AS sales_lines,
+       count(*) FILTER (l_orderkey % 71 = 0 OR l_orderkey % 73 <> 0) AS with_customer
+FROM lineitem GROUP BY 1"""
+
 ORACLES["csv_unreadable_values"] = """
 SELECT CASE
     WHEN l_orderkey % 79 = 0 THEN 'unreadable order_date'
@@ -718,6 +723,7 @@ FROM lineitem GROUP BY 1"""
 
 for _stored, _view in (
     ("catalog_fact_sales", "silver_sales"),
+    ("silver_sales_other_dates", "silver_sales"),
     ("catalog_customer_features", "customer_features"),
     ("catalog_state_map_feed", "state_map_feed"),
 ):
