@@ -90,23 +90,31 @@ def _digest(tokens: bytes) -> bytes | None:
     return xxhash.xxh3_128_digest(tokens) if tokens else None
 
 
-def _sets(documents: DataFrame) -> DataFrame:
-    """doc_id, set size, a digest of the set and its min-hashes."""
+def _sets(documents: DataFrame, percent: int) -> DataFrame:
+    """doc_id, set size, a digest of the set, its min-hashes and its prefix
+    tokens, the first of the sorted ones. Of copies within a task one carries
+    the prefix for all, so it is stored once per task and distinct set."""
     factors = multipliers(BANDS, 71)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache, seen = WordHashes(), set()
         for batch in small(batches):
-            sizes, digests, bands = [], [], []
+            sizes, digests, bands, prefixes = [], [], [], []
             for text in texts(batch):
                 tokens = shingles(text, cache)
-                sizes.append(len(tokens))
-                digests.append(_digest(tokens.tobytes()))
-                bands.append([int(mixed(tokens * f).min().view(np.int64)) for f in factors] if len(tokens) else None)
+                size, packed = len(tokens), tokens.tobytes()
+                digest = _digest(packed)
+                sizes.append(size)
+                digests.append(digest)
+                bands.append([int(mixed(tokens * f).min().view(np.int64)) for f in factors] if size else None)
+                speaks = can_link(size, percent) and digest not in seen
+                prefixes.append(packed[: 8 * (size - needed(size, percent) + max(1, size // 10))] if speaks else None)
+                if speaks:
+                    seen.add(digest)
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_id", "bands"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(prefixes, pa.binary())], ["doc_id", "n_shingles", "set_id", "bands", "prefix"])
 
-    return documents.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands array<long>")
+    return documents.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands array<long>, prefix binary")
 
 
 def _with_tokens(rows: DataFrame) -> DataFrame:
@@ -195,28 +203,21 @@ def _set_key(digest: bytes) -> int:
     return xxhash.xxh64_intdigest(digest, seed=42)
 
 
-def _shared_prefix_tokens(documents: DataFrame, percent: int) -> DataFrame:
+def _shared_prefix_tokens(sets: DataFrame) -> DataFrame:
     """(token, set_key) of prefix tokens that stand in two documents or more.
 
-    Of copies within a task one speaks for all, so a token arrives at most
-    once per task and distinct set. It speaks for its set, not for its doc_id,
-    which other rows may repeat with another text.
+    A prefix speaks for its set, not for a doc_id, which other rows may repeat
+    with another text.
     """
     names = ["token", "set"]
-    buckets = 4 * shuffle_width(documents.sparkSession)
+    buckets = 4 * shuffle_width(sets.sparkSession)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, packed, seen = WordHashes(), Packed(names, buckets), set()
+        packed = Packed(names, buckets)
         for batch in small(batches):
-            for text in texts(batch):
-                tokens = shingles(text, cache)
-                digest = _digest(tokens.tobytes())
-                if not can_link(len(tokens), percent) or digest in seen:
-                    continue
-                seen.add(digest)
-                size = len(tokens)
-                head = tokens[: size - needed(size, percent) + max(1, size // 10)]
-                packed.add(head, np.full(len(head), _set_key(digest), np.uint64))
+            for digest, prefix in zip(batch.column("set_id").to_pylist(), batch.column("prefix").to_pylist()):
+                tokens = np.frombuffer(prefix, np.uint64)
+                packed.add(tokens, np.full(len(tokens), _set_key(digest), np.uint64))
                 if packed.full:
                     yield from packed.rows()
         yield from packed.rows()
@@ -229,13 +230,13 @@ def _shared_prefix_tokens(documents: DataFrame, percent: int) -> DataFrame:
         repeated = same[1:] | same[:-1]
         return pa.table({"token": tokens[repeated].view(np.int64), "set_key": sets[repeated].view(np.int64)})
 
-    rows = documents.mapInArrow(prefixes, packed_schema(names))
+    rows = sets.where("prefix IS NOT NULL").select("set_id", "prefix").mapInArrow(prefixes, packed_schema(names))
     return rows.groupBy("bucket").applyInArrow(shared, "token long, set_key long")
 
 
-def _undecided(classes: DataFrame, homes: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
+def _undecided(classes: DataFrame, homes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Documents that may link into another group than their own."""
-    shared = _shared_prefix_tokens(documents, percent)
+    shared = _shared_prefix_tokens(sets)
     keyed = homes.select(F.xxhash64("set_id").alias("set_key"), "rep", "home")
     placed = shared.join(keyed, "set_key").select("token", "rep", "home")
     across = placed.groupBy("token").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low <> high")
@@ -412,7 +413,7 @@ def jaccard_components(documents: DataFrame, percent: int = 80) -> DataFrame:
     if not 1 <= percent <= 100:
         raise ValueError("percent must be from 1 to 100")
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = stored(_sets(chosen), "shingle-sets")
+    sets = stored(_sets(chosen, percent), "shingle-sets")
     chosen = chosen.where("doc_id IS NOT NULL")
     largest = sets.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.max(F.struct("n_shingles", "set_id", "bands")).alias("s"))
     largest = stored(largest.select("doc_id", "s.*"), "document-sets")
@@ -422,7 +423,7 @@ def jaccard_components(documents: DataFrame, percent: int = 80) -> DataFrame:
     classes = stored(classes, "set-classes")
     first = stored(_first_links(classes, chosen, percent), "first-links")
     homes = stored(_with_home(classes, first).select("set_id", F.col("doc_id").alias("rep"), "home"), "first-groups")
-    undecided = _undecided(classes, homes, chosen, percent)
+    undecided = _undecided(classes, homes, sets, percent)
     groups = stored(_grouped(stored(undecided, "undecided")), "groups")
     rows = stored(_texts_of(groups, chosen).dropDuplicates(["doc_id"]), "group-tokens")
     links = stored(first.union(_group_links(rows, percent)), "all-links")
