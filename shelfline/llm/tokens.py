@@ -42,7 +42,10 @@ class _Runs(dict):
         return Tokenizer.from_file(self.path)
 
     def encoded(self, run: str) -> bytes:
-        return _packed(self.bare.encode_batch_fast([run], add_special_tokens=False)[0].ids)
+        return self.all_encoded([run])[0]
+
+    def all_encoded(self, runs: list[str]) -> list[bytes]:
+        return [_packed(found.ids) for found in self.bare.encode_batch_fast(runs, add_special_tokens=False)]
 
     def whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -79,6 +82,24 @@ class _Chunks(dict):
     def _ids(self, run: str) -> bytes:
         return self[run[1:]] if self.lead and run[0] == self.lead and len(run) > 1 else self.runs[run]
 
+    def learn(self, chunks: set[str]) -> None:
+        """Encode in one call all runs that these chunks need and nobody knows."""
+        own, shared = {}, {}
+        for chunk in chunks:
+            text = self.lead + chunk
+            if not PLAIN_CHUNK.fullmatch(text):
+                continue
+            for run in CHUNK_RUNS.findall(text):
+                if run == text or self.lead and run[0] == self.lead and len(run) > 1:
+                    name = run[len(self.lead) :]
+                    if name not in self:
+                        own[name] = run
+                elif run not in self.runs:
+                    shared[run] = run
+        ids = self.runs.all_encoded([*own.values(), *shared.values()])
+        self.update(zip(own, ids))
+        self.runs.update(zip(shared, ids[len(own) :]))
+
     def __missing__(self, chunk: str) -> bytes:
         text = self.lead + chunk
         if PLAIN_CHUNK.fullmatch(text):
@@ -106,11 +127,27 @@ class PieceEncoder:
         self.runs = (_Words if word_ends else _Runs)(path)
         self.first, self.after = _Chunks(self.runs, ""), _Chunks(self.runs, " ")
 
+    def _unusual(self, text: str) -> bool:
+        marks = ("<|", "\x1c", "\x1d", "\x1e", "\x1f") if self.word_ends else ("<|", "  ")
+        return any(mark in text for mark in marks)
+
+    def _learn(self, texts: list[str | None]) -> None:
+        """Encode what the texts hold of unknown pieces together."""
+        firsts, rests = set(), set()
+        for text in texts:
+            if text and not self._unusual(text):
+                first, *rest = text.split(" ")
+                firsts.add(first)
+                rests.update(rest)
+        firsts.discard("")
+        rests.discard("")
+        self.after.learn(rests.difference(self.after))
+        self.first.learn(firsts.difference(self.first))
+
     def _one(self, text: str | None) -> bytes:
         if not text:
             return b""
-        unusual = ("<|", "\x1c", "\x1d", "\x1e", "\x1f") if self.word_ends else ("<|", "  ")
-        if any(mark in text for mark in unusual):
+        if self._unusual(text):
             return self.runs.whole(text)
         if self.word_ends:
             return b"".join(map(self.runs.__getitem__, text.split()))
@@ -130,6 +167,8 @@ class PieceEncoder:
         """Ids of each text; none for null."""
         if len(self.first) + len(self.after) + len(self.runs) > REMEMBERED_PIECES:
             self._forget()
+        if not self.word_ends:
+            self._learn(texts)
         return [self._one(text) for text in texts]
 
 
