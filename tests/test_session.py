@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfline.operators import gold
 from shelfline.plans.layers import layers
-from shelfline.session import fresh_path, settled, shared_folder
+from shelfline.session import fresh_path, shared_folder
 
 
 def test_shared_folder_comes_from_the_session(spark):
@@ -23,11 +23,6 @@ def test_a_cluster_must_name_its_shared_folder():
         shared_folder(session)
 
 
-def test_settled_rows_do_not_change(spark):
-    df = settled(spark.range(1000).withColumn("draw", F.rand()))
-    assert df.agg(F.sum("draw")).first() == df.agg(F.sum("draw")).first()
-
-
 def test_a_hot_product_is_split_at_the_join(spark):
     """With broadcasts off and a third of the lines on one product."""
     settings = {
