@@ -205,7 +205,7 @@ def _with_prefix(open_rows: DataFrame) -> DataFrame:
         key = F.xxhash64("prefix", F.lit(length))
         alike = sizes.groupBy(key.alias("shared")).agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > RANGE_BYTES).select("shared")
         alike = stored(alike, "prefixes")
-        if length >= longest or alike.isEmpty():
+        if length >= (longest or 0) or alike.isEmpty():
             return prefixed
         joined = prefixed.join(F.broadcast(alike), key == F.col("shared"), "left")
         longer = F.substring("text", 1, length * LONGER)
@@ -218,15 +218,10 @@ def masks(documents: DataFrame, part: str = "source") -> DataFrame:
     """doc_id, part, mask (bit of each failing filter), n (equal rows)."""
     chosen = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), "text")
     local = stored(chosen.mapInArrow(_decide_in_tasks, f"{SHARED}, head binary, text binary"), "tasks")
-    total = local.agg(F.sum(F.length("text"))).first()[0]
     decided = local.where("text IS NULL").select("doc_id", "part", "mask", "n")
-    if not total:
-        ranges = 1
-        dealt = local.where("text IS NOT NULL").coalesce(1)
-    else:
-        ranges = -(-total // RANGE_BYTES)
-        undecided = local.where("text IS NOT NULL").withColumn("bytes", F.length("text"))
-        dealt = _with_prefix(undecided).repartitionByRange(ranges, "prefix")
+    undecided = local.where("text IS NOT NULL").withColumn("bytes", F.length("text"))
+    total = undecided.agg(F.sum("bytes")).first()[0] or 0
+    dealt = _with_prefix(undecided).repartitionByRange(total // RANGE_BYTES + 1, "prefix")
     found = dealt.select("doc_id", "part", "mask", "n", "text").mapInArrow(_decide_in_range, SHARED)
     return stored(decided.union(found), "masks")
 
@@ -244,7 +239,10 @@ def _steps() -> list[tuple[str, int, int, int]]:
 
 
 def audit(document_masks: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per part, order of the filters and step; see `op11` for columns.
+    """One row per part, order of the filters and step, with the documents of
+    the part that are kept after the step, `removed` by it, failing but removed
+    before (`redundant`), failing nothing else (`unique_fails`), removed though
+    labelled good or toxic, and its filter's removals over all orders (`shapley`).
 
     Masks are counted first, so a part is at most 32 rows from then on. Labels
     meet rows without texts, and only those that some filter fails.
