@@ -15,7 +15,7 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def test_every_operator_is_registered():
-    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 11))
+    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 14))
     assert set(ORACLES) <= set(QUERIES) < set(driver.queries()) and "pipeline" in driver.queries()
 
 
