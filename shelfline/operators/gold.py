@@ -14,6 +14,8 @@ ON_TIME_DAYS = 3
 VALUE_TILES = 5
 # Rows before its own that the longest rolling measure looks at.
 ROLLING_REACH = 29
+# Rows back in its series that a day's growth is measured against.
+LAG_ROWS = 7
 
 
 def _distinct(name: str, approx: bool) -> Column:
@@ -48,7 +50,7 @@ def daily_sales_summary(
     rolled = with_rolling(daily_sales(fact, products, approx), month=products is not None)
     # At most one row per day in this window's groups.
     series = Window.partitionBy("region", "product_category").orderBy("sale_date")
-    return rolled.withColumn("revenue_7d_ago", F.lag("total_revenue", 7).over(series)).withColumn(
+    return rolled.withColumn("revenue_7d_ago", F.lag("total_revenue", LAG_ROWS).over(series)).withColumn(
         "wow_growth_pct", growth_percent(F.col("total_revenue"), F.col("revenue_7d_ago"))
     )
 

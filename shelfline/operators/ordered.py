@@ -32,13 +32,13 @@ def _before(keys: Sequence[str], *order: Column) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _joined(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
+def matched(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which NULL equals NULL; `right` brings its other columns."""
     renamed = right.withColumnsRenamed({name: f"_r_{name}" for name in names})
     condition = F.lit(True)
     for name in names:
         condition = condition & left[name].eqNullSafe(renamed[f"_r_{name}"])
-    return left.join(renamed, condition).drop(*(f"_r_{name}" for name in names))
+    return left.join(renamed, condition, how).drop(*(f"_r_{name}" for name in names))
 
 
 def _sorted(value: str, descending: bool) -> Column:
@@ -56,7 +56,7 @@ def value_levels(df: DataFrame, keys: Sequence[str], value: str, descending: boo
     bins = bins.withColumn("_bins_ahead", F.coalesce(F.sum("_bin_rows").over(_before(keys, _sorted("_bin", descending))), F.lit(0)))
     bins = bins.withColumn("_total", F.sum("_bin_rows").over(Window.partitionBy(*keys))).drop("_bin_rows")
     inside = F.coalesce(F.sum("_level_rows").over(_before([*keys, "_bin"], _sorted(value, descending))), F.lit(0))
-    placed = _joined(levels.withColumn("_inside", inside), bins, [*keys, "_bin"])
+    placed = matched(levels.withColumn("_inside", inside), bins, [*keys, "_bin"])
     return placed.select(*keys, value, (F.col("_inside") + F.col("_bins_ahead")).alias("_ahead"), "_total", *kept)
 
 
@@ -65,7 +65,7 @@ def with_rank(df: DataFrame, keys: Sequence[str], value: str, name: str, descend
     NULLs last. A value that many rows share is one row until the last join."""
     levels = value_levels(df, keys, value, descending)
     ranked = levels.select(*keys, value, (F.col("_ahead") + 1).cast("long").alias(name))
-    return _joined(df, ranked, [*keys, value]).select(*df.columns, name)
+    return matched(df, ranked, [*keys, value]).select(*df.columns, name)
 
 
 def _order_text(df: DataFrame, tie: str) -> Column:
@@ -92,7 +92,7 @@ def _tie_bin() -> Column:
 
 def tie_bins(keys: DataFrame, levels: DataFrame) -> DataFrame:
     """_v, _bin, `_bin_rows` and `_bins_ahead`, for the ties of every value."""
-    keyed = _joined(keys, levels, ["_v"]).withColumn("_bin", _tie_bin())
+    keyed = matched(keys, levels, ["_v"]).withColumn("_bin", _tie_bin())
     bins = keyed.groupBy("_v", "_bin").agg(F.count(F.lit(1)).alias("_bin_rows"))
     return bins.withColumn("_bins_ahead", F.coalesce(F.sum("_bin_rows").over(_before(["_v"], F.col("_bin").asc())), F.lit(0)))
 
@@ -121,7 +121,7 @@ def with_tiles(
     levels = tie_levels(keys, descending)
     bins = tie_bins(keys, levels).drop("_bin_rows")
     rows = df.withColumns({"_v": F.col(value), "_t": _order_text(df, tie)})
-    rows = _joined(_joined(rows, levels, ["_v"]).withColumn("_bin", _tie_bin()), bins, ["_v", "_bin"])
+    rows = matched(matched(rows, levels, ["_v"]).withColumn("_bin", _tie_bin()), bins, ["_v", "_bin"])
     inside = Window.partitionBy("_v", "_bin").orderBy("_t")
     placed = (
         rows.withColumn("_place", F.col("_ahead") + F.col("_bins_ahead") + F.row_number().over(inside) - 1)
@@ -160,7 +160,7 @@ def over_last_rows(
         per_day = df.groupBy(*keys, day).agg(F.count(F.lit(1)).alias("_rows"))
         days = per_day.withColumn("_days_ahead", F.coalesce(F.sum("_rows").over(_before(keys, F.col(day).asc_nulls_last())), F.lit(0)))
     within = Window.partitionBy(*keys, day).orderBy(*(F.col(name).asc_nulls_last() for name in rest or [day]))
-    numbered = _joined(df.withColumn("_number", F.row_number().over(within) - 1), days.drop("_rows"), [*keys, day])
+    numbered = matched(df.withColumn("_number", F.row_number().over(within) - 1), days.drop("_rows"), [*keys, day])
     numbered = numbered.withColumn("_place", F.col("_number") + F.col("_days_ahead"))
     own = F.floor(F.col("_place") / chunk_rows)
     lent = F.col("_place") % chunk_rows >= chunk_rows - reach

@@ -728,3 +728,5 @@ for _stored, _view in (
     ("catalog_state_map_feed", "state_map_feed"),
 ):
     ORACLES[_stored] = ORACLES[_view]
+
+ORACLES["incremental_daily_summary"] = ORACLES["daily_sales_summary"]
