@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,10 +16,10 @@ from shelfline.schemas import RAW_LINE, RAW_TRANSACTIONS, TEXT_LIMITS, UNREADABL
 RuleSet = Mapping[str, Column]
 
 
-def _result(rule: Column, table_name: str, failed: Column, total: Column) -> list[Column]:
+def _result(rule: Column, table_name: str | Column, failed: Column, total: Column) -> list[Column]:
     return [
         rule.alias("rule"),
-        F.lit(table_name).alias("table_name"),
+        (F.lit(table_name) if isinstance(table_name, str) else table_name).alias("table_name"),
         failed.cast("long").alias("failed_rows"),
         total.cast("long").alias("total_rows"),
         (failed == 0).alias("passed"),
@@ -121,6 +122,116 @@ def report(*results: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, results)
 
 
+@dataclass(frozen=True)
+class Checks:
+    """What a table is checked for: conditions of a bad row, keys that must not
+    repeat, and columns whose value must stand in a table of that key."""
+
+    table: str
+    frame: DataFrame
+    rules: RuleSet = field(default_factory=dict)
+    unique: Sequence[Sequence[str]] = ()
+    refers: Mapping[str, str] = field(default_factory=dict)
+
+
+# Rules whose outcomes one number holds, a bit each.
+MASK_RULES = 60
+Space = tuple[str | int, ...]
+
+
+def _entry(space: int, key: Column | None = None, mask: Column | None = None, refers: bool = False) -> Column:
+    return F.struct(
+        F.lit(space).alias("space"),
+        (F.lit(None).cast("string") if key is None else key).alias("key"),
+        (F.lit(0).cast("long") if mask is None else mask).alias("mask"),
+        F.lit(refers).alias("refers"),
+    )
+
+
+def _key(*names: str) -> Column:
+    """The key as one text; NULL only for one column that is NULL."""
+    if len(names) == 1:
+        return F.col(names[0]).cast("string")
+    return F.to_json(F.array(*(F.col(name).cast("string") for name in names)))
+
+
+def _masks(rules: Sequence[Column]) -> list[Column]:
+    """Bits of the rules a row breaks, in numbers of `MASK_RULES` each; one
+    number even without rules."""
+    masks = []
+    for first in range(0, max(len(rules), 1), MASK_RULES):
+        bits = [F.when(bad, F.lit(1 << n).cast("long")).otherwise(F.lit(0).cast("long")) for n, bad in enumerate(rules[first : first + MASK_RULES])]
+        masks.append(reduce(Column.bitwiseOR, bits, F.lit(0).cast("long")))
+    return masks
+
+
+def one_pass(tables: Sequence[Checks], balance: tuple[str, str, str] | None = None) -> DataFrame:
+    """All checks of all tables: each table is read once, and one grouping by
+    (what is counted, key) serves every key, from either side.
+
+    A row becomes one entry per key and one for the rules it breaks, as bits;
+    equal entries are summed before the shuffle, so only keys that differ
+    travel. The grouping tells repeated keys and keys without a parent, with no
+    join. `balance` names tables of which the first must hold as many rows as
+    the other two.
+    """
+    numbers: dict[Space, int] = {}
+
+    def numbered(*space: str | int) -> int:
+        return numbers.setdefault(space, len(numbers))
+
+    entries = []
+    for table in tables:
+        made = [_entry(numbered("rules", table.table, n), mask=mask) for n, mask in enumerate(_masks(list(table.rules.values())))]
+        made += [_entry(numbered("key", table.table, *keys), _key(*keys)) for keys in table.unique]
+        made += [_entry(numbered("key", parent, name), _key(name), refers=True) for name, parent in table.refers.items()]
+        entries.append(table.frame.select(F.explode(F.array(*made)).alias("_e")).select("_e.*"))
+    per_key = (
+        reduce(DataFrame.union, entries)
+        .groupBy("space", "key", "mask")
+        .agg(F.count(F.when(~F.col("refers"), 1)).alias("_own"), F.count(F.when(F.col("refers"), 1)).alias("_referring"))
+    )
+    bits = max(min(len(table.rules), MASK_RULES) for table in tables)
+    broken = [F.sum(F.when(F.col("mask").bitwiseAND(F.lit(1 << n)) != 0, F.col("_own"))).alias(f"broken_{n}") for n in range(bits)]
+    per_space = per_key.groupBy("space").agg(
+        F.sum("_own").alias("rows"),
+        F.sum(F.when(F.col("_own") > 1, F.col("_own"))).alias("repeated"),
+        F.sum("_referring").alias("referring"),
+        F.sum(F.when(F.col("key").isNotNull() & (F.col("_own") == 0), F.col("_referring"))).alias("orphans"),
+        *broken,
+    )
+    return _reported(per_space, tables, numbers, balance)
+
+
+def _reported(per_space: DataFrame, tables: Sequence[Checks], numbers: Mapping[Space, int], balance) -> DataFrame:
+    """The few counts side by side in one row, and a row per rule out of it."""
+    taken: dict[str, Column] = {}
+
+    def count(measure: str, *space: str | int) -> Column:
+        name = f"{measure}_of_{numbers[space]}"
+        here = F.when(F.col("space") == numbers[space], F.col(measure))
+        taken[name] = F.coalesce(F.sum(here), F.lit(0)).alias(name)
+        return F.col(name)
+
+    results = []
+    for table in tables:
+        name, total = table.table, count("rows", "rules", table.table, 0)
+        for n, rule in enumerate(table.rules):
+            results.append((rule, name, count(f"broken_{n % MASK_RULES}", "rules", name, n // MASK_RULES), total))
+        for keys in table.unique:
+            results.append(("unique:" + ",".join(keys), name, count("repeated", "key", name, *keys), total))
+        for key, parent in table.refers.items():
+            results.append((f"orphan:{parent}", name, count("orphans", "key", parent, key), count("referring", "key", parent, key)))
+    if balance is not None:
+        all_rows, kept, rejected = (count("rows", "rules", name, 0) for name in balance)
+        results.append(("reconcile:bronze", balance[1], F.abs(all_rows - kept - rejected), all_rows))
+    listed = F.array(
+        *(F.struct(F.lit(rule).alias("rule"), F.lit(table).alias("table"), bad.alias("bad"), total.alias("total")) for rule, table, bad, total in results)
+    )
+    row = per_space.agg(*taken.values()).select(F.explode(listed).alias("_r"))
+    return row.select(*_result(F.col("_r.rule"), F.col("_r.table"), F.col("_r.bad"), F.col("_r.total")))
+
+
 def sales_quality(
     bronze: DataFrame,
     fact: DataFrame,
@@ -128,22 +239,23 @@ def sales_quality(
     dimensions: Mapping[str, tuple[DataFrame, StructType | None, str]],
     fact_schema: StructType,
     date_formats: Sequence[str] = (ISO_DATE,),
+    others: Sequence[Checks] = (),
 ) -> DataFrame:
-    """The whole report. `dimensions` maps a table name to the frame, its
-    schema if it has required columns, and its key."""
+    """The whole report, in one pass over each table. `dimensions` maps a table
+    name to the frame, its schema if it has required columns, and its key."""
     lost = unreadable_rules(RAW_TRANSACTIONS) if UNREADABLE in bronze.columns else {}
     if RAW_LINE in bronze.columns:
         lost["ragged:line"] = F.col(RAW_LINE).isNotNull()
-    parts = [
-        row_rules(bronze, "raw_transactions", {**date_text_rules("order_date", "ship_date", date_formats=date_formats), **lost}),
-        unique_rule(bronze, "raw_transactions", ["row_id"]),
-        unique_rule(fact, "fact_sales", ["sale_id"]),
-        row_rules(fact, "fact_sales", fact_rules(fact_schema)),
-        reconcile_rule(bronze, fact, quarantined, "fact_sales"),
+    dates = date_text_rules("order_date", "ship_date", date_formats=date_formats)
+    refers = {key: name for name, (_, _, key) in dimensions.items()}
+    tables = [
+        Checks("raw_transactions", bronze, {**dates, **lost}, [["row_id"]]),
+        Checks("fact_sales", fact, fact_rules(fact_schema), [["sale_id"]], refers),
+        Checks("quarantined_sales", quarantined),
+        *(
+            Checks(name, frame, {} if schema is None else not_null_rules(schema), [[key]])
+            for name, (frame, schema, key) in dimensions.items()
+        ),
+        *others,
     ]
-    for name, (frame, schema, key) in dimensions.items():
-        if schema is not None:
-            parts.append(row_rules(frame, name, not_null_rules(schema)))
-        parts.append(unique_rule(frame, name, [key]))
-        parts.append(orphan_rule(fact, "fact_sales", key, frame, name))
-    return report(*parts)
+    return one_pass(tables, ("raw_transactions", "fact_sales", "quarantined_sales"))

@@ -52,6 +52,10 @@ class Layers:
     def warehouses(self) -> DataFrame:
         return self._stored("raw_warehouses", self.bronze.warehouses)
 
+    @property
+    def lines(self) -> DataFrame:
+        return self._stored("raw_transactions", self.bronze.transactions)
+
     @property
     def region_days(self) -> DataFrame:
         return self._stored("region_days", lambda: region_days(self.fact, self.products))

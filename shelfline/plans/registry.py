@@ -19,6 +19,7 @@ from shelfline.schemas import DIM_CUSTOMERS, DIM_PRODUCTS, FACT_SALES, RAW_CUSTO
 from shelfline.sources import catalog
 from shelfline.sources.csv_files import file_columns, ragged, read_csv
 from shelfline.streaming.daily import add_available, current
+from shelfline.streaming import gold_parts
 from shelfline.streaming.ingest import append_available, append_numbered, stream_csv
 
 REGIONS = ["ASIA", "EUROPE"]
@@ -307,20 +308,19 @@ def ltv_distribution(at: Layers) -> DataFrame:
 
 @_query
 def dq_report(at: Layers) -> DataFrame:
-    bronze = at.bronze.transactions()
-    whole = quality.sales_quality(
-        bronze,
+    report = quality.sales_quality(
+        at.lines,
         at.fact,
-        silver.quarantined_sales(bronze),
+        silver.quarantined_sales(at.lines),
         {
             "dim_customers": (at.customers, DIM_CUSTOMERS, "customer_id"),
             "dim_products": (at.products, DIM_PRODUCTS, "product_id"),
             "raw_warehouses": (at.warehouses, None, "warehouse_id"),
         },
         FACT_SALES,
+        others=[quality.Checks("lineitem", at.bronze.table("lineitem"), unique=[["l_orderkey", "l_linenumber"]])],
     )
-    source_key = quality.unique_rule(at.bronze.table("lineitem"), "lineitem", ["l_orderkey", "l_linenumber"])
-    return quality.report(whole, source_key).withColumn("passed", F.col("passed").cast("int"))
+    return report.withColumn("passed", F.col("passed").cast("int"))
 
 
 @_query
@@ -518,3 +518,15 @@ def stream_daily_revenue(at: Layers) -> DataFrame:
 @_query
 def stream_daily_users(at: Layers) -> DataFrame:
     return _daily_from_stream(at, "user_id").select("day", "event_type", "distinct_values")
+
+
+@_query
+def incremental_daily_summary(at: Layers) -> DataFrame:
+    """The daily summary kept up over three batches, each with lines of the
+    same days and orders, in no order of time."""
+    inbox, target, state = (at.scratch(name) for name in ("sales-inbox", "sales-parts", "sales-state"))
+    third = F.pmod(F.xxhash64("sale_id"), F.lit(3))
+    at.fact.repartitionByRange(3, third).write.parquet(inbox)
+    stream = at.spark.readStream.schema(at.fact.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    gold_parts.keep_up(stream, at.products, target, state).awaitTermination()
+    return gold_parts.summary(at.spark, target)

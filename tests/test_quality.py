@@ -83,3 +83,35 @@ def test_overlong_text_is_reported(spark):
     found = by_rule(quality.row_rules(fact, "f", quality.length_rules(FACT_SALES)))
     assert {rule for (_, rule), value in found.items() if not value[2]} == {"length:state_code"}
     assert found[("f", "length:state_code")] == (1, 3, False)
+
+
+def test_one_pass_equals_a_pass_per_rule(spark):
+    """Nulls, repeated and composite keys, keys with no parent, more rules than
+    one number holds, an empty table."""
+    lines = spark.createDataFrame(
+        [(1, "a", "x"), (1, "b", "x"), (2, None, "y"), (3, "c,d", None), (3, "c,d", None), (4, "null", "z")], "id int, kind string, parent string"
+    )
+    parents = spark.createDataFrame([("x",), ("x",), (None,), ("w",)], "parent string")
+    rules = {f"rule{n}": (lines.id * 7 + n) % 5 == 0 for n in range(130)}
+    empty = lines.where("false")
+    together = quality.one_pass(
+        [
+            quality.Checks("lines", lines, rules, [["id"], ["kind"], ["id", "kind"]], {"parent": "parents"}),
+            quality.Checks("parents", parents, unique=[["parent"]]),
+            quality.Checks("empty", empty, {"bad": empty.id > 0}, [["id"]], {"parent": "parents2"}),
+            quality.Checks("parents2", parents.where("false"), unique=[["parent"]]),
+        ],
+        ("lines", "parents", "parents2"),
+    )
+    apart = quality.report(
+        quality.row_rules(lines, "lines", rules),
+        *(quality.unique_rule(lines, "lines", keys) for keys in (["id"], ["kind"], ["id", "kind"])),
+        quality.orphan_rule(lines, "lines", "parent", parents, "parents"),
+        quality.unique_rule(parents, "parents", ["parent"]),
+        quality.row_rules(empty, "empty", {"bad": empty.id > 0}),
+        quality.unique_rule(empty, "empty", ["id"]),
+        quality.orphan_rule(empty, "empty", "parent", parents, "parents2"),
+        quality.unique_rule(parents.where("false"), "parents2", ["parent"]),
+        quality.reconcile_rule(lines, parents, empty, "parents"),
+    )
+    assert by_rule(together) == by_rule(apart)
