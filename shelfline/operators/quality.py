@@ -16,10 +16,10 @@ from shelfline.schemas import RAW_LINE, RAW_TRANSACTIONS, TEXT_LIMITS, UNREADABL
 RuleSet = Mapping[str, Column]
 
 
-def _result(rule: Column, table_name: str | Column, failed: Column, total: Column) -> list[Column]:
+def _result(rule: Column, table_name: str, failed: Column, total: Column) -> list[Column]:
     return [
         rule.alias("rule"),
-        (F.lit(table_name) if isinstance(table_name, str) else table_name).alias("table_name"),
+        F.lit(table_name).alias("table_name"),
         failed.cast("long").alias("failed_rows"),
         total.cast("long").alias("total_rows"),
         (failed == 0).alias("passed"),
@@ -139,29 +139,26 @@ MASK_RULES = 60
 Space = tuple[str | int, ...]
 
 
-def _entry(space: int, key: Column | None = None, mask: Column | None = None, refers: bool = False) -> Column:
-    return F.struct(
-        F.lit(space).alias("space"),
-        (F.lit(None).cast("string") if key is None else key).alias("key"),
-        (F.lit(0).cast("long") if mask is None else mask).alias("mask"),
-        F.lit(refers).alias("refers"),
-    )
+def _entry(space: int, key: str = "CAST(NULL AS STRING)", mask: str = "0L", refers: bool = False) -> str:
+    return f"named_struct('space', {space}, 'key', {key}, 'mask', {mask}, 'refers', {str(refers).lower()})"
 
 
 def _key(*names: str) -> Column:
-    """The key as one text; NULL only for one column that is NULL."""
-    if len(names) == 1:
-        return F.col(names[0]).cast("string")
-    return F.to_json(F.array(*(F.col(name).cast("string") for name in names)))
+    """The key as one text, its parts with their lengths; NULL only for one
+    column that is NULL."""
+    texts = [F.col(name).cast("string") for name in names]
+    if len(texts) == 1:
+        return texts[0]
+    return F.concat(*(F.coalesce(F.concat(F.char_length(text).cast("string"), F.lit(":"), text), F.lit("-")) for text in texts))
 
 
-def _masks(rules: Sequence[Column]) -> list[Column]:
+def _masks(rules: int) -> list[str]:
     """Bits of the rules a row breaks, in numbers of `MASK_RULES` each; one
     number even without rules."""
     masks = []
-    for first in range(0, max(len(rules), 1), MASK_RULES):
-        bits = [F.when(bad, F.lit(1 << n).cast("long")).otherwise(F.lit(0).cast("long")) for n, bad in enumerate(rules[first : first + MASK_RULES])]
-        masks.append(reduce(Column.bitwiseOR, bits, F.lit(0).cast("long")))
+    for first in range(0, max(rules, 1), MASK_RULES):
+        bits = [f"IF(_bad_{n}, {1 << n - first}L, 0L)" for n in range(first, min(first + MASK_RULES, rules))]
+        masks.append(" | ".join(["0L", *bits]))
     return masks
 
 
@@ -182,36 +179,39 @@ def one_pass(tables: Sequence[Checks], balance: tuple[str, str, str] | None = No
 
     entries = []
     for table in tables:
-        made = [_entry(numbered("rules", table.table, n), mask=mask) for n, mask in enumerate(_masks(list(table.rules.values())))]
-        made += [_entry(numbered("key", table.table, *keys), _key(*keys)) for keys in table.unique]
-        made += [_entry(numbered("key", parent, name), _key(name), refers=True) for name, parent in table.refers.items()]
-        entries.append(table.frame.select(F.explode(F.array(*made)).alias("_e")).select("_e.*"))
-    per_key = (
-        reduce(DataFrame.union, entries)
-        .groupBy("space", "key", "mask")
-        .agg(F.count(F.when(~F.col("refers"), 1)).alias("_own"), F.count(F.when(F.col("refers"), 1)).alias("_referring"))
+        bad = [rule.alias(f"_bad_{n}") for n, rule in enumerate(table.rules.values())]
+        keys = [_key(*names).alias(f"_unique_{n}") for n, names in enumerate(table.unique)]
+        parents = [_key(name).alias(f"_refers_{n}") for n, name in enumerate(table.refers)]
+        made = [_entry(numbered("rules", table.table, n), mask=mask) for n, mask in enumerate(_masks(len(bad)))]
+        made += [_entry(numbered("key", table.table, *names), f"_unique_{n}") for n, names in enumerate(table.unique)]
+        made += [_entry(numbered("key", parent, name), f"_refers_{n}", refers=True) for n, (name, parent) in enumerate(table.refers.items())]
+        entries.append(table.frame.select(*bad, *keys, *parents).selectExpr(f"inline(array({', '.join(made)}))"))
+    per_key = reduce(DataFrame.union, entries).groupBy("space", "key", "mask").agg(
+        F.expr("count_if(NOT refers) AS _own"), F.expr("count_if(refers) AS _referring")
     )
     bits = max(min(len(table.rules), MASK_RULES) for table in tables)
-    broken = [F.sum(F.when(F.col("mask").bitwiseAND(F.lit(1 << n)) != 0, F.col("_own"))).alias(f"broken_{n}") for n in range(bits)]
     per_space = per_key.groupBy("space").agg(
-        F.sum("_own").alias("rows"),
-        F.sum(F.when(F.col("_own") > 1, F.col("_own"))).alias("repeated"),
-        F.sum("_referring").alias("referring"),
-        F.sum(F.when(F.col("key").isNotNull() & (F.col("_own") == 0), F.col("_referring"))).alias("orphans"),
-        *broken,
+        F.expr("sum(_own) AS rows"),
+        F.expr("sum(IF(_own > 1, _own, 0L)) AS repeated"),
+        F.expr("sum(_referring) AS referring"),
+        F.expr("sum(IF(key IS NOT NULL AND _own = 0, _referring, 0L)) AS orphans"),
+        *(F.expr(f"sum(IF(mask & {1 << n}L != 0L, _own, 0L)) AS broken_{n}") for n in range(bits)),
     )
     return _reported(per_space, tables, numbers, balance)
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _reported(per_space: DataFrame, tables: Sequence[Checks], numbers: Mapping[Space, int], balance) -> DataFrame:
     """The few counts side by side in one row, and a row per rule out of it."""
-    taken: dict[str, Column] = {}
+    taken: dict[str, str] = {}
 
-    def count(measure: str, *space: str | int) -> Column:
+    def count(measure: str, *space: str | int) -> str:
         name = f"{measure}_of_{numbers[space]}"
-        here = F.when(F.col("space") == numbers[space], F.col(measure))
-        taken[name] = F.coalesce(F.sum(here), F.lit(0)).alias(name)
-        return F.col(name)
+        taken[name] = f"coalesce(sum(IF(space = {numbers[space]}, {measure}, 0L)), 0L) AS {name}"
+        return name
 
     results = []
     for table in tables:
@@ -224,12 +224,13 @@ def _reported(per_space: DataFrame, tables: Sequence[Checks], numbers: Mapping[S
             results.append((f"orphan:{parent}", name, count("orphans", "key", parent, key), count("referring", "key", parent, key)))
     if balance is not None:
         all_rows, kept, rejected = (count("rows", "rules", name, 0) for name in balance)
-        results.append(("reconcile:bronze", balance[1], F.abs(all_rows - kept - rejected), all_rows))
-    listed = F.array(
-        *(F.struct(F.lit(rule).alias("rule"), F.lit(table).alias("table"), bad.alias("bad"), total.alias("total")) for rule, table, bad, total in results)
+        results.append(("reconcile:bronze", balance[1], f"abs({all_rows} - {kept} - {rejected})", all_rows))
+    listed = ", ".join(
+        f"named_struct('rule', {_text(rule)}, 'table_name', {_text(table)}, 'failed_rows', {bad}, 'total_rows', {total})"
+        for rule, table, bad, total in results
     )
-    row = per_space.agg(*taken.values()).select(F.explode(listed).alias("_r"))
-    return row.select(*_result(F.col("_r.rule"), F.col("_r.table"), F.col("_r.bad"), F.col("_r.total")))
+    counts = per_space.agg(*(F.expr(text) for text in taken.values())).selectExpr(f"inline(array({listed}))")
+    return counts.withColumn("passed", F.col("failed_rows") == 0)
 
 
 def sales_quality(
