@@ -13,7 +13,7 @@ import re
 from array import array
 
 import numpy as np
-from tokenizers import Tokenizer, pre_tokenizers
+from tokenizers import Tokenizer
 
 REMEMBERED_PIECES = 900_000
 KEPT_LENGTH = 6
@@ -28,21 +28,26 @@ PLAIN_CHUNK = re.compile(f" ?[!-&(-~{LETTERS}]+(?:\n[!-&(-~{LETTERS}]+)*\n?")
 CHUNK_RUNS = re.compile(f" ?[{LETTERS}]+| ?[0-9]+|\n| ?[^{LETTERS}0-9\n ]+")
 
 
+# Byte-level vocabularies write the bytes that are no visible Latin-1 character
+# as the characters from 256 on.
+VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARACTERS = {byte: 256 + n for n, byte in enumerate(b for b in range(256) if b not in VISIBLE)}
+
+
 class _Runs(dict):
     """Ids of a run. A run is one word to the tokenizer, already in its form,
-    so what rewrites and splits texts is left out for it."""
+    so it goes to the tokenizer's model at once, written as the vocabulary
+    writes bytes; what rewrites and splits texts is left out for it."""
 
     def __init__(self, path: str):
-        self.path, self.bare = path, Tokenizer.from_file(path)
-        self.bare.normalizer = None
-        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-
-    @functools.cached_property
-    def tokenizer(self) -> Tokenizer:
-        return Tokenizer.from_file(self.path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
 
     def encoded(self, run: str) -> bytes:
-        return _packed(self.bare.encode_batch_fast([run], add_special_tokens=False)[0].ids)
+        return self.of_written(run.encode().decode("latin-1").translate(BYTE_CHARACTERS))
+
+    def of_written(self, written: str) -> bytes:
+        return array("I", [token.id for token in self.model.tokenize(written)]).tobytes()
 
     def whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -75,13 +80,16 @@ class _Chunks(dict):
 
     def __init__(self, runs: _Runs, lead: str):
         self.runs, self.lead = runs, lead
+        self.mark = lead.translate(BYTE_CHARACTERS)
 
     def _ids(self, run: str) -> bytes:
         return self[run[1:]] if self.lead and run[0] == self.lead and len(run) > 1 else self.runs[run]
 
     def __missing__(self, chunk: str) -> bytes:
         text = self.lead + chunk
-        if PLAIN_CHUNK.fullmatch(text):
+        if chunk.isascii() and chunk.isalpha():
+            ids = self.runs.of_written(self.mark + chunk)
+        elif PLAIN_CHUNK.fullmatch(text):
             cut = CHUNK_RUNS.findall(text)
             ids = self.runs.encoded(text) if cut == [text] else b"".join(map(self._ids, cut))
         else:
