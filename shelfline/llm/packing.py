@@ -7,12 +7,15 @@ is a sequence of its own; the others are packed.
 Pieces are dealt into blocks of bounded size. On each block several islands
 breed solutions of their own: a child takes whole well-filled bins from one
 parent, the other parent's bins that share a document with them are taken
-apart, and the displaced documents are put where they fit best, largest first.
-Islands are tasks of one shuffle; between epochs each gets the best solution of
-its neighbour. Of the best island's solution the full bins stay, and the
-documents of the others go on to the next round, in fewer blocks, until one
-block holds all of them or a round settles less than a fifth. So no task's
-work grows with the corpus.
+apart, displaced documents take the places of smaller ones that leave more room
+than they need, and what is displaced then is put where it fits best, largest
+first. Islands are tasks of one shuffle; between epochs each gets the best
+solution of its neighbour. Of the best island's solution the full bins stay,
+and the documents of the others go on to the next round, in fewer blocks, until
+one block holds all of them. Once a round settles less than a fifth (sizes of
+which no full bin can be made), the better filled of a block's bins stay, too.
+So the open bins of all blocks meet at the end, and no task's work grows with
+the corpus.
 
 Null and empty texts have only the end id. Rows with a null or repeated doc_id
 are packed like any other. Only doc_id and text are read.
@@ -22,7 +25,9 @@ from __future__ import annotations
 
 import random
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +44,8 @@ EPOCHS = 2
 POPULATION = 4
 CHILDREN = 6
 FULL = 0.995
+OPEN_PART = 0.25  # of a block's bins, the worst filled, once few are full
+PAIRED = 8  # items of a bin that are tried in pairs
 
 Bins = list[list[int]]
 
@@ -81,6 +88,43 @@ def fitness(sizes: list[int], capacity: int, bins: Bins) -> tuple[int, float]:
     return -len(bins), sum((sum(sizes[i] for i in items) / capacity) ** 2 for items in bins)
 
 
+def least_bins(sizes: list[int], capacity: int) -> int:
+    """Bins that no packing can do without: for every `small`, items over half
+    a bin need one each, and those from `small` to half a bin must fit beside
+    the ones that leave room for `small`."""
+    half = capacity // 2
+    many = np.bincount(sizes, minlength=capacity + 1)
+    number, total = np.cumsum(many), np.cumsum(many * np.arange(capacity + 1))
+    small = np.arange(1, half + 1)
+    over_half = number[capacity] - number[half]
+    roomy = number[capacity - small] - number[half]
+    free = roomy * capacity - (total[capacity - small] - total[half])
+    short = np.maximum(0, total[half] - total[small - 1] - free)
+    return int(over_half + np.max(-(-short // capacity), initial=0))
+
+
+def exchanged(sizes: list[int], capacity: int, bins: Bins, displaced: list[int]) -> list[int]:
+    """Displaced items put into `bins` in place of one or two smaller ones that
+    leave a bin less filled; returns what is displaced then."""
+    waiting = sorted((sizes[i], i) for i in displaced)
+    for items in bins:
+        room = capacity - sum(sizes[i] for i in items)
+        if not room or not waiting:
+            continue
+        swaps = [(sizes[i], (i,)) for i in items] + [(sizes[i] + sizes[j], (i, j)) for i, j in combinations(items[:PAIRED], 2)]
+        gain, at, given = 0, 0, ()
+        for size, held in swaps:
+            place = bisect_right(waiting, (size + room, len(sizes))) - 1
+            if place >= 0 and waiting[place][0] - size > gain:
+                gain, at, given = waiting[place][0] - size, place, held
+        if gain:
+            items.append(waiting.pop(at)[1])
+            for item in given:
+                items.remove(item)
+                insort(waiting, (sizes[item], item))
+    return [item for _, item in waiting]
+
+
 def crossover(sizes: list[int], capacity: int, one: Bins, other: Bins, rng: random.Random) -> Bins:
     """`one` with well-filled bins of `other` put in whole."""
     filled = sorted(other, key=lambda items: -sum(sizes[i] for i in items))
@@ -93,6 +137,8 @@ def crossover(sizes: list[int], capacity: int, one: Bins, other: Bins, rng: rand
             kept.append(list(items))
         else:
             displaced += [i for i in items if i not in moved]
+    rng.shuffle(kept)
+    displaced = exchanged(sizes, capacity, kept, displaced)
     return Filling(sizes, capacity, injected + kept).place(displaced)
 
 
@@ -101,7 +147,9 @@ def mutated(sizes: list[int], capacity: int, bins: Bins, rng: random.Random) ->
     order = sorted(range(len(bins)), key=lambda n: sum(sizes[i] for i in bins[n]))
     chosen = {order[0], *rng.sample(range(len(bins)), min(len(bins), 1 + len(bins) // 20))}
     kept = [list(items) for n, items in enumerate(bins) if n not in chosen]
-    return Filling(sizes, capacity, kept).place([i for n in chosen for i in bins[n]])
+    rng.shuffle(kept)
+    displaced = exchanged(sizes, capacity, kept, [i for n in chosen for i in bins[n]])
+    return Filling(sizes, capacity, kept).place(displaced)
 
 
 def evolve(sizes: list[int], capacity: int, elites: list[Bins], seed: int) -> Bins:
@@ -111,7 +159,7 @@ def evolve(sizes: list[int], capacity: int, elites: list[Bins], seed: int) -> Bi
     population = [*elites]
     if not elites:
         population.append(Filling(sizes, capacity, []).place(everything))
-    least = -(-sum(sizes) // capacity)
+    least = least_bins(sizes, capacity)
     while len(population) < POPULATION:
         some = rng.sample(everything, len(everything) // 2)
         first = Filling(sizes, capacity, []).place(some)
@@ -163,8 +211,9 @@ def _as_bins(number: np.ndarray) -> Bins:
     return [part.tolist() for part in np.split(order, np.flatnonzero(np.diff(number[order])) + 1)]
 
 
-def _placed(best: DataFrame, capacity: int, last: bool) -> DataFrame:
-    """item_id, size, settled, sequence within the block, offset."""
+def _placed(best: DataFrame, capacity: int, open_part: float) -> DataFrame:
+    """item_id, size, settled, sequence within the block, offset. At most
+    `open_part` of a block's bins are not settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,7 +226,9 @@ def _placed(best: DataFrame, capacity: int, last: bool) -> DataFrame:
                 before = (ends - sizes[order])[firsts]
                 offsets = ends - sizes[order] - np.repeat(before, np.diff(np.append(firsts, len(order))))
                 fill = np.bincount(number, sizes)
-                settled = (fill >= FULL * capacity)[number[order]] | last
+                stay = fill >= FULL * capacity
+                stay[np.argsort(fill, kind="stable")[int(open_part * len(fill)) :]] = True
+                settled = stay[number[order]]
                 columns = [items[order], sizes[order], settled, np.full(len(order), row["block"]), number[order].astype(np.int64), offsets]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["item_id", "size", "settled", "block", "bin", "offset"])
 
@@ -186,13 +237,14 @@ def _placed(best: DataFrame, capacity: int, last: bool) -> DataFrame:
 
 def pack_items(items: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """item_id, sequence_id, offset for `items` (item_id unique, size)."""
-    done, rounds, before = [], 0, None
+    done, rounds, before, open_part = [], 0, None, 1.0
     left = items.select("item_id", F.col("size").cast("long").alias("size"))
     while True:
         count = left.count()
         blocks = -(-count // block_items)
-        # Few that were left found a place in the last round: what remains is large.
-        last = blocks <= 1 or (before is not None and 5 * count > 4 * before)
+        if before is not None and 5 * count > 4 * before:
+            open_part = OPEN_PART
+        last = blocks <= 1
         dealt = left.withColumn("block", F.pmod(F.xxhash64("item_id", F.lit(rounds)), F.lit(max(1, blocks))))
         islands = F.explode(F.array(*(F.lit(i) for i in range(ISLANDS)))).alias("island")
         state = _islands(dealt.select("*", islands), capacity, 0)
@@ -201,7 +253,7 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, block_items: int = BL
             migrants = state.withColumn("island", (F.col("island") + 1) % ISLANDS)
             state = _islands(state.union(migrants), capacity, epoch)
         best = state.groupBy("block").agg(F.max_by(F.struct("items", "sizes", "bins"), F.struct("fewer", "filled")).alias("s"))
-        placed = stored(_placed(best.select("block", "s.*"), capacity, last), "placed")
+        placed = stored(_placed(best.select("block", "s.*"), capacity, 0.0 if last else open_part), "placed")
         sequence = F.lit(rounds << 55) + F.col("block") * (1 << 20) + F.col("bin")
         done.append(placed.where("settled").select("item_id", sequence.alias("sequence_id"), "offset"))
         if last:

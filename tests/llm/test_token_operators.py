@@ -122,6 +122,65 @@ def test_large_items_end_the_rounds(spark):
     assert placed.select("sequence_id").distinct().count() == placed.count() == 500
 
 
+def plain_best_fit(sizes, capacity):
+    rooms = []
+    for size in sorted(sizes, reverse=True):
+        fitting = [n for n, room in enumerate(rooms) if room >= size]
+        best = min(fitting, key=rooms.__getitem__, default=None)
+        if best is None:
+            rooms.append(capacity - size)
+        else:
+            rooms[best] -= size
+    return len(rooms)
+
+
+def fewest(sizes, capacity):
+    """By trying every bin for every item."""
+    best = len(sizes)
+
+    def put(at, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if at == len(sizes):
+            best = len(rooms)
+            return
+        for n, room in enumerate(rooms):
+            if room >= sizes[at]:
+                put(at + 1, [*rooms[:n], room - sizes[at], *rooms[n + 1 :]])
+        put(at + 1, [*rooms, capacity - sizes[at]])
+
+    put(0, [])
+    return best
+
+
+def test_bound_is_never_above_the_fewest_bins():
+    rng = random.Random(2)
+    for _ in range(200):
+        sizes = [rng.randrange(1, 21) for _ in range(rng.randrange(1, 8))]
+        assert -(-sum(sizes) // 20) <= packing.least_bins(sizes, 20) <= fewest(sizes, 20)
+
+
+@pytest.mark.parametrize("block_items", [2048, 150])
+def test_breeding_beats_plain_best_fit(spark, block_items):
+    rng = random.Random(7)
+    sizes = [rng.randrange(200, 421) for _ in range(600)]
+    items = spark.createDataFrame(list(enumerate(sizes)), "item_id long, size long")
+    placed = packing.pack_items(items, 1024, block_items).collect()
+    filled = defaultdict(int)
+    for row in placed:
+        filled[row.sequence_id] += sizes[row.item_id]
+    assert sorted(row.item_id for row in placed) == list(range(600)) and max(filled.values()) <= 1024
+    assert len(filled) < plain_best_fit(sizes, 1024)
+
+
+def test_open_bins_of_all_blocks_meet(spark):
+    # Two items of 400 to 420 to a sequence, so no bin is ever full; at most one sequence holds a single one.
+    items = spark.range(999).selectExpr("id AS item_id", "400 + id % 21 AS size")
+    placed = packing.pack_items(items, 1024, 63)
+    assert placed.count() == 999 and placed.select("sequence_id").distinct().count() == 500
+
+
 def test_children_keep_every_item():
     rng = random.Random(4)
     sizes = [rng.randrange(1, 1024) for _ in range(300)]
