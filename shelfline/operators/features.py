@@ -21,6 +21,11 @@ def customer_features(fact: DataFrame, customers: DataFrame) -> DataFrame:
         F.min("sale_date").alias("first_purchase"),
         F.max("sale_date").alias("last_purchase"),
     )
+    return customer_profiles(per_customer, customers)
+
+
+def customer_profiles(per_customer: DataFrame, customers: DataFrame) -> DataFrame:
+    """Sums per customer with the customer's attributes and what follows from the sums."""
     profile = customers.select("customer_id", "customer_name", "segment", "region", "loyalty_tier")
     tenure = F.datediff("last_purchase", "first_purchase")
     frequency = F.when(tenure > 0, F.col("total_orders") / tenure * FREQUENCY_DAYS).otherwise(F.lit(0.0))
@@ -65,6 +70,11 @@ def product_features(fact: DataFrame, products: DataFrame) -> DataFrame:
         exact_avg("unit_price").alias("avg_selling_price"),
         exact_avg("discount_pct").alias("avg_discount_rate"),
     )
+    return product_profiles(per_product, products)
+
+
+def product_profiles(per_product: DataFrame, products: DataFrame) -> DataFrame:
+    """Sums per product with the product's attributes and its margin."""
     profile = products.select("product_id", "product_name", "product_category", "product_subcategory")
     revenue = F.col("total_revenue")
     margin = F.when(revenue > 0, percent(F.col("total_profit"), revenue)).otherwise(F.lit(0.0))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfline.functions.money import as_report
-from shelfline.operators import dimensions, features, gold, lookback, quality, silver, sketches
+from shelfline.operators import colocated, dimensions, features, gold, lookback, quality, silver, sketches
 from shelfline.plans import dashboard, trends
 from shelfline.plans.layers import Layers, layers
 from shelfline.plans.batch import append_bronze, load_bronze, publish_gold, register_views, run_all
@@ -388,6 +388,36 @@ def catalog_state_map_feed(at: Layers) -> DataFrame:
     return dashboard.state_map_feed(at.spark.table(f"{names['gold']}.regional_sales"))
 
 
+_COLOCATED: dict[str, str] = {}
+
+
+def _colocated(at: Layers) -> str:
+    """The database of the bucketed dimensions and sums, the lines of each
+    source added in two loads."""
+    if at.home not in _COLOCATED:
+        home = at.scratch("colocated")
+        name = f"colocated_{home.rsplit('-', 1)[1]}"
+        catalog.create_layers(at.spark, [name], home)
+        colocated.create(name, at.customers, at.products)
+        late = F.col("order_id").cast("long") % 3 == 0
+        for load in (at.fact.where(~late), at.fact.where(late)):
+            colocated.add_lines(name, load)
+        _COLOCATED[at.home] = name
+    return _COLOCATED[at.home]
+
+
+@_query
+def customer_features_colocated(at: Layers) -> DataFrame:
+    name = _colocated(at)
+    return colocated.customer_features(at.spark.table(f"{name}.customer_months"), at.spark.table(f"{name}.customers_by_id"))
+
+
+@_query
+def product_features_colocated(at: Layers) -> DataFrame:
+    name = _colocated(at)
+    return colocated.product_features(at.spark.table(f"{name}.product_months"), at.spark.table(f"{name}.products_by_id"))
+
+
 @_query
 def bronze_loads(at: Layers) -> DataFrame:
     """Lines loaded in two loads, the second tried twice, and the ids each got."""

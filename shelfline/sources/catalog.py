@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -147,6 +147,21 @@ def append_table(df: DataFrame, name: str) -> None:
     df.write.mode("append").format("parquet").saveAsTable(name)
 
 
+def _bucketed(df: DataFrame, key: str, buckets: int) -> DataFrameWriter:
+    # Dealt as the buckets are, so that a write makes one file per bucket.
+    return df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key)
+
+
+def append_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> None:
+    """Add `df` to a table whose rows lie in `buckets` by the hash of `key`."""
+    _bucketed(df, key, buckets).mode("append").saveAsTable(name)
+
+
+def overwrite_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> None:
+    """Replace a bucketed table; not for tables that are read meanwhile."""
+    _bucketed(df, key, buckets).mode("overwrite").saveAsTable(name)
+
+
 def inventory(tables: Mapping[tuple[str, str], DataFrame]) -> DataFrame:
     """Row count per (schema, table); parquet answers from its footers."""
     counts = [

@@ -373,6 +373,9 @@ SELECT product_id, product_name, product_category, product_subcategory, total_or
 FROM sums JOIN products USING (product_id)""",
 )
 
+for _name in ("customer_features", "product_features"):
+    ORACLES[f"{_name}_colocated"] = ORACLES[_name]
+
 # --- dashboard feeds ------------------------------------------------------
 
 ORACLES["region_domain"] = _with(*_SUMMARY, select="SELECT DISTINCT region FROM daily ORDER BY region")
