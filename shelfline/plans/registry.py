@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfline.functions.money import as_report
-from shelfline.operators import colocated, dimensions, features, gold, lookback, quality, silver, sketches
+from shelfline.operators import cohorts, colocated, dimensions, features, gold, lookback, quality, silver, sketches
 from shelfline.plans import dashboard, trends
 from shelfline.plans.layers import Layers, layers
 from shelfline.plans.batch import append_bronze, load_bronze, publish_gold, register_views, run_all
@@ -388,6 +388,35 @@ def catalog_state_map_feed(at: Layers) -> DataFrame:
     return dashboard.state_map_feed(at.spark.table(f"{names['gold']}.regional_sales"))
 
 
+_BITMAPS: dict[str, str] = {}
+
+
+def _bitmaps(at: Layers) -> str:
+    """The folder of the bitmaps of customers per month, the lines of each
+    source added in two loads, the second of them twice."""
+    if at.home not in _BITMAPS:
+        home = at.scratch("cohorts")
+        late = F.col("order_id").cast("long") % 3 == 0
+        cohorts.add_lines(home, at.fact.where(~late), "first")
+        for _ in range(2):
+            cohorts.add_lines(home, at.fact.where(late), "second")
+        _BITMAPS[at.home] = home
+    return _BITMAPS[at.home]
+
+
+@_query
+def cohort_retention_bitmaps(at: Layers) -> DataFrame:
+    return cohorts.retention(cohorts.active_customers(at.spark, _bitmaps(at)))
+
+
+@_query
+def cohort_retention_by_segment(at: Layers) -> DataFrame:
+    """A cut by a customer attribute that reads no line."""
+    home = _bitmaps(at)
+    chosen = cohorts.members(at.customers, cohorts.customer_numbers(at.spark, home), "segment")
+    return cohorts.retention(cohorts.among(cohorts.active_customers(at.spark, home), chosen, "segment"), ["segment"])
+
+
 _COLOCATED: dict[str, str] = {}
 
 

@@ -561,6 +561,30 @@ SELECT cohort_month, month_offset, active_customers, cohort_size,
 FROM offsets JOIN sizes USING (cohort_month)""",
 )
 
+ORACLES["cohort_retention_bitmaps"] = ORACLES["cohort_retention"]
+
+ORACLES["cohort_retention_by_segment"] = _with(
+    _LINES,
+    _CUSTOMERS,
+    """
+active AS (
+  SELECT DISTINCT customers.segment, customer_id, CAST(date_trunc('month', sale_date) AS DATE) AS month
+  FROM fact JOIN customers USING (customer_id)
+),
+cohorts AS (SELECT customer_id, min(month) AS cohort_month FROM active GROUP BY customer_id),
+offsets AS (
+  SELECT segment, cohort_month,
+         CAST(12 * (year(month) - year(cohort_month)) + month(month) - month(cohort_month) AS INT) AS month_offset,
+         count(DISTINCT customer_id) AS active_customers
+  FROM active JOIN cohorts USING (customer_id) GROUP BY 1, 2, 3
+),
+sizes AS (SELECT segment, cohort_month, active_customers AS cohort_size FROM offsets WHERE month_offset = 0)""",
+    select="""
+SELECT segment, cohort_month, month_offset, active_customers, cohort_size,
+       round(active_customers * CAST(100 AS DOUBLE) / cohort_size, 2) AS retention_pct
+FROM offsets JOIN sizes USING (segment, cohort_month)""",
+)
+
 ORACLES["ltv_distribution"] = _with(
     _LINES,
     _PRODUCTS,
