@@ -17,8 +17,10 @@ shares at least `n - q + 1 - q * limit` word q-grams with the item, on
 diagonals no further apart than the limit, so places with fewer are left out
 without loss.
 
-Items are held in every task in blocks of bounded size (`BLOCK_BYTES`); with
-more items the documents are read once per block.
+Items are held in every task in blocks of bounded size (`BLOCK_BYTES`). With
+more items the documents' texts are read once per block, one block after the
+other: what a block finds is written under the digest of the text, and the
+documents meet these few digests at the end.
 
 Defined cases: null and empty texts leak nothing, and neither do items without
 words; rows without doc_id or that repeat one are judged each; items that
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.llm.text import TO_WORDS, mixed, small, texts
+from shelfline.llm.text import TO_WORDS, mixed, small, stored, texts
 
 EDITS = 0.2
 SAMPLED = 3
@@ -199,21 +201,38 @@ def _scanned(documents: DataFrame, items: list[tuple[int, str]], edits: float, c
     return documents.mapInArrow(run, f"{schema}, `{column}` array<struct<item_id:long,start:long,end:long,distance:long>>")
 
 
+def _free(name: str, documents: DataFrame) -> str:
+    while name.lower() in {taken.lower() for taken in documents.columns}:
+        name += "_"
+    return name
+
+
 def with_leaks(documents: DataFrame, benchmark: DataFrame, column: str, edits: float = EDITS, recall: float = RECALL) -> DataFrame:
     """`documents` with an array column of the items each one leaks: item_id,
     first and one past the last word of the nearest stretch, its distance."""
     texts_of = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL AND item_id IS NOT NULL")
     size = texts_of.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_BYTES))
-    scanned, names = documents, []
-    for block in range(blocks):
+
+    def items(block: int) -> list[tuple[int, str]]:
         mine = texts_of.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        items = sorted((row.item_id, row.text) for row in mine.collect())  # at most about BLOCK_BYTES
-        names.append(f"{column}_{block}" if blocks > 1 else column)
-        scanned = _scanned(scanned, items, edits, walks(recall), names[-1])
-    if blocks > 1:
-        scanned = scanned.select(*documents.columns, F.concat(*names).alias(column))
-    return scanned
+        return sorted((row.item_id, row.text) for row in mine.collect())  # at most about BLOCK_BYTES
+
+    if blocks == 1:
+        return _scanned(documents, items(0), edits, walks(recall), column)
+    found = None
+    for block in range(blocks):
+        scanned = _scanned(documents.select("text"), items(block), edits, walks(recall), "leaks").where(F.size("leaks") > 0)
+        mine = stored(scanned.select(F.sha2("text", 256).alias("digest"), F.inline("leaks")).distinct(), "leaks")
+        found = mine if found is None else found.union(mine)
+    # Texts of one item may stand in several blocks; the nearest counts.
+    nearest = found.groupBy("digest", "item_id").agg(F.min(F.struct("distance", "start", "end")).alias("to"))
+    leak = F.struct("item_id", "to.start", "to.end", "to.distance")
+    key = _free("digest", documents)
+    lists = nearest.groupBy(F.col("digest").alias(key)).agg(F.array_sort(F.collect_list(leak)).alias(column))
+    none = F.lit([]).cast("array<struct<item_id:long,start:long,end:long,distance:long>>")
+    joined = documents.withColumn(key, F.sha2("text", 256)).join(lists, key, "left")
+    return joined.select(*documents.columns, F.coalesce(column, none).alias(column))
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, edits: float = EDITS, recall: float = RECALL) -> DataFrame:
@@ -225,8 +244,6 @@ def leaks(documents: DataFrame, benchmark: DataFrame, edits: float = EDITS, reca
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, edits: float = EDITS, recall: float = RECALL) -> DataFrame:
     """The rows of `documents` that leak no item, with their own columns."""
-    column = "leaks"
-    while column in {name.lower() for name in documents.columns}:
-        column += "_"
+    column = _free("leaks", documents)
     found = with_leaks(documents, benchmark, column, edits, recall)
     return found.where(F.size(column) == 0).drop(column)

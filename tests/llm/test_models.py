@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 from llm import cases
+from pyspark.sql import functions as F
 
 from shelfline.llm import decontamination, quality_classifier
 
@@ -120,8 +121,14 @@ def test_clean_documents_stay_whole(spark, monkeypatch):
     kept = decontamination.without_leaks(frame, benchmark)
     assert kept.columns == frame.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(doc) for doc, _ in docs if doc not in leaking)
-    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 600)  # items in several blocks
-    assert {r.doc_id for r in decontamination.leaks(frame, benchmark).collect()} == leaking
+    # Items in several blocks, two texts of one item among them.
+    benchmark = benchmark.withColumn("item_id", F.when(F.col("item_id") % 5 == 0, 0).otherwise(F.col("item_id")))
+    clashing = frame.withColumns({"leaks": F.lit(1), "leaks_0": F.lit(2), "Digest": F.lit(3)})
+    whole = sorted(map(str, decontamination.leaks(frame, benchmark).collect()))
+    clean = sorted(map(str, decontamination.without_leaks(clashing, benchmark).collect()))
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 600)
+    assert sorted(map(str, decontamination.leaks(frame, benchmark).collect())) == whole
+    assert sorted(map(str, decontamination.without_leaks(clashing, benchmark).collect())) == clean
     assert decontamination.without_leaks(frame, benchmark.limit(0)).count() == len(docs)
     assert decontamination.leaks(frame.limit(0), benchmark).count() == 0
 
