@@ -44,16 +44,19 @@ class OrderTables:
         )
 
     def transactions(self) -> DataFrame:
-        # Left-deep over the raw tables: each side joined has its file size as
-        # its statistic, which is what the broadcast threshold is checked against.
+        # Customers and places meet the orders, which are fewer and narrower
+        # than the lines, so that lines move for parts and orders only.
+        placed = (
+            self.table("orders")
+            .join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+            .join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+            .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        )
         joined = (
             self.table("lineitem")
             .withColumn("row_id", F.monotonically_increasing_id())  # over the scan: the same whenever a task runs
-            .join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
-            .join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
-            .join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-            .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+            .join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
         )
         quantity = F.col("l_quantity").cast("long")
         unit_price = F.col("l_extendedprice") / F.col("l_quantity")
