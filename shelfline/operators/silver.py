@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +23,7 @@ def silver_sales(
     state_codes: DataFrame | None = None,
     compat_quarter: bool = False,
     date_formats: Sequence[str] = (ISO_DATE,),
+    arranged: Callable[[DataFrame], DataFrame] = lambda typed: typed,
 ) -> DataFrame:
     """Typed, enriched sales lines with the declared fact columns.
 
@@ -31,7 +32,9 @@ def silver_sales(
     its scale. Lines with a reason in `rejection` are left to
     `quarantined_sales`. `sale_id` is the line's `row_id`, given at load, so a
     task that is run again gives the same ids; only lines that never had one
-    are numbered here, before any shuffle of this function.
+    are numbered here, before any shuffle of this function. `arranged` may deal
+    and sort the typed lines by their dates and ids, behind the lookups: what
+    follows from a line's own values is added last and need not be moved.
     """
     typed = with_row_id(transactions).where(rejection(transactions, date_formats).isNull()).select(
         F.col("row_id").alias("sale_id"),
@@ -50,8 +53,9 @@ def silver_sales(
         "ship_mode",
     )
 
+    placed = _with_state_code(_with_warehouse(typed, warehouses), state_codes)
     priced = (
-        typed.withColumn("gross_revenue", (F.col("quantity") * F.col("raw_price")).try_cast(MONEY))
+        arranged(placed).withColumn("gross_revenue", (F.col("quantity") * F.col("raw_price")).try_cast(MONEY))
         .withColumn("discount_amount", (F.col("gross_revenue") * F.col("discount_pct")).try_cast(MONEY))
         .withColumns(
             {
@@ -64,8 +68,7 @@ def silver_sales(
             }
         )
     )
-    placed = _with_state_code(_with_warehouse(priced, warehouses), state_codes)
-    return conform(placed, FACT_SALES)
+    return conform(priced, FACT_SALES)
 
 
 def with_row_id(transactions: DataFrame) -> DataFrame:

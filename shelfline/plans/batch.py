@@ -15,7 +15,7 @@ from shelfline.operators.silver import quarantined_sales, silver_sales
 from shelfline.functions.dates import ISO_DATE
 from shelfline.schemas import BRONZE, RAW_LINE, UNREADABLE, conform
 from shelfline.sources.catalog import append_table, clustered_by_date, database_folder, overwrite_table
-from shelfline.sources.keys import numbered
+from shelfline.sources.keys import completed, is_staged, numbered
 
 KEY = "row_id"
 
@@ -35,13 +35,20 @@ def load_bronze(spark: SparkSession, database: str = "bronze", load: str | None
 
     Rows without a `row_id` get one that no earlier load of the table had. A
     load that is repeated under its name gives its rows the same ids again.
+    Tables that bring the column are written before their ids are looked at,
+    and once more only if some row has none.
     """
     counts = {}
     for name, df in tables.items():
-        rows = _as_bronze(df, name)
-        if KEY in rows.columns:
-            rows, _ = numbered(rows, _ledger(spark, database, name), load or uuid.uuid4().hex)
-        counts[name] = overwrite_table(rows, f"{database}.{name}")
+        table, rows = f"{database}.{name}", _as_bronze(df, name)
+        if KEY not in rows.columns:
+            counts[name] = overwrite_table(rows, table)
+            continue
+        ledger, attempt = _ledger(spark, database, name), load or uuid.uuid4().hex
+        if KEY in df.columns and not is_staged(spark, ledger, attempt):
+            counts[name] = overwrite_table(rows, table, lambda written: completed(written, ledger, attempt, KEY))
+        else:
+            counts[name] = overwrite_table(numbered(rows, ledger, attempt, KEY)[0], table)
     return counts
 
 
@@ -87,8 +94,9 @@ def run_all(
         return spark.table(table)
 
     raw = spark.table(f"{bronze}.raw_transactions")
-    sales = silver_sales(raw, spark.table(f"{bronze}.raw_warehouses"), state_codes, compat_quarter, date_formats)
-    fact = publish(f"{silver}.fact_sales", clustered_by_date(sales))
+    warehouses = spark.table(f"{bronze}.raw_warehouses")
+    sales = silver_sales(raw, warehouses, state_codes, compat_quarter, date_formats, arranged=clustered_by_date)
+    fact = publish(f"{silver}.fact_sales", sales)
     publish(f"{silver}.quarantined_sales", quarantined_sales(raw, date_formats))
     products = publish(f"{silver}.dim_products", dim_products(spark.table(f"{bronze}.raw_products")))
     customers = publish(f"{silver}.dim_customers", dim_customers(spark.table(f"{bronze}.raw_customers"), fact, date_formats))

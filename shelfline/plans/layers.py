@@ -11,7 +11,7 @@ from shelfline.operators.dimensions import dim_customers, dim_products
 from shelfline.operators.lookback import region_days
 from shelfline.operators.silver import silver_sales
 from shelfline.session import discard_at_exit, file_system, fresh_path
-from shelfline.sources.catalog import clustered_by_date
+from shelfline.sources.catalog import STORED_AS, clustered_by_date
 from shelfline.sources.order_tables import OrderTables
 
 
@@ -32,13 +32,13 @@ class Layers:
     def _stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._written:
             path = self.scratch(name)
-            build().write.parquet(path)
+            build().write.option("compression", STORED_AS).parquet(path)
             self._written[name] = self.spark.read.parquet(path)
         return self._written[name]
 
     @property
     def fact(self) -> DataFrame:
-        return self._stored("fact_sales", lambda: clustered_by_date(self.sales()))
+        return self._stored("fact_sales", lambda: self._sales(clustered_by_date))
 
     @property
     def customers(self) -> DataFrame:
@@ -68,9 +68,12 @@ class Layers:
 
     def sales(self) -> DataFrame:
         """The silver transform itself, not yet written."""
-        return silver_sales(
-            self.bronze.transactions(), self.bronze.warehouses(), state_codes=self.bronze.state_codes()
-        )
+        return self._sales(lambda typed: typed)
+
+    def _sales(self, arranged: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        # Lines that are stored already are not joined again.
+        lines = self._written["raw_transactions"] if "raw_transactions" in self._written else self.bronze.transactions()
+        return silver_sales(lines, self.bronze.warehouses(), state_codes=self.bronze.state_codes(), arranged=arranged)
 
 
 _OPEN: dict[tuple[str, str, str], Layers] = {}

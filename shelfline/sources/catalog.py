@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
@@ -14,6 +14,8 @@ from shelfline.schemas import BRONZE, SILVER
 from shelfline.session import file_system
 
 LAYERS = ("bronze", "silver", "gold", "staging")
+# Codec of the tables written here.
+STORED_AS = "zstd"
 
 
 def create_layers(spark: SparkSession, names: Iterable[str] = LAYERS, location: str | None = None) -> None:
@@ -125,17 +127,26 @@ def _sweep(spark: SparkSession, name: str, *keep: str) -> None:
             files.delete(entry.getPath(), True)
 
 
-def overwrite_table(df: DataFrame, name: str) -> int:
+def _written(df: DataFrame, name: str) -> tuple[str, DataFrame]:
+    place = _fresh_version(df.sparkSession, name)
+    df.write.option("compression", STORED_AS).parquet(place)
+    return place, df.sparkSession.read.parquet(place)
+
+
+def overwrite_table(df: DataFrame, name: str, completed: Callable[[DataFrame], DataFrame | None] = lambda rows: None) -> int:
     """Replace table `name` with `df` and count what was written.
 
     Every write goes to a folder of its own, and the table is turned to it when
     it is complete: until then, and if the run is ended at any point, the table
     keeps its rows. The version before stays until the next write, so readers
-    that began on it end on it. One writer at a time.
+    that began on it end on it. One writer at a time. `completed` is shown the
+    rows as written and may give others to be written in their stead.
     """
-    spark, place = df.sparkSession, _fresh_version(df.sparkSession, name)
-    df.write.parquet(place)
-    written = spark.read.parquet(place)
+    spark = df.sparkSession
+    place, written = _written(df, name)
+    instead = completed(written)
+    if instead is not None:
+        place, written = _written(instead, name)
     count = written.count()
     before = [location(spark, name)] if spark.catalog.tableExists(name) else []
     _point(spark, name, place, written.schema)
@@ -144,7 +155,7 @@ def overwrite_table(df: DataFrame, name: str) -> int:
 
 
 def append_table(df: DataFrame, name: str) -> None:
-    df.write.mode("append").format("parquet").saveAsTable(name)
+    df.write.mode("append").format("parquet").option("compression", STORED_AS).saveAsTable(name)
 
 
 def _bucketed(df: DataFrame, key: str, buckets: int) -> DataFrameWriter:

@@ -51,6 +51,29 @@ def _task() -> Column:
     return F.shiftrightunsigned(_AT, PLACE_BITS)
 
 
+def _staged(ledger: str, load: str) -> str:
+    return f"{ledger}/staged/{quote(load, safe='')}"
+
+
+def is_staged(spark: SparkSession, ledger: str, load: str) -> bool:
+    """Whether an attempt at the load has left its rows."""
+    return _exists(spark, f"{_staged(ledger, load)}/_SUCCESS")
+
+
+def completed(written: DataFrame, ledger: str, load: str, column: str = "row_id") -> DataFrame | None:
+    """None if every row of a load brought an id, else the rows `numbered`.
+
+    `written` must be stored, so that ids read twice are the same. Ids that rows
+    brought count in the ledger, whose next range starts above them.
+    """
+    given = F.col(column).cast("long")
+    rows, with_id, highest = written.agg(F.count(F.lit(1)), F.count(given), F.max(given)).first()
+    if with_id < rows:
+        return numbered(written, ledger, load, column)[0]
+    _reserved(written.sparkSession, ledger, load, rows, highest)
+    return None
+
+
 def numbered(rows: DataFrame, ledger: str, load: str, column: str = "row_id") -> tuple[DataFrame, tuple[int, int]]:
     """`rows` with an id where `column` has none, and the load's range of ids
     (first, and the one after the last).
@@ -60,12 +83,11 @@ def numbered(rows: DataFrame, ledger: str, load: str, column: str = "row_id") ->
     The ledger holds a row per load; of its tasks, one count each is collected
     by Spark into a broadcast of 16 bytes a task.
     """
-    spark, key = rows.sparkSession, quote(load, safe="")
-    staged = f"{ledger}/staged"
-    if not _exists(spark, f"{staged}/{key}/_SUCCESS"):
-        rows.withColumn(_AT, F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{staged}/{key}")
-    _others_deleted(spark, staged, key)
-    held = spark.read.parquet(f"{staged}/{key}")
+    spark, staged = rows.sparkSession, _staged(ledger, load)
+    if not is_staged(spark, ledger, load):
+        rows.withColumn(_AT, F.monotonically_increasing_id()).write.mode("overwrite").option("compression", "zstd").parquet(staged)
+    _others_deleted(spark, *staged.rsplit("/", 1))
+    held = spark.read.parquet(staged)
     given = F.col(column).cast("long") if column in rows.columns else F.lit(None).cast("long")
     counts = held.groupBy(_task().alias("_task")).agg(F.count(F.lit(1)).alias("_rows"), F.max(given).alias("_given"))
     total = counts.agg(F.sum("_rows"), F.max("_given")).first()
