@@ -469,10 +469,16 @@ def bronze_loads(at: Layers) -> DataFrame:
 
 def _as_csv(at: Layers, name: str, rows: DataFrame, schema) -> str:
     path = at.scratch(name)
-    rows.select(*file_columns(schema)).write.option("header", True).option("escape", '"').csv(path)
+    _write_csv(rows, schema, path)
     return path
 
 
+def _write_csv(rows: DataFrame, schema, path: str) -> None:
+    # A compressed file is read whole by one task, as it was written by one.
+    chosen = rows.select(*file_columns(schema))
+    chosen.write.mode("append").option("header", True).option("escape", '"').option("compression", "gzip").csv(path)
+
+
 @_query
 def csv_products(at: Layers) -> DataFrame:
     """The product table written as CSV and read under the staging format."""
@@ -509,7 +515,7 @@ def csv_ragged_lines(at: Layers) -> DataFrame:
     line = F.when(order % 71 == 0, F.concat_ws(",", *fields, F.lit('"extra, quoted"'), F.lit("more")))
     line = line.when(order % 73 == 0, F.concat_ws(",", *fields[:2])).otherwise(F.concat_ws(",", *fields))
     path = at.scratch("ragged-lines")
-    at.bronze.transactions().select(line.alias("value")).write.text(path)
+    at.bronze.transactions().select(line.alias("value")).write.option("compression", "gzip").text(path)
     read = read_csv(at.spark, path, RAW_TRANSACTIONS, header="false")
     lacking = ragged(read, RAW_TRANSACTIONS).groupBy("_fields").agg(F.count(F.lit(1)).alias("sales_lines"), F.count("customer_id").alias("with_customer"))
     whole = read.where("_raw_line IS NULL").agg(F.count(F.lit(1)).alias("sales_lines"), F.count("customer_id").alias("with_customer"))
