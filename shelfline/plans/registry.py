@@ -382,8 +382,10 @@ def catalog_customer_features(at: Layers) -> DataFrame:
 
 @_query
 def catalog_state_map_feed(at: Layers) -> DataFrame:
-    """A dashboard feed over a gold view that was published and read by name."""
-    names = _medallion(at)
+    """A dashboard feed over a gold view that was published and read by name,
+    in a database beside the one whose tables `medallion_run` counts."""
+    names = {**_medallion(at), "gold": f"{_medallion(at)['gold']}_views"}
+    catalog.create_layers(at.spark, [names["gold"]], at.scratch("views"))
     publish_gold(at.spark, **names)
     return dashboard.state_map_feed(at.spark.table(f"{names['gold']}.regional_sales"))
 
