@@ -60,10 +60,18 @@ def value_levels(df: DataFrame, keys: Sequence[str], value: str, descending: boo
     return placed.select(*keys, value, (F.col("_inside") + F.col("_bins_ahead")).alias("_ahead"), "_total", *kept)
 
 
-def with_rank(df: DataFrame, keys: Sequence[str], value: str, name: str, descending: bool = True) -> DataFrame:
+def with_rank(
+    df: DataFrame, keys: Sequence[str], value: str, name: str, descending: bool = True, once: bool = False
+) -> DataFrame:
     """RANK of a numeric `value` within `keys`, equal values sharing a rank,
-    NULLs last. A value that many rows share is one row until the last join."""
-    levels = value_levels(df, keys, value, descending)
+    NULLs last. A value that many rows share is one row until the last join.
+
+    `once` is for sums over many lines: the levels then ask for all columns of
+    `df`, as the rows do, so that both read one exchange and the lines are read
+    and moved once.
+    """
+    # A threshold of no values drops no row.
+    levels = value_levels(df.dropna(thresh=0) if once else df, keys, value, descending)
     ranked = levels.select(*keys, value, (F.col("_ahead") + 1).cast("long").alias(name))
     return matched(df, ranked, [*keys, value]).select(*df.columns, name)
 

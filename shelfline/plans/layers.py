@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfline.operators.dimensions import dim_customers, dim_products
 from shelfline.operators.lookback import region_days
 from shelfline.operators.silver import silver_sales
-from shelfline.session import discard_at_exit, file_system, fresh_path
+from shelfline.session import discard_at_exit, file_system, fresh_path, shuffles_discarded
 from shelfline.sources.catalog import STORED_AS, clustered_by_date
 from shelfline.sources.order_tables import OrderTables
 
@@ -32,7 +32,9 @@ class Layers:
     def _stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._written:
             path = self.scratch(name)
-            build().write.option("compression", STORED_AS).parquet(path)
+            built = build()
+            with shuffles_discarded(self.spark):
+                built.write.option("compression", STORED_AS).parquet(path)
             self._written[name] = self.spark.read.parquet(path)
         return self._written[name]
 

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+_DISCARD_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 # AQE picks join strategies from measured sizes, merges small shuffle
 # partitions and splits hot ones. The first broadcast threshold is held against
 # sizes estimated from files, the second against sizes measured at run time.
@@ -64,3 +68,15 @@ def discard_at_exit(spark: SparkSession, path: str) -> None:
     """Delete a written folder when the application's JVM ends."""
     place, files = file_system(spark, path)
     files.deleteOnExit(place)
+
+
+@contextmanager
+def shuffles_discarded(spark: SparkSession) -> Iterator[None]:
+    """Writes within delete their shuffle files when they end, not when the
+    driver's memory is next collected: later steps do not add to that disk."""
+    before = spark.conf.get(_DISCARD_SHUFFLES, None)
+    spark.conf.set(_DISCARD_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_DISCARD_SHUFFLES) if before is None else spark.conf.set(_DISCARD_SHUFFLES, before)

@@ -45,7 +45,8 @@ class OrderTables:
 
     def transactions(self) -> DataFrame:
         # Customers and places meet the orders, which are fewer and narrower
-        # than the lines, so that lines move for parts and orders only.
+        # than the lines, so that lines move for parts and orders only, with
+        # days and costs instead of the longer values that these come from.
         placed = (
             self.table("orders")
             .join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -55,7 +56,8 @@ class OrderTables:
         joined = (
             self.table("lineitem")
             .withColumn("row_id", F.monotonically_increasing_id())  # over the scan: the same whenever a task runs
-            .join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+            .withColumn("l_shipdate", F.col("l_shipdate").cast("date"))
+            .join(self.table("part").withColumn("unit_cost", _unit_cost()), F.col("l_partkey") == F.col("p_partkey"))
             .join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
         )
         quantity = F.col("l_quantity").cast("long")
@@ -80,7 +82,7 @@ class OrderTables:
             unit_price.alias("unit_price"),
             F.col("l_discount").alias("discount_pct"),
             (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("sales_amount"),
-            ((gross - amount).cast(MONEY) - quantity * _unit_cost()).cast(MONEY).alias("profit"),
+            ((gross - amount).cast(MONEY) - quantity * F.col("unit_cost")).cast(MONEY).alias("profit"),
             F.col("o_orderpriority").alias("ship_mode"),
             _day_text("l_shipdate").alias("ship_date"),
             _key("l_suppkey").alias("warehouse_id"),

@@ -103,6 +103,27 @@ def test_equal_product_names_merge(spark):
     assert (row.total_orders, row.total_units_sold) == (1, 2)
 
 
+def test_orders_counted_apart_equal_a_plain_count(spark, rows):
+    goods = b.products(
+        spark,
+        *[{"product_id": p, "product_name": n} for p, n in (("a", "Same"), ("b", "Same"), ("b", "Same"), ("c", None), ("d", "No orders"))],
+        {"product_id": "e", "product_category": None},
+    )
+    ids = [None, "o1", "o1", "o2", "o3"]
+    fact = b.sales(
+        spark,
+        *[{"product_id": "abce"[n % 4], "order_id": ids[n % 5], "net_revenue": None if n % 7 == 0 else n % 3} for n in range(60)],
+        *[{"product_id": "d", "order_id": None}] * 3,
+    )
+    names = ["product_category", "product_subcategory", "product_name"]
+    plain = fact.join(goods, "product_id").groupBy(*names).agg(F.countDistinct("order_id"), F.sum("quantity"), F.sum("net_revenue"))
+    expected = rows(plain)
+    assert len(expected) == 4 and (("Toys", "Games", "No orders", 0, 3) in [row[:5] for row in expected])
+    found = gold.product_performance(fact, goods)
+    assert rows(found, *names, "total_orders", "total_units_sold", "revenue") == expected
+    assert rows(gold.product_sales(fact, goods), *names, "total_orders", "total_units_sold", "revenue") == expected
+
+
 def test_zero_revenue_margin(spark):
     fact = b.sales(spark, {"net_revenue": 0, "profit": -3})
     assert gold.product_performance(fact, one_product(spark)).first().profit_margin_pct is None

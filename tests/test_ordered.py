@@ -58,6 +58,14 @@ def test_rank_equals_window_rank(spark, rows, descending):
     assert rows(with_rank(df, ["grp"], "value", "rank", descending)) == rows(plain)
 
 
+@pytest.mark.parametrize("descending", [True, False])
+def test_rank_over_one_exchange_equals_window_rank(spark, rows, descending):
+    df = frame(spark, 800)
+    order = F.col("value").desc_nulls_last() if descending else F.col("value").asc_nulls_last()
+    plain = df.withColumn("rank", F.rank().over(Window.partitionBy("grp").orderBy(order)).cast("long"))
+    assert rows(with_rank(df, ["grp"], "value", "rank", descending, once=True)) == rows(plain)
+
+
 @pytest.mark.parametrize("chunk_rows", [29, 40, 1000])
 def test_rolling_frames_equal_window(spark, rows, chunk_rows):
     df = frame(spark, 600).withColumn("day", F.floor(F.col("id") / 7))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import time
 
 import conftest
 import pytest
 
+from shelfline.operators import gold
 from shelfline.operators.silver import silver_sales
 from shelfline.plans import registry
 from shelfline.plans.batch import load_bronze
@@ -68,6 +70,43 @@ def test_lines_move_for_parts_and_orders_only(spark, setting):
     assert sum("row_id" in output for output in moved) == 2
 
 
+def test_lines_move_with_costs_and_days(spark, setting):
+    setting("spark.sql.autoBroadcastJoinThreshold", "-1")
+    orders = OrderTables(spark, conftest.DATA)
+    moved = [output for output in _exchanges(orders.transactions()) if "row_id" in output]
+    assert moved and not any("p_retailprice" in output for output in moved)
+    kept = orders.transactions().where("order_date IS NULL OR ship_date IS NULL OR length(ship_date) <> 10")
+    assert kept.count() == 0
+
+
+def test_product_performance_moves_lines_once_and_counts_orders_apart(spark, setting):
+    setting("spark.sql.autoBroadcastJoinThreshold", "-1")
+    setting("spark.sql.adaptive.enabled", "false")
+    at = Layers(spark, conftest.DATA)
+    ranked = gold.product_performance(at.fact, at.products)
+    moved = _exchanges(ranked, "hashpartitioning(product_id")
+    assert sum("net_revenue" in output for output in moved) == 1
+    assert any("gid" in output for output in _exchanges(ranked))
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = (path.rsplit("/", 1)[-1] for path in files.mkString("\n").split("\n"))
+    return {name for name in names if name.startswith("shuffle_")}
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark, setting):
+    setting("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before, conf = _shuffle_files(spark), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    fact = Layers(spark, conftest.DATA).fact
+    until = time.monotonic() + 20  # they are deleted in the background
+    while _shuffle_files(spark) - before and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not _shuffle_files(spark) - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == conf
+    assert fact.count() > 0
+
+
 def test_derived_columns_of_the_fact_are_not_moved(spark, rows):
     at = Layers(spark, conftest.DATA)
     sources = at.bronze.transactions(), at.bronze.warehouses(), at.bronze.state_codes()
